@@ -75,3 +75,20 @@ def rolling_hashes(hashed: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashed[i : i + n])
     return out
+
+
+def crc_remainder(doc_id: Column, modulus: int) -> Column:
+    """crc32 of the id as text, modulo a number; null for a null id."""
+    return F.crc32(doc_id.cast("string")) % modulus
+
+
+def labelled_sample(labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
+    """doc_id, label of about ``rows`` usable labelled ids (all, if there are fewer).
+
+    A seeded hash of the id chooses them, so the choice needs no sort. An id with
+    several labels counts once, with the largest; null ids and labels don't count.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.coalesce(usable, F.lit(False)))
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    share = min(1.0, rows / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))

@@ -99,13 +99,13 @@ def lzw_encode(data: bytes) -> bytes:
                 put(CLEAR, width)
                 table.clear()
                 following, width = FIRST, 9
-            elif following >= (1 << width) - 1:
+            elif following >= 1 << width:
                 width += 1
             prefix = byte
     if prefix >= 0:
         put(prefix, width)
         following += 1
-        if following >= (1 << width) - 1 and width < 12:
+        if following >= 1 << width and width < 12:
             width += 1
     put(END, width)
     if bits:
