@@ -15,9 +15,9 @@ them. All that is left out follows from such bounds, so no link is lost:
 2. The rows left are read again, whole. Column blocks count in how many rows each
    shingle is; rows with fewer than o shared columns go. The others' rarest
    ``n - o + 1`` columns are their prefix: linked rows share a column of it.
-3. Rows are dealt to blocks by their rarest column, large groups to several. A row
-   meets a block that shares one of its prefix columns and has rows of fitting
-   size; the rows that two blocks have for each other form a cell.
+3. Rows are dealt to blocks by the least hash of their shared columns, on which
+   similar rows mostly agree; large groups get several blocks. Two blocks with a
+   prefix column in common and rows of fitting size form a cell.
 4. A cell multiplies its blocks, accumulates the overlaps and discards pairs below
    the bound. It returns each row's links and a spanning forest, never its pairs.
 5. Alternating large and small stars contract the forests to components.
@@ -48,7 +48,7 @@ from tidemill.llm.common import broadcast_if_small, hash_words, rolling_hashes,
 EXTRA = 20  # c is one part in so many of a row
 ENTRIES = 1 << 20  # entries of a column block, and what a task gathers before it sends
 LEAST_BLOCKS = 64
-ROWS = 64  # of a row block, about
+ROWS = 128  # of a row block, about
 COLUMNS = 4096  # that are multiplied at once
 BROADCAST = 100_000  # rows of a key, an id and three numbers
 
@@ -234,7 +234,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                 # The columns of this row alone come first in the order, and meet nobody.
                 prefix = own[shared][order][: max(0, int(n) - least + 1 - int((~shared).sum()))]
                 if len(prefix):
-                    rows.append((key, n, size, int(prefix[0].view(np.int64)), prefix.view(np.int64), blob))
+                    rows.append((key, n, size, int(own[shared][0].view(np.int64)), prefix.view(np.int64), blob))
         return pd.DataFrame(rows, columns=["set_key", "n", "size", "lead", "prefix", "shingles"])
 
     made = rows.select("row_block", "shingles").mapInPandas(tiles, "block int, row_block long, columns binary, counts binary")
@@ -245,20 +245,21 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 def _cells(rows: DataFrame, percent: int) -> DataFrame:
     """The rows of each cell: low, high (its blocks), block, set_key, n, size, shingles."""
-    buckets = max(LEAST_BLOCKS, -(-rows.count() // ROWS))
     large = rows.groupBy("lead").agg(F.count("*").alias("rows")).where(F.col("rows") > ROWS).withColumnRenamed("lead", "large_lead")
     parts = F.coalesce(F.ceil(F.col("rows") / ROWS), F.lit(1))
-    block = F.pmod(F.xxhash64("lead"), F.lit(buckets)) * F.lit(1 << 32) + F.pmod(F.xxhash64("set_key"), parts)
+    block = F.xxhash64("lead", F.pmod(F.xxhash64("set_key"), parts))
     placed = rows.join(broadcast_if_small(large), F.col("lead") == F.col("large_lead"), "left")
     placed = stored(placed.select("set_key", "n", "size", "shingles", "prefix", block.alias("block")), "ngram-placed")
-    entries = placed.select("set_key", "n", "block", F.explode("prefix").alias("gram"))
-    meets = entries.groupBy("gram", F.col("block").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows"))
-    meets = stored(meets, "ngram-meets")
-    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
-    met = entries.join(meets, "gram").where(fits & ((F.col("block") != F.col("other")) | (F.col("rows") > 1)))
-    members = met.select(F.col("set_key").alias("member"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
+    entries = placed.select("n", "block", F.explode("prefix").alias("gram"))
+    meets = entries.groupBy("gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows"))
+    low = stored(meets, "ngram-meets")
+    high = low.select("gram", *(F.col(c).alias(f"high_{c}") for c in ("block", "least", "most")))
+    fits = (F.col("high_most") * 100 >= F.col("least") * percent) & (F.col("high_least") * percent <= F.col("most") * 100)
+    met = low.join(high, "gram").where(fits & ((F.col("block") < F.col("high_block")) | ((F.col("block") == F.col("high_block")) & (F.col("rows") > 1))))
+    cells = met.select(F.col("block").alias("low"), F.col("high_block").alias("high")).distinct()
+    members = cells.withColumn("member", F.explode(F.array_distinct(F.array("low", "high"))))
     whole = placed.select("set_key", "n", "size", "shingles", "block")
-    return members.join(whole, F.col("member") == F.col("set_key")).drop("member")
+    return members.join(whole, F.col("member") == F.col("block")).drop("member")
 
 
 def _product(percent: int):
