@@ -54,10 +54,13 @@ _WORD = re.compile(r"\w+")
 Segment = tuple[int, int, float]  # first token, end, score
 
 
+def bucket(form: str) -> int:
+    return xxhash.xxh3_64_intdigest(form.encode()) % BUCKETS
+
+
 def keys(word: str) -> list[int]:
     """The buckets of a word's prefixes, short to long, and of the word itself."""
-    forms = [f"{n}{word[:n]}" for n in PREFIXES if len(word) > n] + [f"0{word}"]
-    return [xxhash.xxh3_64_intdigest(f.encode()) % BUCKETS for f in forms]
+    return [bucket(f"{n}{word[:n]}") for n in PREFIXES if len(word) > n] + [bucket(f"0{word}")]
 
 
 class Scores(dict):
@@ -68,13 +71,28 @@ class Scores(dict):
 
     def __init__(self, toxic: np.ndarray, clean: np.ndarray, base: float, own: tuple[int, int] = (0, 0)) -> None:
         super().__init__()
-        self.toxic, self.clean, self.base, self.own = toxic, clean, base, own
+        self.toxic, self.clean, self.base = np.maximum(toxic - own[0], 0).tolist(), np.maximum(clean - own[1], 0).tolist(), base
+        self.rates: dict[str, float] = {}
+
+    def _rate(self, form: str, prior: float) -> float:
+        key = bucket(form)
+        toxic = self.toxic[key]
+        return (toxic + STRENGTH * prior) / (toxic + self.clean[key] + STRENGTH)
+
+    def prefix_rate(self, prefix: str) -> float:
+        """The rate of a prefix, remembered, as there are far fewer of them than words."""
+        rate = self.rates.get(prefix)
+        if rate is None:
+            n = len(prefix)
+            prior = self.base if n == PREFIXES[0] else self.prefix_rate(prefix[: PREFIXES[PREFIXES.index(n) - 1]])
+            if len(self.rates) >= REMEMBERED:
+                self.rates.clear()
+            rate = self.rates[prefix] = self._rate(f"{n}{prefix}", prior)
+        return rate
 
     def of_word(self, word: str) -> float:
-        rate = self.base
-        for key in keys(word):
-            toxic, clean = max(0, int(self.toxic[key]) - self.own[0]), max(0, int(self.clean[key]) - self.own[1])
-            rate = (toxic + STRENGTH * rate) / (toxic + clean + STRENGTH)
+        n = max((n for n in PREFIXES if len(word) > n), default=0)
+        rate = self._rate(f"0{word}", self.prefix_rate(word[:n]) if n else self.base)
         return math.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base))
 
     def __missing__(self, token: str) -> float:
