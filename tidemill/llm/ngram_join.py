@@ -356,8 +356,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat an id within a component count as one document; one stays.
     """
     groups = stored(jaccard_groups(docs, k, percent), "ngram-result")
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(broadcast_if_small(gone, BROADCAST), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    kept = docs.join(broadcast_if_small(gone, BROADCAST), F.col("doc_id") == F.col("_gone_id"), "left_anti")
     repeated = groups.where("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     if repeated.isEmpty():
         return kept

@@ -57,8 +57,7 @@ class Ids:
 
     def __init__(self, path: str, ranks: str | None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain = None
+        self.path, self.tokenizer, self.plain = path, None, None
         if ranks:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -67,6 +66,8 @@ class Ids:
     def encode(self, text: str) -> np.ndarray:
         if self.plain is not None and not _UNLIKE.search(text):
             return np.array(self.plain.encode_ordinary(text), np.uint32)
+        if self.tokenizer is None:  # most tasks never need it, and it takes much memory
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
