@@ -92,6 +92,20 @@ def test_packing_holds_every_id_once(docs):
     assert all(n == packing.SEQUENCE or n & (n - 1) == 0 for n in used.values())
 
 
+def test_packing_again_gives_the_same_pieces(spark):
+    made = spark.range(300).selectExpr("id % 250 AS doc_id", "repeat(concat('w', id % 7, ' '), 50 + int(id)) AS text").repartition(3, "doc_id")
+    first, second = (sorted(map(str, packing.digest(packing.pack(made, partitions=5)).collect())) for _ in range(2))
+    assert first == second
+
+
+def test_packing_spreads_one_group_over_ranges(spark):
+    """Even if all rows are copies with a null id, no range takes them all."""
+    made = spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "repeat('same words ', 100) AS text")
+    lengths = packing.pack(made, partitions=4).groupBy((F.col("sequence_id") / 2**40).cast("int").alias("range")).agg(F.sum("length").alias("n")).collect()
+    held = [r["n"] for r in lengths]
+    assert len(held) == 4 and max(held) < 1.5 * sum(held) / 4
+
+
 def test_packing_puts_copies_side_by_side(spark):
     rng = random.Random(1)
     kinds = [[rng.choice("abcdefgh") * 4 for _ in range(40)] for _ in range(4)]

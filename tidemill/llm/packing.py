@@ -6,8 +6,9 @@
    into a cell of a grid with equally filled sides; the cell's place on the
    Hilbert curve is the document's key. Near keys are near vectors.
 3. The documents are range-sorted by that key and laid end to end; each range is
-   cut into sequences of SEQUENCE ids. Ties of the key go by the id and a hash,
-   so that a group of copies, however large, spreads over ranges.
+   cut into sequences of SEQUENCE ids. Token counts along the curve, not samples,
+   place the ranges, so the same table, read alike, is packed alike each time. A
+   group of copies, however large, spreads over ranges.
 
 Only the end of a range leaves less than a whole sequence. It is cut into pieces
 whose lengths are powers of two, which need no padding at all.
@@ -43,6 +44,7 @@ DIMENSIONS = 4
 GRID_BITS = 8  # of a coordinate
 HASHED = 1024  # length of the hashed vectors
 PART = 65_536
+BINS = 1 << 16  # stretches of the curve whose tokens are counted to place the ranges
 _UNLIKE = re.compile(r"[^\n\x20-\x7E\u00A1-\u024F]|<\|")
 
 
@@ -148,12 +150,18 @@ def _tokenised(docs: DataFrame, path: str, ranks: str | None) -> DataFrame:
     return parts.withColumn("width", F.when(F.octet_length("ids") == 2 * F.least(F.col("doc_tokens") - F.col("start"), F.lit(PART)), 2).otherwise(4)).withColumn("row_number", F.monotonically_increasing_id() - F.floor(F.col("start") / PART))
 
 
-def _keyed(parts: DataFrame) -> DataFrame:
-    """parts with the Hilbert key in the place of the coordinates."""
+def _ranged(parts: DataFrame, count: int) -> DataFrame:
+    """parts with the Hilbert key and the number of its range in the place of the coordinates.
+
+    The tokens in each of BINS stretches of the curve set the ranges' ends, so that
+    all ranges get their even share, and the same in each run. Where an end falls
+    within a stretch, a hash of the row decides the side; a stretch of many
+    documents, such as a group of copies, thereby spreads over several ranges.
+    """
     names = [f"p{i}" for i in range(DIMENSIONS)]
     stats = parts.agg(*(F.avg(c).alias(c) for c in names), *(F.stddev(c).alias(f"d{c}") for c in names)).first()
-    mean = np.array([stats[c] or 0.0 for c in names])
-    deviation = np.array([max(stats[f"d{c}"] or 0.0, 1e-9) for c in names])
+    mean = np.array([round(stats[c] or 0.0, 9) for c in names])  # sums of floats differ in their last digits
+    deviation = np.array([max(round(stats[f"d{c}"] or 0.0, 9), 1e-9) for c in names])
     side = 1 << GRID_BITS
     erf = np.vectorize(math.erf, otypes=[float])
 
@@ -163,7 +171,20 @@ def _keyed(parts: DataFrame) -> DataFrame:
         share = 0.5 * (1 + erf(z / math.sqrt(2)))  # as filled as those of a normal law
         return pd.Series(hilbert_key(np.minimum((share * side).astype(np.int64), side - 1)))
 
-    return parts.withColumn("key", key(*names)).drop(*names)
+    length = F.least(F.col("doc_tokens") - F.col("start"), F.lit(PART))
+    keyed = parts.withColumn("key", key(*names)).drop(*names)
+    stretch = F.shiftrightunsigned("key", DIMENSIONS * GRID_BITS - BINS.bit_length() + 1).cast("int")
+    filled = np.zeros(BINS)
+    for row in keyed.groupBy(stretch.alias("stretch")).agg(F.sum(length).alias("tokens")).collect():  # BINS rows at most
+        filled[row["stretch"]] = row["tokens"]
+    before = np.cumsum(filled) - filled
+
+    @F.pandas_udf("int")
+    def range_number(stretches: pd.Series, hashes: pd.Series) -> pd.Series:
+        at = before[stretches] + filled[stretches] * ((hashes.to_numpy(np.int64) & 0xFFFFFFFF) / 2.0**32)
+        return pd.Series(np.minimum(at / max(filled.sum(), 1.0) * count, count - 1).astype(np.int32))
+
+    return keyed.withColumn("range", range_number(stretch, F.xxhash64("doc_id", "row_number")))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -176,10 +197,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     if tokenizer is None:
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     parts = stored(_tokenised(docs, tokenizer, ranks), "pack-tokens")
-    ranged = _keyed(parts)
-    order = ["key", "doc_id", "row_number", "start"]
     count = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ranged.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id().cast("long"))
+    ranged = _ranged(parts, count).repartitionById(count, F.col("range")).sortWithinPartitions("key", "doc_id", "row_number", "start")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sequence, held, waiting = 0, 0, []
