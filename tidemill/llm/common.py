@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast up to this many rows of a few numbers each.
 BROADCAST_ROWS = 20_000
+#: Of texts or hashes that go to a Python worker at once.
+BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session end at BATCH bytes, if not before.
+
+    The default is many times that, and both a task's JVM side and its Python worker
+    keep what a batch once took.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if df has at most that many rows; else Spark shuffles.
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import broadcast_if_small, hash_words, rolling_hashes, stored
+from tidemill.llm.common import bound_batches, broadcast_if_small, hash_words, rolling_hashes, stored
 
 EXTRA = 20  # c is one part in so many of a row
 ENTRIES = 1 << 20  # entries of a column block, and what a task gathers before it sends
@@ -330,6 +330,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Two documents link when ``100 * intersection >= percent * union`` of their
     sets of k-word shingles; n_links counts the documents that one links to.
     """
+    bound_batches(docs.sparkSession)
     sets = stored(_sets(docs, k, percent), "ngram-sets")
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("ref").alias("ref"))
     classes = stored(classes, "ngram-classes")

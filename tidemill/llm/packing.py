@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm.common import mix64, stored
+from tidemill.llm.common import bound_batches, mix64, stored
 
 SEQUENCE = 2048
 CLOSING = 1  # the id after each document
@@ -165,26 +165,31 @@ def _ranged(parts: DataFrame, count: int) -> DataFrame:
     side = 1 << GRID_BITS
     erf = np.vectorize(math.erf, otypes=[float])
 
-    @F.pandas_udf("long")
-    def key(*coordinates: pd.Series) -> pd.Series:
+    def keys(coordinates: tuple[pd.Series, ...]) -> np.ndarray:
         z = (np.column_stack([c.to_numpy(float) for c in coordinates]) - mean) / deviation
         share = 0.5 * (1 + erf(z / math.sqrt(2)))  # as filled as those of a normal law
-        return pd.Series(hilbert_key(np.minimum((share * side).astype(np.int64), side - 1)))
+        return hilbert_key(np.minimum((share * side).astype(np.int64), side - 1))
+
+    below = DIMENSIONS * GRID_BITS - BINS.bit_length() + 1  # bits of a key within its stretch
+
+    @F.pandas_udf("int")
+    def stretch(*coordinates: pd.Series) -> pd.Series:
+        return pd.Series((keys(coordinates) >> below).astype(np.int32))
 
     length = F.least(F.col("doc_tokens") - F.col("start"), F.lit(PART))
-    keyed = parts.withColumn("key", key(*names)).drop(*names)
-    stretch = F.shiftrightunsigned("key", DIMENSIONS * GRID_BITS - BINS.bit_length() + 1).cast("int")
     filled = np.zeros(BINS)
-    for row in keyed.groupBy(stretch.alias("stretch")).agg(F.sum(length).alias("tokens")).collect():  # BINS rows at most
+    for row in parts.groupBy(stretch(*names).alias("stretch")).agg(F.sum(length).alias("tokens")).collect():  # BINS rows at most
         filled[row["stretch"]] = row["tokens"]
     before = np.cumsum(filled) - filled
 
-    @F.pandas_udf("int")
-    def range_number(stretches: pd.Series, hashes: pd.Series) -> pd.Series:
-        at = before[stretches] + filled[stretches] * ((hashes.to_numpy(np.int64) & 0xFFFFFFFF) / 2.0**32)
-        return pd.Series(np.minimum(at / max(filled.sum(), 1.0) * count, count - 1).astype(np.int32))
+    @F.pandas_udf("key long, range int")
+    def place(hashes: pd.Series, *coordinates: pd.Series) -> pd.DataFrame:
+        key = keys(coordinates)
+        at = before[key >> below] + filled[key >> below] * ((hashes.to_numpy(np.int64) & 0xFFFFFFFF) / 2.0**32)
+        return pd.DataFrame({"key": key, "range": np.minimum(at / max(filled.sum(), 1.0) * count, count - 1).astype(np.int32)})
 
-    return keyed.withColumn("range", range_number(stretch, F.xxhash64("doc_id", "row_number")))
+    placed = parts.withColumn("place", place(F.xxhash64("doc_id", "row_number"), *names))
+    return placed.drop(*names).withColumns({"key": F.col("place.key"), "range": F.col("place.range")}).drop("place")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -196,6 +201,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     """
     if tokenizer is None:
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bound_batches(docs.sparkSession)
     parts = stored(_tokenised(docs, tokenizer, ranks), "pack-tokens")
     count = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = _ranged(parts, count).repartitionById(count, F.col("range")).sortWithinPartitions("key", "doc_id", "row_number", "start")
