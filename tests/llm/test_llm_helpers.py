@@ -37,6 +37,28 @@ def test_skip_edges_carry_labels():
     assert pii.redact(text, base + added).count("[PHONE]") >= 2
 
 
+def field(chain, skip):
+    node = np.log(np.full((pii.SHAPES, pii.LABELS), 1 / pii.LABELS))
+    return {"node": node, "chain": chain, "skip": skip}
+
+
+def test_labels_reach_the_fiftieth_mention():
+    text = "Call +12125550147." + " Once more: 12125550147," * 50
+    strong, none = np.log(np.eye(pii.LABELS) * 50 + 0.1), np.zeros((pii.LABELS, pii.LABELS))
+    for model in (field(none, strong), field(none, strong) | {"node": field(none, none)["node"] + np.log([1, 1, 1, 1, 20])}):
+        added = pii.added_spans(text, pii.base_spans(text), model)
+        assert [text[s:e] for s, _, e in added] == ["12125550147"] * 50
+    behind = "Call +12125550147 #77 and then 88 99"
+    assert [behind[s:e] for s, _, e in pii.added_spans(behind, pii.base_spans(behind), field(strong, none))] == ["77"]
+
+
+def test_labels_cross_a_long_row_of_nodes():
+    text = "Call +12125550147 " + " ".join(f"#{i}" for i in range(100, 140))
+    sure = np.log(np.eye(pii.LABELS) * 5000 + 0.1)
+    (span,) = pii.added_spans(text, pii.base_spans(text), field(sure, sure))
+    assert text[span[0] : span[2]].endswith("139")
+
+
 @given(st.binary(max_size=3000), st.sampled_from([tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]), st.sampled_from([1, 2]), st.sampled_from([0, 16]))
 @settings(deadline=None)
 def test_tiff_round_trip(data, method, predictor, tile):

@@ -4,17 +4,19 @@ The base spans are leftmost, non-overlapping matches of four fixed patterns.
 The field then adds mentions the patterns miss, such as a phone number that is
 written out once and repeated without its prefix: its nodes are the words with
 a digit or an @ (all others are fixed to "no entity"), chain factors join
-neighbouring nodes, and skip factors join each node to the next one that has
-the same digits or the same address name, however far apart. Base spans are
-observed; loopy sum-product messages carry their labels along the edges. Linking
-each occurrence to the next only keeps a group of n mentions at n - 1 edges.
+neighbouring nodes, and skip factors join nodes that have the same digits or the
+same address name, however far apart. Base spans are observed; loopy sum-product
+messages carry their labels along the edges until the messages stop changing.
+Each mention is linked to its group's first observed node of each kind, or to
+the first node if none is observed. So the last of n mentions hears as much as
+the next one, and the edges stay in proportion to n.
 
 The factors are trained piece by piece, in closed form, from counts over all
 documents: a node's factor is P(label | shape), a pair's is how much more often
 two labels meet than by chance. Shapes are hashed to a table of fixed size.
 
-A node becomes a span only if its belief is at least MIN_BELIEF and a skip
-edge path leads to an observed span of that kind; spans never overlap base ones.
+A node becomes a span only if its belief is at least MIN_BELIEF and a path of
+edges leads to an observed span of that kind; spans never overlap base ones.
 
 Edge cases: a null text is empty and has no span (its digest is that of the
 empty string); words of over MAX_NODE characters are no nodes of the field, the
@@ -40,7 +42,7 @@ LABELS = OUTSIDE + 1
 SHAPES = 4096  # hash buckets of word shapes
 MAX_NODE = 80
 MIN_BELIEF = 0.9
-ROUNDS = 12
+SETTLED = 1e-6  # messages that change less than this have stopped
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -134,12 +136,18 @@ def graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
                 observed[i] = s[1]
                 break
     chain = [(i, i + 1) for i in range(len(at) - 1) if at[i + 1][0] - at[i][1] <= 4 and not any(c.isalnum() for c in text[at[i][1] : at[i + 1][0]])]
-    skip, last = [], {}
+    groups: dict[str, list[int]] = {}
     for i, (start, end) in enumerate(at):
         if key := skip_key(text[start:end]):
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
+            groups.setdefault(key, []).append(i)
+    skip = []
+    for same in groups.values():
+        first: dict[int, int] = {}
+        for i in same:
+            if observed[i] != OUTSIDE:
+                first.setdefault(observed[i], i)
+        hubs = set(first.values()) or {same[0]}
+        skip += [(h, i) for i in same for h in sorted(hubs) if i not in hubs or h < i]
     return at, observed, chain, skip
 
 
@@ -182,7 +190,11 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def beliefs(unary: np.ndarray, pairs: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-    """Loopy sum-product with damping; P(label) of each node."""
+    """Loopy sum-product with damping; P(label) of each node.
+
+    A label crosses any path in as many rounds as there are nodes; the limit is
+    beyond that, for loops that never settle.
+    """
     if not pairs:
         p = np.exp(unary - unary.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -191,41 +203,59 @@ def beliefs(unary: np.ndarray, pairs: list[tuple[int, int, np.ndarray]]) -> np.n
     factor = np.exp(np.stack([t for *_, t in pairs] + [t.T for *_, t in pairs]))
     back = np.r_[len(pairs) : 2 * len(pairs), 0 : len(pairs)]
     message = np.zeros((len(source), unary.shape[1]))
-    for _ in range(ROUNDS):
+    for _ in range(100 + 2 * len(unary)):
         total = unary.copy()
         np.add.at(total, target, message)
         cavity = total[source] - message[back]
         cavity = np.exp(cavity - cavity.max(1, keepdims=True))
         new = np.log(np.einsum("ea,eab->eb", cavity, factor) + 1e-300)
-        message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+        change = 0.5 * (new - new.max(1, keepdims=True) - message)
+        message += change
+        if np.abs(change).max() < SETTLED:
+            break
     total = unary.copy()
     np.add.at(total, target, message)
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
+def reached_kinds(observed: np.ndarray, edges: list[tuple[int, int]]) -> list[set[int]]:
+    """For each node, the kinds of the observed nodes that a path leads to."""
+    parent = list(range(len(observed)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in edges:
+        parent[root(i)] = root(j)
+    kinds: dict[int, set[int]] = {}
+    for i, label in enumerate(observed.tolist()):
+        held = kinds.setdefault(root(i), set())
+        if label != OUTSIDE:
+            held.add(label)
+    return [kinds[root(i)] for i in range(len(observed))]
+
+
 def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray]) -> list[Span]:
     """Spans that the field finds beside the base ones."""
     if not base:
         return []
     at, observed, chain, skip = graph(text, base)
-    if not any((observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for i, j in skip):
-        return []  # no label can travel: messages reach a node over skip edges only
+    if not any((observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for i, j in skip + chain):
+        return []  # no label can travel: no edge leaves the observed nodes
     unary = np.stack([model["node"][shape(text[s:e])] for s, e in at])
     fixed = observed != OUTSIDE
-    unary[fixed] = -50.0
+    unary[fixed] = -np.inf  # however many messages come in
     unary[fixed, observed[fixed]] = 0.0
     found = beliefs(unary, [(i, j, model["chain"]) for i, j in chain] + [(i, j, model["skip"]) for i, j in skip])
-    reach: list[set] = [{int(x)} if x != OUTSIDE else set() for x in observed]
-    for edges in (skip, skip[::-1], chain, chain[::-1]):
-        for i, j in edges:
-            reach[i] |= reach[j]
-            reach[j] |= reach[i]
+    reach = reached_kinds(observed, skip + chain)
     label = np.where(found.max(1) >= MIN_BELIEF, found.argmax(1), OUTSIDE)
-    chosen = [i for i in range(len(at)) if not fixed[i] and label[i] != OUTSIDE and int(label[i]) in reach[i]]
+    chosen = {i for i in range(len(at)) if not fixed[i] and label[i] != OUTSIDE and int(label[i]) in reach[i]}
     joined = set(chain)
     spans: list[Span] = []
-    for i in chosen:
+    for i in sorted(chosen):
         start, end = at[i]
         kind = int(label[i])
         if spans and (i - 1, i) in joined and i - 1 in chosen and spans[-1][1] == kind:
