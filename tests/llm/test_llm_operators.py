@@ -182,6 +182,24 @@ def test_pii_licenses_and_tiff_stand_odd_rows(docs, empty):
     assert [x.count() for x in (pii.find_pii(empty), licenses.scan_licenses(empty), tiff.text_digest(tiff.store_text(empty)))] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("times", [1, 60])
+def test_pii_adds_bare_numbers_in_small_and_large_tables(spark, times):
+    rows = [
+        ("Call +4155550123 today. Later: 4155550123 again.", ["4155550123"]),
+        ("Call +1 (212) 555-0147 now, or 2125550147 later.", ["2125550147"]),
+        ("Call +12125550199 now, or (212) 555-0199 later.", ["(212) 555-0199"]),
+        ("Order 9876543210 of 2024, part 8765432109, lot 12.", []),
+        ("Call +13105550188 about order 9876543211 of 2023.", []),
+        ("From 10.0.0.1 to zip 10001, card 4111 1111 1111 1111 of 1111 Main St.", []),
+    ] + [(f"Item {7000000000 + 7919 * i} costs {i} of {2000 + i}.", []) for i in range(20)]
+    table = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows * times)], "doc_id long, text string")
+    made = {r["doc_id"]: r for r in pii.find_pii(table).collect()}
+    for i, (text, wanted) in enumerate(rows):
+        base = {(s, e) for s, _, e in pii.base_spans(text)}
+        spans = [tuple(map(int, x.split(":")[1:])) for x in made[i]["spans"].split(",") if x]
+        assert ([text[s:e] for s, e in spans if (s, e) not in base], made[i]["n_added"]) == (wanted, len(wanted))
+
+
 def test_licenses_allow_small_changes(spark):
     notice = next(t for label, t in licenses.NOTICES if label == "bsd").split()
     changed = notice[:5] + ["plainly"] + notice[5:12] + notice[13:]

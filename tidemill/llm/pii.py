@@ -5,7 +5,10 @@ The field then adds mentions the patterns miss, such as a phone number that is
 written out once and repeated without its prefix: its nodes are the words with
 a digit or an @ (all others are fixed to "no entity"), chain factors join
 neighbouring nodes, and skip factors join nodes that have the same digits or the
-same address name, however far apart. Base spans are observed; loopy sum-product
+same address name, however far apart. A written-out card or phone number also
+goes by the last digits of its whole span (LONG at least), and neighbouring words
+go by their digits together: '+1 (212) 555-0147' meets '2125550147', and
+'+12125550147' meets '(212) 555-0147'. Base spans are observed; loopy sum-product
 messages carry their labels along the edges until the messages stop changing.
 Each mention is linked to its group's first observed node of each kind, or to
 the first node if none is observed. So the last of n mentions hears as much as
@@ -14,6 +17,11 @@ the next one, and the edges stay in proportion to n.
 The factors are trained piece by piece, in closed form, from counts over all
 documents: a node's factor is P(label | shape), a pair's is how much more often
 two labels meet than by chance. Shapes are hashed to a table of fixed size.
+Unmatched words that share LONG digits or an address name with a base span are
+the mentions to find, so they count as nothing, not as "no entity". A shape keeps
+at least a fixed share of the labels' prior (FLOOR), and so do linked labels
+(STRAY), so that what a link adds doesn't fade or grow with the corpus. Fewer
+digits can be the same by chance; such links have a factor of their own.
 
 A node becomes a span only if its belief is at least MIN_BELIEF and a path of
 edges leads to an observed span of that kind; spans never overlap base ones.
@@ -30,6 +38,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,9 +48,14 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)  # the label of no entity
 LABELS = OUTSIDE + 1
+NUMBERS = (KINDS.index("card"), KINDS.index("phone"))
 SHAPES = 4096  # hash buckets of word shapes
 MAX_NODE = 80
 MIN_BELIEF = 0.9
+LONG = 7  # digits of a number without its prefixes
+MOST = 19  # digits of any number
+FLOOR = 0.2  # weight of the prior, as a share of a shape's count
+STRAY = 0.01  # how often linked nodes don't agree
 SETTLED = 1e-6  # messages that change less than this have stopped
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -123,47 +137,79 @@ def skip_key(word: str) -> str | None:
     return digits if len(digits) >= 4 else None
 
 
-def graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-    """Nodes, their observed labels, chain edges and skip edges."""
+def is_long(key: str) -> bool:
+    return key[0] == "@" or len(key) >= LONG
+
+
+class Graph(NamedTuple):
+    at: list[tuple[int, int]]  # the nodes
+    observed: np.ndarray  # their labels
+    chain: list[tuple[int, int]]  # edges of neighbours
+    skip: list[tuple[int, int]]  # edges of nodes that share LONG digits or a name
+    short: list[tuple[int, int]]  # edges of nodes that share fewer digits
+
+
+def graph(text: str, base: list[Span]) -> Graph:
+    """Nodes, their observed labels and the edges."""
     at = nodes(text)
     observed = np.full(len(at), OUTSIDE)
+    numbers: dict[int, tuple[int, str]] = {}  # base span -> its last node, its digits
     k = 0
     for i, (start, end) in enumerate(at):
         while k < len(base) and base[k][2] <= start:
             k += 1
-        for s in base[k : k + 8]:
-            if s[0] < end and s[2] > start:
-                observed[i] = s[1]
-                break
+        here = [n for n in range(k, min(k + 8, len(base))) if base[n][0] < end and base[n][2] > start]
+        if here:
+            observed[i] = base[here[0]][1]
+        for n in here:
+            if base[n][1] in NUMBERS and base[n][1] == observed[i]:
+                numbers[n] = i, _NOT_DIGIT.sub("", text[base[n][0] : base[n][2]])
     chain = [(i, i + 1) for i in range(len(at) - 1) if at[i + 1][0] - at[i][1] <= 4 and not any(c.isalnum() for c in text[at[i][1] : at[i + 1][0]])]
-    groups: dict[str, list[int]] = {}
-    for i, (start, end) in enumerate(at):
-        if key := skip_key(text[start:end]):
-            groups.setdefault(key, []).append(i)
-    skip = []
-    for same in groups.values():
+    groups: dict[str, dict[int, None]] = {}
+    for i, digits in numbers.values():
+        for n in range(LONG, len(digits) + 1):
+            groups.setdefault(digits[-n:], {})[i] = None
+    words = [text[start:end] for start, end in at]
+    bare = ["" if observed[i] != OUTSIDE or any(map(str.isalpha, w)) else _NOT_DIGIT.sub("", w) for i, w in enumerate(words)]
+    joined = set(chain)
+    for i in range(len(at) if groups else 0):
+        digits, j = bare[i], i
+        while digits and (j, j + 1) in joined and bare[j + 1] and len(digits) + len(bare[j + 1]) <= MOST:
+            j += 1
+            digits += bare[j]
+            if digits in groups:
+                groups[digits].update(dict.fromkeys(range(i, j + 1)))
+    for i, word in enumerate(words):
+        if key := skip_key(word):
+            groups.setdefault(key, {})[i] = None
+    edges: dict[bool, set[tuple[int, int]]] = {True: set(), False: set()}
+    for key, members in groups.items():
+        same = sorted(members)
         first: dict[int, int] = {}
         for i in same:
             if observed[i] != OUTSIDE:
                 first.setdefault(observed[i], i)
         hubs = set(first.values()) or {same[0]}
-        skip += [(h, i) for i in same for h in sorted(hubs) if i not in hubs or h < i]
-    return at, observed, chain, skip
+        edges[is_long(key)].update((h, i) for i in same for h in hubs if i not in hubs or h < i)
+    return Graph(at, observed, chain, sorted(edges[True]), sorted(edges[False] - edges[True]))
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shapes, chains, skips = np.zeros((SHAPES, LABELS), np.int64), np.zeros((LABELS, LABELS), np.int64), np.zeros((LABELS, LABELS), np.int64)
+    shapes, (chains, skips, shorts) = np.zeros((SHAPES, LABELS), np.int64), np.zeros((3, LABELS, LABELS), np.int64)
     for batch in batches:
         for text in batch["text"]:
             if not text or not _MARK.search(text):
                 continue
-            at, observed, chain, skip = graph(text, base_spans(text))
-            for (start, end), label in zip(at, observed, strict=True):
-                shapes[shape(text[start:end]), label] += 1
-            for table, edges in ((chains, chain), (skips, skip)):
+            at, observed, chain, skip, short = graph(text, base_spans(text))
+            sought = {x for i, j in skip if (observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for x in (i, j) if observed[x] == OUTSIDE}
+            for i, (start, end) in enumerate(at):
+                if i not in sought:
+                    shapes[shape(text[start:end]), observed[i]] += 1
+            for table, edges in ((chains, chain), (skips, skip), (shorts, short)):
                 for i, j in edges:
-                    table[observed[i], observed[j]] += 1
-    tables = [("shape", shapes), ("chain", chains), ("skip", skips)]
+                    if i not in sought and j not in sought:
+                        table[observed[i], observed[j]] += 1
+    tables = [("shape", shapes), ("chain", chains), ("skip", skips), ("short", shorts)]
     rows = [(name, int(r), int(c), int(t[r, c])) for name, t in tables for r, c in zip(*t.nonzero(), strict=True)]
     yield pd.DataFrame(rows, columns=["factor", "row", "label", "n"])
 
@@ -171,21 +217,24 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     """The field's log factors, from counts over every document.
 
-    The driver gets at most SHAPES * 5 + 50 sums, whatever the corpus.
+    The driver gets at most SHAPES * 5 + 75 sums, whatever the corpus.
     """
     counts = docs.select("text").mapInPandas(_count_batches, "factor string, row int, label int, n long")
     sums = counts.groupBy("factor", "row", "label").agg(F.sum("n").alias("n")).collect()
-    tables = {"shape": np.zeros((SHAPES, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.zeros((LABELS, LABELS))}
+    tables = {"shape": np.zeros((SHAPES, LABELS))} | {name: np.zeros((LABELS, LABELS)) for name in ("chain", "skip", "short")}
     for r in sums:
         tables[r["factor"]][r["row"], r["label"]] = r["n"]
     share = tables["shape"].sum(0) + 1.0
     prior = share / share.sum()
-    node = tables["shape"] + 2.0 * prior
+    node = tables["shape"] + (2.0 + FLOOR * tables["shape"].sum(1, keepdims=True)) * prior
     pairs = {}
-    for name in ("chain", "skip"):
+    for name in ("chain", "short"):
         t = tables[name] + tables[name].T + np.outer(prior, prior) * 10 + np.eye(LABELS)
         t /= t.sum()
         pairs[name] = np.log(t / np.outer(t.sum(1), t.sum(0)))
+    t = tables["skip"] + tables["skip"].T + np.eye(LABELS)
+    lift = np.log((1 - STRAY) * t / t.sum(1, keepdims=True) / prior + STRAY)
+    pairs["skip"] = (lift + lift.T) / 2
     return {"node": np.log(node / node.sum(1, keepdims=True)), **pairs}
 
 
@@ -242,15 +291,17 @@ def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray]) -> li
     """Spans that the field finds beside the base ones."""
     if not base:
         return []
-    at, observed, chain, skip = graph(text, base)
-    if not any((observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for i, j in skip + chain):
+    at, observed, chain, skip, short = graph(text, base)
+    edges = skip + short + chain
+    if not any((observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for i, j in edges):
         return []  # no label can travel: no edge leaves the observed nodes
     unary = np.stack([model["node"][shape(text[s:e])] for s, e in at])
     fixed = observed != OUTSIDE
     unary[fixed] = -np.inf  # however many messages come in
     unary[fixed, observed[fixed]] = 0.0
-    found = beliefs(unary, [(i, j, model["chain"]) for i, j in chain] + [(i, j, model["skip"]) for i, j in skip])
-    reach = reached_kinds(observed, skip + chain)
+    factors = [(i, j, model[name]) for name, own in (("chain", chain), ("skip", skip), ("short", short)) for i, j in own]
+    found = beliefs(unary, factors)
+    reach = reached_kinds(observed, edges)
     label = np.where(found.max(1) >= MIN_BELIEF, found.argmax(1), OUTSIDE)
     chosen = {i for i in range(len(at)) if not fixed[i] and label[i] != OUTSIDE and int(label[i]) in reach[i]}
     joined = set(chain)
