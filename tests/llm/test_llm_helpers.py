@@ -94,6 +94,22 @@ def test_segments_are_the_best_disjoint_ones(scores):
     assert {max((s for *_, s in found), default=0)} == {max([0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])}
 
 
+def test_passages_count_in_full_wherever_they_stand():
+    scores = dict.fromkeys("abcde", 2.5) | {"z": -0.2}
+    passage, filler = list("abcde"), ["z"] * 40
+    text = passage + filler + [w for c in "abcde" * 3 for w in (c, *filler)] + passage + filler * 20 + passage
+
+    class Held(dict):
+        __missing__ = scores.__getitem__
+
+    tokens, found = toxicity.segments(" ".join(text), Held())
+    assert [(s, e) for s, e, v in found if abs(v - 10) < 1e-9] == [(0, 5), (660, 665), (1465, 1470)] and tokens == 1470
+    _, (again,) = toxicity.segments(" ".join(passage * 50), Held())
+    assert again[:2] == (0, 250) and 10 <= again[2] < 20
+    _, (plain,) = toxicity.segments(" ".join("a" * 500), Held())
+    assert plain[2] < 6
+
+
 def test_hilbert_neighbours_touch():
     side = 8
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])

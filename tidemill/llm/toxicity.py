@@ -16,8 +16,10 @@ significant; a logistic fit turns their summed and their best evidence into a
 probability. Training documents are scored with their own counts taken out, so
 that both fits see what unlabelled documents will give.
 
-A token that recurs counts less each time (the n-th time by 1/n), so that plain
-repetition is no evidence. Words are cut at white space and then to runs of word characters; a document's
+Segments are those of the full log-odds, wherever in a text they stand. Within a
+segment, a token that recurs counts less each time (the n-th time by 1/n), so that
+plain repetition is no evidence: a segment's score is that of its best run so
+counted, from its start or from its end. Words are cut at white space and then to runs of word characters; a document's
 language, source and id are not read.
 
 Edge cases: a null or empty text has no segment and gets the score of no
@@ -123,15 +125,26 @@ def maximal_segments(scores: np.ndarray) -> list[Segment]:
     return [(s, e, float(b - a)) for s, e, a, b, _ in stack]
 
 
+def best_run(tokens: Sequence[str], values: np.ndarray) -> float:
+    """The highest score of a run of tokens, when the n-th of a kind counts 1/n."""
+    values, times = values.copy(), Counter()
+    for i in np.flatnonzero(values > DRIFT).tolist():
+        times[tokens[i]] += 1
+        values[i] /= times[tokens[i]]
+    total = np.concatenate([[0.0], np.cumsum(values - DRIFT)])
+    return float((total - np.minimum.accumulate(total)).max())
+
+
 def segments(text: str | None, scores: Scores) -> tuple[int, list[Segment]]:
     """How many tokens a text has, and its segments."""
     tokens = (text or "").split()
     values = np.fromiter(map(scores.__getitem__, tokens), np.float64, len(tokens))
-    times: Counter[str] = Counter()
-    for i in np.flatnonzero(values > DRIFT).tolist():
-        times[tokens[i]] += 1
-        values[i] /= times[tokens[i]]
-    return len(tokens), maximal_segments(values - DRIFT)
+    found = []
+    for start, end, score in maximal_segments(values - DRIFT):
+        if end - start > 1 and len(set(own := tokens[start:end])) < end - start:
+            score = max(best_run(own, values[start:end]), best_run(own[::-1], values[start:end][::-1]))
+        found.append((start, end, score))
+    return len(tokens), found
 
 
 def evidence(n: int, found: Sequence[Segment], law: tuple[float, float]) -> tuple[float, float, int]:
