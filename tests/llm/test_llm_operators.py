@@ -133,6 +133,23 @@ def test_classifiers_learn_and_stand_odd_rows(spark, docs, labels):
         assert made.count() == docs.count() and made.where("score IS NULL OR score < 0 OR score > 1").count() == 0
 
 
+def test_toxicity_learns_from_the_segments_it_scores(spark, monkeypatch):
+    rng = random.Random(8)
+    mild = [i % 5 < 3 if i % 4 == 0 else i % 3 == 0 for i in range(240)]
+    rows = [(i, " ".join(["mild"] * mild[i] + [rng.choice("abcd") * 3 for _ in range(rng.choice([2, 4, 9]))] + ["vile"] * (i % 4 == 0 and i % 3 > 0))) for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.logistic_fit
+    monkeypatch.setattr(toxicity, "logistic_fit", lambda x, y: seen.append((x, y)) or fit(x, y))
+    model = toxicity.fit(table, marks)
+    own = {x: toxicity.Scores(model["toxic"], model["clean"], model["base"], (int(x), int(not x))) for x in (False, True)}
+    sums = [(float(i % 4 == 0), *toxicity.evidence(*toxicity.segments(text, own[i % 4 == 0]), model["law"])[:2]) for i, text in rows]
+    assert any(0 < best < total for _, total, best in sums)
+    wanted = sorted((y, *map(float, f)) for (y, *_), f in zip(sums, toxicity._features([t for _, t, _ in sums], [b for *_, b in sums]), strict=True))
+    assert np.allclose(sorted((y, *map(float, f)) for f, y in zip(*seen[0], strict=True)), wanted)
+
+
 def test_classifiers_without_labels(docs, empty, labels):
     none = labels.where("doc_id < 0")
     assert quality.quality_scores(docs, quality.fit(docs, none)).where("score = 0.5").count() == docs.count()

@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label:
             rows = []
             for text, y in zip(batch["text"], batch["label"], strict=True):
                 tokens, found = segments(text, own[y > 0])
-                rows.append((int(y > 0), tokens, [s for *_, s in found if s > EXCESS / 4]))
+                rows.append((int(y > 0), tokens, [s for *_, s in found]))
             yield pd.DataFrame(rows, columns=["label", "tokens", "segments"])
 
     seen = train.mapInPandas(own_scores, "label int, tokens long, segments array<double>")
