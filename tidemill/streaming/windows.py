@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources.folders import new_folder
 from tidemill.sources.tables import event_stream
 
 DELAY = "10 minutes"
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
 def hourly_counts(events: DataFrame, delay: str = DELAY) -> DataFrame:
     """hour, event_type, n of a stream; an hour is final once the watermark passes it."""
     grouped = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
@@ -33,8 +25,8 @@ def distinct_events(events: DataFrame, delay: str = DELAY) -> DataFrame:
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now, into Parquet files, and read them."""
     spark = stream.sparkSession
-    out = _shared(spark, name)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", _shared(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
+    out = new_folder(spark, name)
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
