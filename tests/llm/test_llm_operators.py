@@ -1,5 +1,6 @@
 """The operators on small tables: brute force, and the cases that break jobs."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import chat, licenses, mixing, ngram_join, packing, pii, quality, tiff, topk, toxicity
 
 #: Names that the operators use inside.
-CLASHING = {"row": "x", "key": 1, "n": 2, "size": 3, "score": 0.5, "label": 1, "spans": "s", "block": 4, "order": 5, "gone_id": 6, "`odd.name`": 7}
+CLASHING = {"row": "x", "key": 1, "n": 2, "size": 3, "score": 0.5, "label": 1, "spans": "s", "block": 4, "order": 5, "gone_id": 6, "_gone_id": 6, "known_doc": 7, "text_key": "k", "`odd.name`": 7}
 
 
 def documents(spark, rows):
@@ -65,12 +66,48 @@ def test_jaccard_groups_against_all_pairs(docs):
     assert len({c for _, _, c, n in found if n}) > 3
 
 
-def test_one_of_each_keeps_one_and_all_columns(docs):
-    kept = ngram_join.one_of_each(docs, 4, 85)
-    assert kept.columns == docs.columns
-    groups = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(docs, 4, 85).collect() if r["doc_id"] is not None}
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted(set(groups.values()))
+def kept_by_hand(rows, k, percent):
+    """The (id, text) rows that one_of_each leaves, by all pairs of rows."""
+    sets = [ngram_join.shingles(t, k) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a) and len(b) and 100 * (x := len(np.intersect1d(a, b))) >= percent * (len(a) + len(b) - x):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for (doc, text), own, g in zip(rows, sets, group, strict=True):
+        if len(own):
+            best[g] = min(best.get(g, (True, True)), (doc is None, doc or 0, hashlib.md5((text or "").encode()).digest(), doc, text))
+    return sorted([b[-2:] for b in best.values()] + [r for r, own in zip(rows, sets, strict=True) if not len(own)], key=str)
+
+
+def test_one_of_each_loses_no_text_and_leaves_no_copy(spark, docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = corpus() + [(3, a), (5, a), (5, b), (7, c), (7, d), (None, d + " more"), (None, b + " x"), (None, " ".join("eee fff ggg hhh".split() * 9)), (2, a), (2, a), (None, "own text of a row without id"), (None, "own text of a row without id")]
+    made = documents(spark, rows)
+    kept = ngram_join.one_of_each(made, 4, 85)
+    assert kept.columns == made.columns and "_gone_id" in kept.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()), key=str) == kept_by_hand(rows, 4, 85)
+
+
+def test_rows_without_ids_cost_no_more_than_others(spark):
+    """A join on ids alone would give m x m rows here."""
+    unlike = "concat_ws(' ', transform(sequence(0, 30), i -> concat('w', pmod(hash(id div 2, i), 5000))))"
+    made = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"{unlike} AS text")
+    groups = ngram_join.jaccard_groups(made, 4, 85)
+    assert groups.agg(F.count("*"), F.sum("n_links")).first()[:] == (4000, 4000)
+    assert ngram_join.one_of_each(made, 4, 85).count() == 2000
+
+
+def test_large_group_of_near_copies_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROWS", 16)
+    text = "concat_ws(' ', transform(sequence(0, 99), i -> IF(i = pmod(id, 100), concat('x', id), concat('w', i))))"
+    made = spark.range(150).selectExpr("id AS doc_id", f"{text} AS text")
+    found = ngram_join.jaccard_groups(made, 4, 85).collect()
+    sets = [ngram_join.shingles(r["text"], 4) for r in made.orderBy("doc_id").collect()]
+    links = [sum(100 * (x := len(np.intersect1d(a, b))) >= 85 * (len(a) + len(b) - x) for b in sets) - 1 for a in sets]
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in found) == [(i, 0, n) for i, n in enumerate(links)]
 
 
 def test_packing_holds_every_id_once(docs):

@@ -16,41 +16,53 @@ them. All that is left out follows from such bounds, so no link is lost:
    shingle is; rows with fewer than o shared columns go. The others' rarest
    ``n - o + 1`` columns are their prefix: linked rows share a column of it.
 3. Rows are dealt to blocks by the least hash of their shared columns, on which
-   similar rows mostly agree; large groups get several blocks. Two blocks with a
-   prefix column in common and rows of fitting size form a cell.
-4. A cell multiplies its blocks, accumulates the overlaps and discards pairs below
-   the bound. It returns each row's links and a spanning forest, never its pairs.
+   similar rows mostly agree; groups beyond ROWS rows or ENTRIES entries get several
+   blocks. Two blocks with a prefix column in common and rows of fitting size form a
+   cell, so a row of a group of m near copies is sent m / ROWS times, not m times.
+4. A cell multiplies its blocks strip by strip, accumulates the overlaps and discards
+   pairs below the bound. It returns each row's links and a spanning forest, never
+   its pairs.
 5. Alternating large and small stars contract the forests to components.
 
 Every pair has one cell, so link counts need no later removal of repeats. Groups
-of copies, large or small, are one row each until the last join.
+of copies, large or small, are one row each until the last join; there, groups that
+hold a visible share of all rows (HOT of them at most) are joined by broadcast and
+the rest by their keys.
 
 Edge cases: a null or empty text, or one without words, has an empty set, links
 with nothing and is its own component; a text of fewer than k words has one
-shingle, the whole sequence; repeated rows are documents of their own; a null id
-counts as a document but is no component's name while another id is there; an
-empty table gives no row. Only doc_id and text are read. Row and column keys are
-128-bit and 64-bit hashes.
+shingle, the whole sequence; repeated rows are documents of their own, and rows of
+one id with unlike texts too: a digest of the text goes with the id wherever rows
+are looked up; a null id counts as a document but is no component's name while
+another id is there; an empty table gives no row. Only doc_id and text are read;
+:func:`one_of_each` passes all other columns through, whatever they are called. Row
+and column keys are 128-bit and 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bound_batches, broadcast_if_small, hash_words, rolling_hashes, stored
+from tidemill.llm.common import broadcast_if_small, hash_words, rolling_hashes, scan, scratch, small_batches, stored, text_key
 
 EXTRA = 20  # c is one part in so many of a row
-ENTRIES = 1 << 20  # entries of a column block, and what a task gathers before it sends
+ENTRIES = 1 << 20  # entries of a column block and of a row block, and what a task gathers before it sends
 LEAST_BLOCKS = 64
-ROWS = 128  # of a row block, about
-COLUMNS = 4096  # that are multiplied at once
+ROWS = 2048  # of a row block, about
+STRIP = 256  # rows that are compared at once
+COLUMNS = 2048  # that are multiplied at once
+SPARSE = 400  # a column of less than this part of all pairs adds pairs, not a product
 BROADCAST = 100_000  # rows of a key, an id and three numbers
+HOT = 10_000  # a group with more than this part of all rows is joined by broadcast
+Store = Callable[[DataFrame, str], DataFrame]
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -65,32 +77,36 @@ def overlap_bound(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, ref, prefix: a task gives the prefix of a set once."""
+    """doc_id, text_key, n_shingles, set_key, ref, prefix: a task gives the prefix of a set once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         seen: set[bytes] = set()
-        for batch in batches:
-            rows, held = [], 0
-            for doc, text in zip(batch["doc_id"].array, batch["text"], strict=True):
+
+        def make(texts: list[str | None]) -> Iterator[tuple[list[int], list]]:
+            at, rows, held = [], [], 0
+            for i, text in enumerate(texts):
+                digest = hashlib.md5((text or "").encode(), usedforsecurity=False).digest()
                 found = shingles(text, k)
-                n = len(found)
-                if not n:
-                    rows.append((doc, 0, None, None, None))
-                    continue
-                key, prefix = xxhash.xxh3_128_digest(found.tobytes()), None
-                if key not in seen:
-                    seen.add(key)
-                    prefix = found[: n - overlap_bound(n, percent) + max(1, n // EXTRA)].tobytes()
-                    held += len(prefix) // 8
-                rows.append((doc, n, key, int.from_bytes(key[:8], "little", signed=True), prefix))
+                n, key, ref, prefix = len(found), None, None, None
+                if n:
+                    key = xxhash.xxh3_128_digest(found.tobytes())
+                    ref = int.from_bytes(key[:8], "little", signed=True)
+                    if key not in seen:
+                        seen.add(key)
+                        prefix = found[: n - overlap_bound(n, percent) + max(1, n // EXTRA)].tobytes()
+                        held += len(prefix) // 8
+                at.append(i)
+                rows.append((digest, n, key, ref, prefix))
                 if held > ENTRIES:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names).astype({"ref": "Int64"})
+                    yield at, list(zip(*rows, strict=True))
+                    at, rows, held = [], [], 0
+            if rows:
+                yield at, list(zip(*rows, strict=True))
 
-    names = ["doc_id", "n_shingles", "set_key", "ref", "prefix"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, set_key binary, ref long, prefix binary")
+        return make
+
+    fields = [("text_key", "binary", pa.binary()), ("n_shingles", "long", pa.int64()), ("set_key", "binary", pa.binary()), ("ref", "long", pa.int64()), ("prefix", "binary", pa.binary())]
+    return scan(docs, ["doc_id"], ["text"], start, fields)
 
 
 def _numbers(blobs: pd.Series, kind: str = "<u8") -> np.ndarray:
@@ -126,8 +142,8 @@ def _gathered(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataF
 
 def _shared_counts(sets: DataFrame) -> DataFrame:
     """ref -> how many entries of its prefix have a column with several rows."""
-    entries = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, int(entries) // ENTRIES)
+    entries = int(sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0)
+    blocks = max(LEAST_BLOCKS, entries // ENTRIES)
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Entries by column block; block < 0: counts of what this task has seen to be shared."""
@@ -170,33 +186,38 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
     return counts.groupBy("ref").agg(F.sum("n").alias("shared"))
 
 
-def _whole_rows(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """The whole sets of nodes' rows: row_block, set_key, n, size, shingles."""
-    chosen = broadcast_if_small(nodes.select(F.col("rep").alias("node_doc"), "set_key", "n", "size"), BROADCAST)
-    read = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("node_doc"))).select("text", "set_key", "n", "size")
+def _whole_rows(docs: DataFrame, nodes: DataFrame, k: int, store: Store) -> DataFrame:
+    """The whole sets of nodes' rows: row_block, set_key, n, size, shingles.
+
+    A node is looked up by the id and the digest of one of its texts, so rows without
+    an id, or with a common one, meet their own node only.
+    """
+    chosen = nodes.select(F.col("rep.doc_id").alias("node_doc"), F.col("rep.text_key").alias("node_text"), "set_key", "n", "size")
+    same = F.col("doc_id").eqNullSafe(F.col("node_doc")) & (F.col("text_key") == F.col("node_text"))
+    read = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).join(broadcast_if_small(chosen, BROADCAST), same).select("text", "set_key", "n", "size")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, held = np.random.default_rng(), 0
+        block, held, seen = np.random.default_rng(), 0, set()
         name = int(block.integers(1 << 62))
         for batch in batches:
             rows = []
             for text, key, n, size in zip(batch["text"], batch["set_key"], batch["n"], batch["size"], strict=True):
-                found = shingles(text, k)
-                if xxhash.xxh3_128_digest(found.tobytes()) == bytes(key):
-                    rows.append((name, bytes(key), n, size, found.tobytes()))
+                if bytes(key) not in seen:  # repeated rows of one id and text give a set again
+                    seen.add(bytes(key))
+                    rows.append((name, bytes(key), n, size, shingles(text, k).tobytes()))
                     held += n
                     if held > ENTRIES:
                         name, held = int(block.integers(1 << 62)), 0
             yield pd.DataFrame(rows, columns=["row_block", "set_key", "n", "size", "shingles"])
 
-    rows = stored(read.mapInPandas(run, "row_block long, set_key binary, n long, size long, shingles binary"), "ngram-rows")
-    # Repeated rows of the very same id and text give a set twice.
-    return rows if rows.count() == nodes.count() else stored(rows.dropDuplicates(["set_key"]), "ngram-rows")
+    rows = store(read.mapInPandas(run, "row_block long, set_key binary, n long, size long, shingles binary"), "rows")
+    return rows if rows.count() == nodes.count() else store(rows.dropDuplicates(["set_key"]), "rows")
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Rows that can have links, with their prefix columns that others have too."""
-    blocks = max(LEAST_BLOCKS, int(rows.agg(F.sum("n")).first()[0] or 0) // ENTRIES)
+    entries = int(rows.agg(F.sum("n")).first()[0] or 0)
+    blocks = max(LEAST_BLOCKS, entries // ENTRIES)
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -240,130 +261,214 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     made = rows.select("row_block", "shingles").mapInPandas(tiles, "block int, row_block long, columns binary, counts binary")
     counted = made.groupBy("block").applyInPandas(column_block, "row_block long, columns binary, counts binary")
     schema = "set_key binary, n long, size long, lead long, prefix array<long>, shingles binary"
-    return rows.groupBy("row_block").cogroup(counted.groupBy("row_block")).applyInPandas(row_block, schema)
+    dealt, counted = (x.groupBy("row_block") for x in (rows, counted))
+    return dealt.cogroup(counted).applyInPandas(row_block, schema)
 
 
-def _cells(rows: DataFrame, percent: int) -> DataFrame:
+def _cells(rows: DataFrame, percent: int, store: Store) -> DataFrame:
     """The rows of each cell: low, high (its blocks), block, set_key, n, size, shingles."""
-    large = rows.groupBy("lead").agg(F.count("*").alias("rows")).where(F.col("rows") > ROWS).withColumnRenamed("lead", "large_lead")
-    parts = F.coalesce(F.ceil(F.col("rows") / ROWS), F.lit(1))
-    block = F.xxhash64("lead", F.pmod(F.xxhash64("set_key"), parts))
+    parts = F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / ENTRIES))
+    large = store(rows.groupBy(F.col("lead").alias("large_lead")).agg(parts.alias("parts")).where("parts > 1"), "large")
+    block = F.xxhash64("lead", F.pmod(F.xxhash64("set_key"), F.coalesce("parts", F.lit(1))))
     placed = rows.join(broadcast_if_small(large), F.col("lead") == F.col("large_lead"), "left")
-    placed = stored(placed.select("set_key", "n", "size", "shingles", "prefix", block.alias("block")), "ngram-placed")
+    placed = store(placed.select("set_key", "n", "size", "shingles", "prefix", block.alias("block")), "placed")
     entries = placed.select("n", "block", F.explode("prefix").alias("gram"))
     meets = entries.groupBy("gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows"))
-    low = stored(meets, "ngram-meets")
+    low = store(meets, "meets")
     high = low.select("gram", *(F.col(c).alias(f"high_{c}") for c in ("block", "least", "most")))
     fits = (F.col("high_most") * 100 >= F.col("least") * percent) & (F.col("high_least") * percent <= F.col("most") * 100)
     met = low.join(high, "gram").where(fits & ((F.col("block") < F.col("high_block")) | ((F.col("block") == F.col("high_block")) & (F.col("rows") > 1))))
-    cells = met.select(F.col("block").alias("low"), F.col("high_block").alias("high")).distinct()
+    cells = store(met.select(F.col("block").alias("low"), F.col("high_block").alias("high")).distinct(), "cells")
     members = cells.withColumn("member", F.explode(F.array_distinct(F.array("low", "high"))))
     whole = placed.select("set_key", "n", "size", "shingles", "block")
     return members.join(whole, F.col("member") == F.col("block")).drop("member")
 
 
+def _columns(side: pd.DataFrame, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block over some (sorted) columns: its rows, column by column, their columns, and how many each has."""
+    hashes = _numbers(side["shingles"])
+    rows = np.repeat(np.arange(len(side)), side["n"])
+    at = np.minimum(np.searchsorted(columns, hashes), max(len(columns) - 1, 0))
+    known = columns[at] == hashes if len(columns) else np.zeros(len(hashes), bool)
+    order = np.argsort(at[known], kind="stable")
+    at = at[known][order]
+    return rows[known][order], at, np.bincount(at, minlength=len(columns))
+
+
+def _overlaps(low: pd.DataFrame, high: pd.DataFrame) -> np.ndarray:
+    """The product of two blocks: common columns of each pair of rows.
+
+    Columns of few pairs add them one by one, the others in dense stripes of COLUMNS.
+    """
+    columns = np.unique(_numbers(low["shingles"]))
+    if low is not high:
+        columns = np.intersect1d(columns, np.unique(_numbers(high["shingles"])), assume_unique=True)
+    left = _columns(low, columns)
+    right = left if low is high else _columns(high, columns)
+    overlap = np.zeros((len(low), len(high)), np.float32)
+    pairs = left[2] * right[2]
+    sparse = pairs * SPARSE <= overlap.size
+    firsts = np.cumsum(right[2]) - right[2]
+    chosen = np.flatnonzero(sparse[left[1]])
+    each = right[2][left[1][chosen]]
+    for part in np.split(chosen, np.flatnonzero(np.diff(np.cumsum(each) // ENTRIES)) + 1):
+        of = left[1][part]
+        each = right[2][of]
+        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        np.add.at(overlap.reshape(-1), np.repeat(left[0][part], each) * len(high) + right[0][np.repeat(firsts[of], each) + within], np.float32(1))
+    number = np.cumsum(~sparse) - 1
+    for at in range(0, int((~sparse).sum()), COLUMNS):
+        stripes = []
+        for rows, of, _ in (left, right) if low is not high else (left,):
+            held = ~sparse[of] & (number[of] >= at) & (number[of] < at + COLUMNS)
+            stripe = np.zeros((int(rows.max()) + 1 if len(rows) else 0, COLUMNS), np.float32)
+            stripe[rows[held], number[of[held]] - at] = 1
+            stripes.append(stripe)
+        overlap[: len(stripes[0]), : len(stripes[-1])] += stripes[0] @ stripes[-1].T
+    return overlap
+
+
+def _linked(low: pd.DataFrame, high: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows of one block link to which of another; the rest is discarded, strip by strip."""
+    overlap = _overlaps(low, high)
+    linked = np.zeros(overlap.shape, bool)
+    sizes = high["n"].to_numpy(np.float64)
+    for i in range(0, len(low), STRIP):
+        part = overlap[i : i + STRIP].astype(np.float64)
+        linked[i : i + STRIP] = 100 * part >= percent * (low["n"].to_numpy(np.float64)[i : i + STRIP, None] + sizes - part)
+    if low is high:
+        np.fill_diagonal(linked, False)
+    return linked
+
+
 def _product(percent: int):
-    """Multiply the two blocks of a cell."""
+    """Multiply the two blocks of a cell; give each row's links and its tree in a spanning forest."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = key
-        n, size, block = frame["n"].to_numpy(), frame["size"].to_numpy(), frame["block"].to_numpy()
-        rows = np.repeat(np.arange(len(frame)), n)
-        _, of, counts = np.unique(_numbers(frame["shingles"]), return_inverse=True, return_counts=True)
-        several = counts[of] > 1
-        number = np.cumsum(counts > 1) - 1
-        rows, columns = rows[several], number[of[several]]
-        order = np.argsort(columns, kind="stable")
-        rows, columns = rows[order], columns[order]
-        overlap = np.zeros((len(frame), len(frame)), np.float32)
-        for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
-            a, b = np.searchsorted(columns, [at, at + COLUMNS])
-            incidence = np.zeros((len(frame), COLUMNS), np.float32)
-            incidence[rows[a:b], columns[a:b] - at] = 1
-            overlap += incidence @ incidence.T
-        linked = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
-        np.fill_diagonal(linked, False)
-        if low != high:
-            linked &= block[:, None] != block[None, :]
-        root = np.arange(len(frame))
-        for i in range(len(frame)):
-            if root[i] == i and linked[i].any():
-                wave = np.array([i])
+        same = key[0] == key[1]
+        low = frame if same else frame[frame["block"] == key[0]]
+        high = low if same else frame[frame["block"] == key[1]]
+        linked = _linked(low, high, percent)
+        # From each row in turn, a wave over the rows not yet reached, now on one side, now on the other.
+        shift = 0 if same else len(low)
+        root = np.full(len(low) + (0 if same else len(high)), -1)
+        for i in np.flatnonzero(linked.any(1)).tolist():
+            if root[i] < 0:
+                wave, left = np.array([i]), True
+                root[i] = i
                 while len(wave):
+                    met = linked[wave].any(0) if left else linked[:, wave - shift].any(1)
+                    wave = np.flatnonzero(met) + (shift if left else 0)
+                    wave = wave[root[wave] < 0]
                     root[wave] = i
-                    wave = np.flatnonzero(linked[wave].any(0) & (root != i))
-        at = np.flatnonzero(linked.any(1))
-        keys = frame["set_key"].to_numpy()
-        return pd.DataFrame({"set_key": keys[at], "links": (linked[at] @ size).astype(np.int64), "root": keys[root[at]]})
+                    left = not left and not same or same
+        keys = np.concatenate([low["set_key"].to_numpy(), *([] if same else [high["set_key"].to_numpy()])])
+        links = linked @ high["size"].to_numpy(float)
+        if not same:
+            links = np.concatenate([links, linked.T @ low["size"].to_numpy(float)])
+        at = np.flatnonzero(root >= 0)
+        return pd.DataFrame({"set_key": keys[at], "links": links[at].astype(np.int64), "root": keys[root[at]]})
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Store) -> DataFrame:
     """node -> component (its least node), of edges (node, root), by alternating stars.
 
     Each round is a minimum by key and a join; its result is written, so that
     neither lineage nor any node's neighbours gather anywhere.
     """
     now = edges.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct()
-    now = stored(now, "ngram-edges")
+    now = store(now, "edges")
     mark: Column = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = None
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(stored(least, "ngram-least"), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "ngram-large")
+        large = both.join(store(least, "least"), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = store(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(stored(least, "ngram-least"), F.col("u") == F.col("w"))
+        small = large.join(store(least, "least"), F.col("u") == F.col("w"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "ngram-edges")
+        now = store(small, "edges")
         after = now.agg(F.count("*").alias("n"), mark.alias("mark")).first()
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
         before = after
 
 
+def _groups(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: a row for each document, and one for each set that is not alone.
+
+    The first has doc_id, text_key, n_shingles and set_key; the second linked_key (a
+    set_key), size, n_links, and least, the least document of the set's component: its
+    id (null last) and the digest of its text.
+    """
+    spark = docs.sparkSession
+    with scratch(spark) as store, small_batches(spark):
+        sets = store(_sets(docs, k, percent), "sets")
+        own = stored(sets.drop("ref", "prefix"), "ngram-sets")
+        rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("rep")
+        classes = store(sets.where("n_shingles > 0").groupBy("set_key").agg(rep, F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("ref").alias("ref")), "classes")
+        bound = F.floor((F.col("n") * percent + 99) / 100)
+        nodes = classes.join(_shared_counts(sets).withColumnRenamed("ref", "shared_ref"), F.col("ref") == F.col("shared_ref"))
+        nodes = store(nodes.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(bound / EXTRA))).select("set_key", "rep", "size", "n"), "nodes")
+        rows = store(_candidates(_whole_rows(docs, nodes, k, store), percent), "candidates")
+        found = _cells(rows, percent, store).groupBy("low", "high").applyInPandas(_product(percent), "set_key binary, links long, root binary")
+        found = store(found, "links")
+        named = components(found.select(F.col("set_key").alias("node"), "root"), store)
+        links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
+        linked = classes.join(links, "set_key", "left").join(named, F.col("set_key") == F.col("node"), "left")
+        linked = store(linked.where("size > 1 OR node IS NOT NULL").select("set_key", "rep", "size", "links", "component"), "linked")
+        least = linked.where("component IS NOT NULL").groupBy(F.col("component").alias("name")).agg(F.min("rep").alias("least"))
+        linked = linked.join(least, F.col("component") == F.col("name"), "left")
+        linked = linked.select(F.col("set_key").alias("linked_key"), "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("least", "rep").alias("least"))
+        return own, stored(linked, "ngram-groups")
+
+
+def _by_set(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """Each row of sets with its set's columns, or nulls; no key of many rows is shuffled."""
+    hot = linked.where(F.col("size") > F.lit(sets.count() / HOT))
+    on = F.col("set_key") == F.col("linked_key")
+    alone = sets.join(F.broadcast(hot.select("linked_key")), on, "left_anti")
+    rest = linked.join(F.broadcast(hot.select(F.col("linked_key").alias("hot_key"))), F.col("linked_key") == F.col("hot_key"), "left_anti")
+    return sets.join(F.broadcast(hot), on).unionByName(alone.join(rest, on, "left"))
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every document (doc_id, text).
 
     Two documents link when ``100 * intersection >= percent * union`` of their
     sets of k-word shingles; n_links counts the documents that one links to.
     """
-    bound_batches(docs.sparkSession)
-    sets = stored(_sets(docs, k, percent), "ngram-sets")
-    classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("ref").alias("ref"))
-    classes = stored(classes, "ngram-classes")
-    bound = F.floor((F.col("n") * percent + 99) / 100)
-    nodes = classes.join(_shared_counts(sets).withColumnRenamed("ref", "shared_ref"), F.col("ref") == F.col("shared_ref"))
-    nodes = stored(nodes.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(bound / EXTRA))).select("set_key", "rep", "size", "n"), "ngram-nodes")
-    rows = stored(_candidates(_whole_rows(docs, nodes, k), percent), "ngram-candidates")
-    found = _cells(rows, percent).groupBy("low", "high").applyInPandas(_product(percent), "set_key binary, links long, root binary")
-    found = stored(found, "ngram-links")
-    named = components(found.select(F.col("set_key").alias("node"), "root"))
-    links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
-    linked = classes.join(links, "set_key", "left").join(named, F.col("set_key") == F.col("node"), "left")
-    linked = stored(linked.where("size > 1 OR node IS NOT NULL").select("set_key", "rep", "size", "links", "component"), "ngram-linked")
-    least = linked.where("component IS NOT NULL").groupBy(F.col("component").alias("name")).agg(F.min("rep").alias("least"))
-    linked = linked.join(least, F.col("component") == F.col("name"), "left")
-    linked = stored(linked.select(F.col("set_key").alias("linked_key"), F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "ngram-groups")
-    whole = sets.select("doc_id", "n_shingles", "set_key").join(linked, F.col("set_key") == F.col("linked_key"), "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    whole = _by_set(*_groups(docs, k, percent))
+    return whole.select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that a smaller id of their component stands for.
+    """docs with one document of each component, in docs' own columns.
 
-    Rows that repeat an id within a component count as one document; one stays.
+    It is the one of the least id (nulls last) and, of several texts of that id, of
+    the least digest. Rows are told apart by id and text, so texts that no link
+    connects stay, even if they share an id or have none. Where several rows have
+    the id and the text that stay, one stays: the least by a hash of all columns.
+    Documents without words link with nothing and stay, all of them.
     """
-    groups = stored(jaccard_groups(docs, k, percent), "ngram-result")
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(broadcast_if_small(gone, BROADCAST), F.col("doc_id") == F.col("_gone_id"), "left_anti")
-    repeated = groups.where("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(F.broadcast(repeated) if repeated.limit(BROADCAST + 1).count() <= BROADCAST else repeated, "doc_id", "left_semi")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id"]))
+    whole = _by_set(*_groups(docs, k, percent)).where("least IS NOT NULL")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    # Each id and text that goes, and those that stay but in several rows.
+    known = whole.groupBy(F.col("doc_id").alias("known_doc"), F.col("text_key").alias("known_text")).agg(F.max(stays).alias("stays"), F.count("*").alias("rows"))
+    known = stored(known.where("NOT stays OR rows > 1"), "ngram-known")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col("text")).alias("text_key"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("known_doc")) & (F.col("text_key") == F.col("known_text"))
+    small = broadcast_if_small(known, BROADCAST)
+    plain = keyed.join(small.select("known_doc", "known_text"), same, "left_anti").select("row.*")
+    again = known.where("stays")
+    if again.isEmpty():
+        return plain
+    several = keyed.join(broadcast_if_small(again, BROADCAST), same)
+    one = several.groupBy("known_doc", "known_text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return plain.unionByName(one.select("row.*"))
 
 
 #: The same groups in DuckDB, by all common shingles.
