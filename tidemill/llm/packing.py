@@ -18,6 +18,7 @@ Documents travel in parts of PART ids at most, so no row grows with a text.
 Edge cases: a null or empty text is its closing id only; repeated rows are packed
 as often as they occur; rows of one id keep apart, as their parts sort by a row
 number of their own; an empty table gives no piece. Only doc_id and text are read.
+Ranges follow the tokens, so a task's work doesn't grow with the table.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm.common import bound_batches, mix64, stored
+from tidemill.llm.common import mix64, scan, small_batches, stored
 
 SEQUENCE = 2048
 CLOSING = 1  # the id after each document
@@ -44,6 +46,8 @@ DIMENSIONS = 4
 GRID_BITS = 8  # of a coordinate
 HASHED = 1024  # length of the hashed vectors
 PART = 65_536
+RANGE = 1 << 25  # tokens of a range on large tables, about
+LEAST_RANGE = 1 << 20  # a range of fewer would cost more than it helps
 BINS = 1 << 16  # stretches of the curve whose tokens are counted to place the ranges
 _UNLIKE = re.compile(r"[^\n\x20-\x7E\u00A1-\u024F]|<\|")
 
@@ -120,38 +124,44 @@ def tail_lengths(n: int) -> list[int]:
 
 
 def _tokenised(docs: DataFrame, path: str, ranks: str | None) -> DataFrame:
-    """A row for each part: doc_id, start, doc_tokens, ids, and the coordinates."""
+    """A row for each part: doc_id, start, doc_tokens, ids, width, row_number, and the coordinates."""
     axes = directions()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tokens = Ids(path, ranks)
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, text in zip(batch["doc_id"].array, batch["text"], strict=True):
+
+        def make(texts: list[str | None]) -> Iterator[tuple[list[int], list]]:
+            of, rows, held = [], [], 0
+            for i, text in enumerate(texts):
                 own = tokens.encode(text or "")
-                point = project(own, axes)
+                point = project(own, axes).tolist()
                 ids = np.append(own, np.uint32(CLOSING)).astype("<u4")
                 for at in range(0, len(ids), PART):
                     part = ids[at : at + PART]
-                    rows.append((doc, at, len(ids), (part.astype("<u2") if part.max() < 65536 else part).tobytes(), *point))
+                    width = 2 if part.max() < 65536 else 4
+                    of.append(i)
+                    rows.append((at, len(ids), part.astype(f"<u{width}").tobytes(), width, *point))
                     held += len(part)
                 if held > 4 * PART:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
+                    yield of, list(zip(*rows, strict=True))
+                    of, rows, held = [], [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield of, list(zip(*rows, strict=True))
+
+        return make
+
+    fields = [("start", "long", pa.int64()), ("doc_tokens", "long", pa.int64()), ("ids", "binary", pa.binary()), ("width", "int", pa.int32())]
+    parts = scan(docs, ["doc_id"], ["text"], start, fields + [(f"p{i}", "double", pa.float64()) for i in range(DIMENSIONS)])
+    return parts.withColumn("row_number", F.monotonically_increasing_id() - F.floor(F.col("start") / PART))
 
-    coordinates = [f"p{i}" for i in range(DIMENSIONS)]
-    names = ["doc_id", "start", "doc_tokens", "ids", *coordinates]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, doc_tokens long, ids binary, " + ", ".join(f"{c} double" for c in coordinates)
-    parts = docs.select("doc_id", "text").mapInPandas(run, schema)
-    return parts.withColumn("width", F.when(F.octet_length("ids") == 2 * F.least(F.col("doc_tokens") - F.col("start"), F.lit(PART)), 2).otherwise(4)).withColumn("row_number", F.monotonically_increasing_id() - F.floor(F.col("start") / PART))
 
+def range_count(tokens: float, partitions: int) -> int:
+    """How many ranges a number of tokens takes: large ones, but one for each task if there is enough for all."""
+    return max(1, math.ceil(tokens / RANGE), min(partitions, math.ceil(tokens / LEAST_RANGE)))
 
-def _ranged(parts: DataFrame, count: int) -> DataFrame:
-    """parts with the Hilbert key and the number of its range in the place of the coordinates.
+
+def _ranged(parts: DataFrame, count: int | None) -> tuple[DataFrame, int]:
+    """parts with the Hilbert key and the number of its range in the place of the coordinates; the number of ranges.
 
     The tokens in each of BINS stretches of the curve set the ranges' ends, so that
     all ranges get their even share, and the same in each run. Where an end falls
@@ -163,11 +173,10 @@ def _ranged(parts: DataFrame, count: int) -> DataFrame:
     mean = np.array([round(stats[c] or 0.0, 9) for c in names])  # sums of floats differ in their last digits
     deviation = np.array([max(round(stats[f"d{c}"] or 0.0, 9), 1e-9) for c in names])
     side = 1 << GRID_BITS
-    erf = np.vectorize(math.erf, otypes=[float])
 
     def keys(coordinates: tuple[pd.Series, ...]) -> np.ndarray:
         z = (np.column_stack([c.to_numpy(float) for c in coordinates]) - mean) / deviation
-        share = 0.5 * (1 + erf(z / math.sqrt(2)))  # as filled as those of a normal law
+        share = 0.5 * (1 + np.tanh(0.851 * z))  # about as filled as those of a normal law
         return hilbert_key(np.minimum((share * side).astype(np.int64), side - 1))
 
     below = DIMENSIONS * GRID_BITS - BINS.bit_length() + 1  # bits of a key within its stretch
@@ -181,6 +190,7 @@ def _ranged(parts: DataFrame, count: int) -> DataFrame:
     for row in parts.groupBy(stretch(*names).alias("stretch")).agg(F.sum(length).alias("tokens")).collect():  # BINS rows at most
         filled[row["stretch"]] = row["tokens"]
     before = np.cumsum(filled) - filled
+    count = count or range_count(filled.sum(), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("key long, range int")
     def place(hashes: pd.Series, *coordinates: pd.Series) -> pd.DataFrame:
@@ -189,7 +199,7 @@ def _ranged(parts: DataFrame, count: int) -> DataFrame:
         return pd.DataFrame({"key": key, "range": np.minimum(at / max(filled.sum(), 1.0) * count, count - 1).astype(np.int32)})
 
     placed = parts.withColumn("place", place(F.xxhash64("doc_id", "row_number"), *names))
-    return placed.drop(*names).withColumns({"key": F.col("place.key"), "range": F.col("place.range")}).drop("place")
+    return placed.drop(*names).withColumns({"key": F.col("place.key"), "range": F.col("place.range")}).drop("place"), count
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -201,51 +211,65 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     """
     if tokenizer is None:
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    bound_batches(docs.sparkSession)
-    parts = stored(_tokenised(docs, tokenizer, ranks), "pack-tokens")
-    count = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _ranged(parts, count).repartitionById(count, F.col("range")).sortWithinPartitions("key", "doc_id", "row_number", "start")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sequence, held, waiting = 0, 0, []
-
-        def written(pieces: list[tuple], number: int, offset: int = 0) -> Iterator[tuple]:
-            for doc, start, total, ids in pieces:
-                yield (doc, start, len(ids), total, number, offset, ids.tobytes())
+    with small_batches(docs.sparkSession):
+        parts = stored(_tokenised(docs, tokenizer, ranks), "pack-tokens")
+        ranged, count = _ranged(parts, partitions)
+    ranged = ranged.repartitionById(count, F.col("range")).sortWithinPartitions("key", "doc_id", "row_number", "start")
+
+    def start():
+        sequence, held, waiting, base = 0, 0, [], 0
+
+        def written(pieces: list[tuple], number: int) -> Iterator[tuple]:
+            offset = 0
+            for doc, at, total, ids in pieces:
+                yield (doc, at, len(ids), total, number, offset, ids.tobytes())
                 offset += len(ids)
 
-        base = None
+        def add(doc: object, at: int, total: int, ids: np.ndarray, number: int) -> Iterator[tuple]:
+            nonlocal sequence, held, waiting, base
+            base = number << 40
+            while len(ids):
+                piece, ids = ids[: SEQUENCE - held], ids[SEQUENCE - held :]
+                waiting.append((doc, at, total, piece))
+                at, held = at + len(piece), held + len(piece)
+                if held == SEQUENCE:
+                    yield from written(waiting, base + sequence)
+                    sequence, held, waiting = sequence + 1, 0, []
+
+        def rest() -> Iterator[tuple]:
+            nonlocal sequence
+            for room in tail_lengths(held):
+                taken = []
+                while room:
+                    doc, at, total, ids = waiting.pop(0)
+                    taken.append((doc, at, total, ids[:room]))
+                    if len(ids) > room:
+                        waiting.insert(0, (doc, at + room, total, ids[room:]))
+                    room -= len(taken[-1][3])
+                yield from written(taken, base + sequence)
+                sequence += 1
+
+        return add, rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, rest = start()
+        kind = None
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, start, total, ids, width, at in zip(*(batch[c].array for c in ("doc_id", "start", "doc_tokens", "ids", "width", "range")), strict=True):
-                base = int(at) << 40
-                left = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                while len(left):
-                    piece, left = left[: SEQUENCE - held], left[SEQUENCE - held :]
-                    waiting.append((doc, int(start), total, piece))
-                    start, held = start + len(piece), held + len(piece)
-                    if held == SEQUENCE:
-                        rows += written(waiting, base + sequence)
-                        sequence, held, waiting = sequence + 1, 0, []
-            yield pd.DataFrame(rows, columns=names)
-        rows = []
-        for length in tail_lengths(held):
-            taken, room = [], length
-            while room:
-                doc, start, total, ids = waiting[0]
-                taken.append((doc, start, total, ids[:room]))
-                if len(ids) > room:
-                    waiting[0] = (doc, start + room, total, ids[room:])
-                else:
-                    waiting.pop(0)
-                room -= min(room, len(ids))
-            rows += written(taken, base + sequence)
-            sequence += 1
-        yield pd.DataFrame(rows, columns=names)
+            kind = batch.schema.field("doc_id").type
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids", "width", "range")]
+            rows = [r for doc, at, total, ids, width, number in zip(*columns, strict=True) for r in add(doc, at, total, np.frombuffer(ids, f"<u{width}").astype("<u4"), number)]
+            if rows:
+                yield packed(rows, kind)
+        if rows := list(rest()):
+            yield packed(rows, kind)
+
+    def packed(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, *[pa.int64()] * 5, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranged.mapInPandas(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return ranged.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
