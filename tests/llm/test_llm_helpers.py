@@ -63,7 +63,7 @@ def test_labels_cross_a_long_row_of_nodes():
 @settings(deadline=None)
 def test_tiff_round_trip(data, method, predictor, tile):
     data += b"\0" * (-len(data) % 48 or 48 * (not data))
-    file = tiff.encode(data, 48, method, predictor, rows_per_strip=0 if tile else 3, tile=tile)
+    file = tiff.encode(data, 48, method, predictor, rows_per_strip=0 if tile else 3, tile=(tile, tile) if tile else None)
     assert [tiff.page_samples(file, f) for f in tiff.directories(file)] == [data]
 
 

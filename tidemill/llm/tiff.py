@@ -5,26 +5,33 @@ and gives a row per page, with its samples decoded: strips or tiles, without
 compression or in PackBits, LZW or deflate, with predictors 1 (none),
 2 (horizontal differences, 8 to 64 bits) and 3 (floating point), in either byte
 order, chunky or planar. Samples of fewer than 8 bits stay packed.
-:func:`encode` writes what the reader reads; :func:`store_text` uses it to keep
-texts as 8-bit samples.
-
-Edge cases: null or empty content gives no page; a broken file gives the pages
-before the break and a row with ``error`` for the rest; directories that loop
-end the walk; an empty table gives no row. Rows are independent, so repeated
-and very long ones need no care beyond the memory of one file.
+:func:`encode_pages` writes what the reader reads; :func:`store_text` uses it to keep
+texts as 8-bit samples, in a codec and layout that a checksum of the text chooses.
+
+Edge cases: null or empty content gives no page; a page that can't be decoded, one
+whose strips end early or lie beyond the file among them, is a row with ``error``
+and no samples, and the pages behind it follow; a broken directory gives such a row
+and ends the walk; directories that loop end it too; an empty table gives no row.
+Other columns of files pass through, whatever their names and types. Rows are
+independent, so repeated and very long ones need no care beyond the memory of one
+file.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import scan
+
 BLOCK = 576  # a payload is a multiple of this, and an image row has as many samples
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 # Fixed values of the file format: tags, and field types with their sizes.
@@ -34,113 +41,141 @@ TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_SIZES, SAMPLE_FORMAT = 322, 323, 324
 TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 CLEAR, END, FIRST = 256, 257, 258
 
-PAGE_FIELDS = "page int, width long, height long, samples_per_pixel int, bits int, compression int, predictor int, samples binary, error string"
+PAGE_FIELDS = (
+    ("page", "int", pa.int32()),
+    ("width", "long", pa.int64()),
+    ("height", "long", pa.int64()),
+    ("samples_per_pixel", "int", pa.int32()),
+    ("bits", "int", pa.int32()),
+    ("compression", "int", pa.int32()),
+    ("predictor", "int", pa.int32()),
+    ("samples", "binary", pa.binary()),
+    ("error", "string", pa.string()),
+)
+STRIP = 32  # rows of a strip of a text's image
+TILE, TILED_WIDTH = (16, 96), 192  # of one in tiles; low, so that short texts need little padding
+HELD = 4 << 20  # bytes of pages that a task hands over at once
 
 
 # Compression
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + run
-        while end < len(data) and end - at < 128 and not (end + 2 < len(data) and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out += bytes((end - at - 1,)) + data[at:end]
-        at = end
-    return bytes(out)
+    """Runs of three bytes and more by their length, all else as it is, in pieces of at most 128."""
+    out, at = [], 0
+
+    def plain(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(bytes((len(part) - 1,)) + part)
+
+    for run in _RUN.finditer(data):
+        plain(run.start())
+        at = run.end()
+        out.append(bytes((257 - at + run.start(), run[0][0])))
+    plain(len(data))
+    return b"".join(out)
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data) and len(out) < size:
+    out, at, held = [], 0, 0
+    while at < len(data) and held < size:
         n = data[at]
         if n < 128:
-            out += data[at + 1 : at + 2 + n]
+            part = data[at + 1 : at + 2 + n]
             at += 2 + n
         else:
-            if n > 128:
-                out += data[at + 1 : at + 2] * (257 - n)
+            part = data[at + 1 : at + 2] * (257 - n) if n > 128 else b""
             at += 2 if n > 128 else 1
-    return bytes(out)
+        out.append(part)
+        held += len(part)
+    return b"".join(out)
+
+
+#: Bits of the codes that follow a clear; the width grows with the table, one code early.
+_WIDTHS = 9 + np.searchsorted([254, 766, 1790], np.arange(1 << 13), "right")
+_SINGLES = [bytes((i,)) for i in range(256)] + [b"", b""]
+_BITS = np.arange(12)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    bits, held, out = 0, 0, bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, held
-        held, bits = (held << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    table: dict[tuple[int, int], int] = {}
-    following, width, prefix = FIRST, 9, -1
-    put(CLEAR, 9)
-    for byte in data:
-        if prefix < 0:
-            prefix = byte
-        elif (prefix, byte) in table:
-            prefix = table[prefix, byte]
-        else:
-            put(prefix, width)
-            table[prefix, byte] = following
-            following += 1
-            if following > 4093:
-                put(CLEAR, width)
-                table.clear()
-                following, width = FIRST, 9
-            elif following >= 1 << width:
-                width += 1
-            prefix = byte
-    if prefix >= 0:
-        put(prefix, width)
+    codes, starts = [CLEAR], [1]  # starts: the first code after each clear
+    table: dict[int, int] = {}
+    following, bytes_left = FIRST, iter(data)
+    prefix = next(bytes_left, END)
+    for byte in bytes_left:
+        pair = prefix << 8 | byte
+        if pair in table:
+            prefix = table[pair]
+            continue
+        codes.append(prefix)
+        table[pair] = following
         following += 1
-        if following >= 1 << width and width < 12:
-            width += 1
-    put(END, width)
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+        prefix = byte
+        if following > 4093:
+            codes.append(CLEAR)
+            starts.append(len(codes))
+            table.clear()
+            following = FIRST
+    codes += [prefix, END] if data else [END]
+    ends = [*starts[1:], len(codes)]
+    widths = np.concatenate([_WIDTHS[:1], *(_WIDTHS[: b - a] for a, b in zip(starts, ends, strict=True))])[:, None]
+    # A row of bits for each code, the highest first, of which its width is taken.
+    bits = np.array(codes, np.int64)[:, None] >> np.maximum(widths - 1 - _BITS, 0) & 1
+    return np.packbits(bits[widths > _BITS].astype(np.uint8)).tobytes()
+
+
+def _read_codes(data: np.ndarray, bits: int, at: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """The next codes, as many as one table takes, when so many came since the clear; where each ends.
+
+    data has some bytes to spare behind its bits.
+    """
+    widths = _WIDTHS[since : since + 4096] if since < 4096 else np.full(4096, 12)
+    widths = widths[: (bits - at) // 9 + 1]
+    ends = at + np.cumsum(widths)
+    ends = ends[: np.searchsorted(ends, bits, "right")]
+    widths = widths[: len(ends)]
+    first = ends - widths
+    byte = first >> 3
+    window = data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]
+    return window >> (24 - (first & 7) - widths) & ((1 << widths) - 1), ends
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    singles = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, bits, held = list(singles), 9, 0, 0
-    out, previous = bytearray(), b""
-    for byte in data:
-        held, bits = ((held << 8) | byte) & 0xFFFFFF, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = (held >> bits) & ((1 << width) - 1)
-        if code == END or len(out) >= size:
+    """All codes up to the next clear are cut at once, then looked up one by one."""
+    numbers, bits, at, since = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64), 8 * len(data), 0, 0
+    table, previous, out, held = list(_SINGLES), b"", [], 0
+    while held < size:
+        codes, ends = _read_codes(numbers, bits, at, since)
+        if not len(codes):
             break
-        if code == CLEAR:
-            table, width, previous = list(singles), 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and previous:
-            entry = previous + previous[:1]
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(marks[0]) if len(marks) else len(codes)
+        n, first = len(table), len(out)
+        for code in codes[:stop].tolist():
+            if code < n:
+                entry = table[code]
+            elif code == n and previous:
+                entry = previous + previous[:1]
+            else:
+                raise ValueError("a code of no entry")
+            out.append(entry)
+            if previous and n < 4096:
+                table.append(previous + entry[:1])
+                n += 1
+            previous = entry
+        held += sum(map(len, out[first:]))
+        if stop < len(codes):
+            if codes[stop] == END:
+                break
+            table, previous = list(_SINGLES), b""
+            at, since = int(ends[stop]), 0
         else:
-            raise ValueError("a code of no entry")
-        out += entry
-        if previous and len(table) < 4096:
-            table.append(previous + entry[:1])
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-        previous = entry
-    return bytes(out)
+            at, since = int(ends[-1]), since + len(codes)
+    return b"".join(out)
 
 
 def _decompress(data: bytes, method: int, size: int) -> bytes:
@@ -158,42 +193,83 @@ def _decompress(data: bytes, method: int, size: int) -> bytes:
 # Writing
 
 
-def _predicted(block: np.ndarray) -> np.ndarray:
-    out = block.copy()
-    out[:, 1:] -= block[:, :-1]
-    return out
+class Page(NamedTuple):
+    """A page to write: unsigned numbers by row, pixel and sample, and how to lay them out."""
 
+    samples: np.ndarray
+    compression: int = NONE
+    predictor: int = 1
+    rows_per_strip: int = 0  # 0: all
+    tile: tuple[int, int] | None = None  # rows and pixels of tiles, multiples of 16; None: strips
+    planar: bool = False
+    bits: int = 0  # 1: bilevel samples, packed; 0: as wide as the numbers
 
-def encode(samples: bytes, width: int, compression: int, predictor: int = 1, rows_per_strip: int = 0, tile: int = 0) -> bytes:
-    """A one-page grey file of 8-bit samples, in strips or in tiles of tile x tile."""
-    image = np.frombuffer(samples, np.uint8).reshape(-1, width)
-    height = len(image)
-    if tile:
-        padded = np.zeros((-(-height // tile) * tile, -(-width // tile) * tile), np.uint8)
-        padded[:height, :width] = image
-        parts = [padded[y : y + tile, x : x + tile] for y in range(0, len(padded), tile) for x in range(0, padded.shape[1], tile)]
-    else:
-        step = rows_per_strip or height
-        parts = [image[y : y + step] for y in range(0, height, step)]
+
+def _laid_out(block: np.ndarray, page: Page, order: str) -> bytes:
+    """A strip's or tile's bytes before compression."""
+    if page.bits == 1:
+        return np.packbits(block.reshape(len(block), -1).astype(bool), axis=1).tobytes()
+    if page.predictor == 2:
+        block = np.diff(block, axis=1, prepend=block.dtype.type(0))
+    if page.predictor == 3:
+        rows, pixels, samples = block.shape
+        planes = block.astype(block.dtype.newbyteorder(">")).view(np.uint8).reshape(rows, pixels * samples, -1).transpose(0, 2, 1)
+        planes = np.ascontiguousarray(planes).reshape(rows, -1, samples)
+        return np.diff(planes, axis=1, prepend=np.uint8(0)).tobytes()
+    return block.astype(block.dtype.newbyteorder(order)).tobytes()
+
+
+def _blocks(page: Page) -> Iterator[np.ndarray]:
+    """The strips or tiles, plane by plane."""
+    planes = np.split(page.samples, page.samples.shape[2], axis=2) if page.planar else [page.samples]
+    for plane in planes:
+        height, width = plane.shape[:2]
+        if page.tile:
+            tall, wide = page.tile
+            plane = np.pad(plane, [(0, -height % tall), (0, -width % wide), (0, 0)])
+            for y in range(0, len(plane), tall):
+                for x in range(0, plane.shape[1], wide):
+                    yield plane[y : y + tall, x : x + wide]
+        else:
+            step = page.rows_per_strip or height
+            for y in range(0, height, step):
+                yield plane[y : y + step]
+
+
+def encode_pages(pages: Sequence[Page], order: str = "<") -> bytes:
+    """A file of some pages, in little-endian or (order ">") big-endian numbers."""
     packers = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 4), PACKBITS: pack_bits}
-    blobs = [packers[compression]((_predicted(p) if predictor == 2 else p).tobytes()) for p in parts]
-    fields = {WIDTH: [width], LENGTH: [height], BITS: [8], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
-    at, offsets = 8, []
-    for b in blobs:
-        offsets.append(at)
-        at += len(b)
-    sizes = [len(b) for b in blobs]
-    fields |= {TILE_WIDTH: [tile], TILE_LENGTH: [tile], TILE_OFFSETS: offsets, TILE_SIZES: sizes} if tile else {ROWS_PER_STRIP: [rows_per_strip or height], STRIP_OFFSETS: offsets, STRIP_SIZES: sizes}
-    at += at & 1
-    entries, extra, after = b"", b"", at + 2 + 12 * len(fields) + 4
-    for tag, values in sorted(fields.items()):
-        packed = struct.pack(f"<{len(values)}I", *values)
-        if len(values) > 1:
-            place, extra = after + len(extra), extra + packed
-            packed = struct.pack("<I", place)
-        entries += struct.pack("<HHI", tag, 4, len(values)) + packed
-    body = b"".join(blobs)
-    return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) & 1) + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0" + extra
+    out = bytearray(struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, 0))
+    link = 4  # where the place of the next directory goes
+    for page in pages:
+        height, width, samples = page.samples.shape
+        offsets, sizes = [], []
+        for block in _blocks(page):
+            packed = packers[page.compression](_laid_out(block, page, order))
+            offsets.append(len(out))
+            sizes.append(len(packed))
+            out += packed
+        bits = page.bits or page.samples.dtype.itemsize * 8
+        fields = {WIDTH: [width], LENGTH: [height], BITS: [bits] * samples, COMPRESSION: [page.compression], PHOTOMETRIC: [1], SAMPLES: [samples], PLANAR: [1 + page.planar], PREDICTOR: [page.predictor]}
+        fields |= {TILE_WIDTH: [page.tile[1]], TILE_LENGTH: [page.tile[0]], TILE_OFFSETS: offsets, TILE_SIZES: sizes} if page.tile else {ROWS_PER_STRIP: [page.rows_per_strip or height], STRIP_OFFSETS: offsets, STRIP_SIZES: sizes}
+        out += b"\0" * (len(out) & 1)
+        struct.pack_into(f"{order}I", out, link, len(out))
+        after = len(out) + 2 + 12 * len(fields) + 4
+        entries, extra = struct.pack(f"{order}H", len(fields)), b""
+        for tag, values in sorted(fields.items()):
+            packed = struct.pack(f"{order}{len(values)}I", *values)
+            if len(values) > 1:
+                place, extra = after + len(extra), extra + packed
+                packed = struct.pack(f"{order}I", place)
+            entries += struct.pack(f"{order}HHI", tag, 4, len(values)) + packed
+        link = len(out) + len(entries)
+        out += entries + b"\0\0\0\0" + extra
+    return bytes(out)
+
+
+def encode(samples: bytes, width: int, compression: int, predictor: int = 1, rows_per_strip: int = 0, tile: tuple[int, int] | None = None) -> bytes:
+    """A one-page grey file of 8-bit samples."""
+    return encode_pages([Page(np.frombuffer(samples, np.uint8).reshape(-1, width, 1), compression, predictor, rows_per_strip, tile)])
 
 
 # Reading
@@ -248,6 +324,8 @@ def page_samples(data: bytes, fields: dict[int, tuple]) -> bytes:
     across, down = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets = fields[TILE_OFFSETS if tiled else STRIP_OFFSETS]
     sizes = fields.get(TILE_SIZES if tiled else STRIP_SIZES) or (len(data),) * len(offsets)
+    if not (width and height and across and down):
+        raise ValueError("a page without samples")
     if bits % 8 or bits > 64:
         if tiled or bits > 64:
             raise ValueError(f"{bits} bits in tiles are not supported")
@@ -257,71 +335,98 @@ def page_samples(data: bytes, fields: dict[int, tuple]) -> bytes:
     else:
         unit = np.dtype(f"{order}u{bits // 8}")
     columns, rows = -(-width // across), -(-height // down)
+    if len(offsets) != planes * columns * rows:
+        raise ValueError(f"{len(offsets)} strips or tiles of {planes * columns * rows}")
     out = np.zeros((planes, height, width, samples), unit.newbyteorder("<"))
     for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
         plane, y, x = i // (columns * rows), i // columns % rows * down, i % columns * across
         tall = down if tiled else min(down, height - y)
         need = tall * across * samples * unit.itemsize
+        if at >= len(data):
+            raise ValueError(f"strip or tile {i} lies beyond the file")
         raw = _decompress(data[at : at + size], method, need)[:need]
-        block = np.frombuffer(raw + bytes(need - len(raw)), unit).reshape(tall, across, samples)
+        if len(raw) < need:
+            raise ValueError(f"strip or tile {i} ends after {len(raw)} of {need} bytes")
+        block = np.frombuffer(raw, unit).reshape(tall, across, samples)
         block = _restore(block.astype(unit.newbyteorder("=")), predictor, order)
         out[plane, y : y + tall, x : x + across] = block[: height - y, : width - x]
     return out.tobytes()
 
 
+_BROKEN = (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error)
+
+
 def _file_pages(data: bytes | None) -> Iterator[tuple]:
+    """Values of PAGE_FIELDS for each page."""
+
+    def broken(page: int, e: Exception) -> tuple:
+        return (page, *[None] * 7, f"{type(e).__name__}: {e}"[:200])
+
     page = 0
     try:
         for fields in directories(data) if data else ():
             one = lambda tag, default, f=fields: int(f.get(tag, (default,))[0])
             shape = (one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1))
-            yield (page, *shape, page_samples(data, fields), None)
+            try:
+                found = (page, *shape, page_samples(data, fields), None)
+            except _BROKEN as e:
+                found = broken(page, e)
+            yield found
             page += 1
-    except (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error) as e:
-        yield (page, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
+    except _BROKEN as e:
+        yield broken(page, e)
 
 
 def tiff_pages(files: DataFrame, content: str = "content") -> DataFrame:
     """A row for every page of every file: files' other columns, then PAGE_FIELDS.
 
-    A column of files that is named as one of those fields gives way to it.
+    A field whose name files uses already gets underscores behind it until it is new.
     """
-    names = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
-    kept = [c for c in files.columns if c != content and c not in names]
-    types = {f.name: f.dataType.simpleString() for f in files.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), PAGE_FIELDS])
+    kept = [c for c in files.columns if c != content]
+
+    def free(name: str) -> str:
+        return free(f"{name}_") if name.lower() in {c.lower() for c in kept} else name
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(*row, *page) for *row, data in batch.itertuples(index=False, name=None) for page in _file_pages(data)]
-            yield pd.DataFrame(rows, columns=[*kept, *names]).astype(object).where(lambda x: x.notna(), None)
+    def make(contents: list[bytes | None]) -> Iterator[tuple[list[int], list]]:
+        of, rows, held = [], [], 0
+        for i, data in enumerate(contents):
+            for row in _file_pages(data):
+                of.append(i)
+                rows.append(row)
+                held += len(row[7] or b"")
+                if held > HELD:
+                    yield of, list(zip(*rows, strict=True))
+                    of, rows, held = [], [], 0
+        if rows:
+            yield of, list(zip(*rows, strict=True))
 
-    return files.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{content}`")).mapInPandas(read, schema)
+    return scan(files, kept, [content], lambda: make, [(free(n), kind, arrow) for n, kind, arrow in PAGE_FIELDS])
 
 
 def text_image(text: str | None) -> tuple[int, bytes]:
-    """A text's bytes before padding, and its file; every codec has its sizes."""
+    """A text's bytes before padding, and its file.
+
+    A checksum of the payload chooses codec, predictor and layout, so each of them
+    meets texts of every size, and equal texts give equal files.
+    """
     raw = (text or "").encode()
     payload = raw + b"\xff" * (-len(raw) % BLOCK if raw else BLOCK)
-    if len(payload) <= BLOCK:
-        return len(raw), encode(payload, BLOCK, LZW)
-    if len(payload) <= 2 * BLOCK:
-        return len(raw), encode(payload, BLOCK, PACKBITS, rows_per_strip=1)
-    if len(payload) <= 64 * BLOCK:
-        return len(raw), encode(payload, BLOCK, DEFLATE, predictor=2, rows_per_strip=32)
-    return len(raw), encode(payload, BLOCK, DEFLATE, predictor=2, tile=64)
+    at = zlib.crc32(payload)
+    method, predictor = (LZW, DEFLATE, PACKBITS)[at % 3], 1 + at // 3 % 2
+    if at // 6 % 2:
+        return len(raw), encode(payload, TILED_WIDTH, method, predictor, tile=TILE)
+    return len(raw), encode(payload, BLOCK, method, predictor, rows_per_strip=STRIP)
 
 
 def store_text(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the TIFF file (content) of each document's text."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [text_image(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in made], "content": [f for _, f in made]})
+    def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
+        if texts:
+            made = [text_image(t) for t in texts]
+            yield range(len(made)), list(zip(*made, strict=True))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(write, f"doc_id {kind}, n_bytes long, content binary")
+    return scan(docs, ["doc_id"], ["text"], lambda: make, [("n_bytes", "long", pa.int64()), ("content", "binary", pa.binary())])
 
 
 def text_digest(stored: DataFrame) -> DataFrame:
