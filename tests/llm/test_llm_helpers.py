@@ -1,5 +1,6 @@
 """The small functions, against plain versions of themselves."""
 
+import itertools
 import random
 import re
 
@@ -32,14 +33,52 @@ def test_skip_edges_carry_labels():
     base = pii.base_spans(text)
     node = np.log(np.full((pii.SHAPES, pii.LABELS), 1 / pii.LABELS))
     strong = np.log(np.eye(pii.LABELS) * 50 + 0.1)
-    added = pii.added_spans(text, base, {"node": node, "chain": np.zeros_like(strong), "skip": strong})
+    added = pii.added_spans(text, base, field(np.zeros_like(strong), strong) | {"node": node})
     assert all(not (b[0] < a[2] and a[0] < b[2]) for a in added for b in base)
     assert pii.redact(text, base + added).count("[PHONE]") >= 2
 
 
 def field(chain, skip):
     node = np.log(np.full((pii.SHAPES, pii.LABELS), 1 / pii.LABELS))
-    return {"node": node, "chain": chain, "skip": skip}
+    return {"node": node, "before": np.zeros_like(node), "chain": chain, "skip": skip, "near": np.zeros_like(skip), "short": np.zeros_like(skip)}
+
+
+@given(st.integers(1, 7), st.integers(0, 10_000))
+@settings(deadline=None, max_examples=40)
+def test_beliefs_are_the_exact_marginals_of_a_tree(n, seed):
+    rng = np.random.default_rng(seed)
+    unary, edges = rng.normal(0, 2, (n, 3)), [(int(rng.integers(i)), i) for i in range(1, n)]
+    pairs = [(i, j, rng.normal(0, 1.5, (3, 3))) for i, j in edges]
+    weights = {x: np.exp(sum(unary[i, v] for i, v in enumerate(x)) + sum(t[x[i], x[j]] for i, j, t in pairs)) for x in itertools.product(range(3), repeat=n)}
+    exact = np.array([[sum(w for x, w in weights.items() if x[i] == v) for v in range(3)] for i in range(n)]) / sum(weights.values())
+    assert np.allclose(pii.beliefs(unary, pairs), exact, atol=1e-4)
+
+
+def test_beliefs_of_a_loop_are_near_the_marginals():
+    rng = np.random.default_rng(1)
+    unary, pairs = rng.normal(0, 1, (4, 3)), [(i, (i + 1) % 4, rng.normal(0, 0.5, (3, 3))) for i in range(4)]
+    weights = {x: np.exp(sum(unary[i, v] for i, v in enumerate(x)) + sum(t[x[i], x[j]] for i, j, t in pairs)) for x in itertools.product(range(3), repeat=4)}
+    exact = np.array([[sum(w for x, w in weights.items() if x[i] == v) for v in range(3)] for i in range(4)]) / sum(weights.values())
+    assert np.abs(pii.beliefs(unary, pairs) - exact).max() < 0.03
+
+
+def test_similar_words_share_edges():
+    text = "Call +12125550147. Typed 2125550148, then 21255550147; write j.doe7@corp.example.com, see j.doe7 and @corp.example.com, not 5550100."
+    found = pii.graph(text, pii.base_spans(text))
+    words = [text[s:e] for s, e in found.at]
+    pairs = {(words[i], words[j]) for _, each in found.edges() for i, j in each}
+    assert ("+12125550147", "2125550148") in pairs or ("+12125550147", "21255550147") in pairs
+    assert ("j.doe7@corp.example.com", "j.doe7") in pairs and ("j.doe7@corp.example.com", "@corp.example.com") in pairs
+    assert not any("5550100" in p for p in pairs)
+
+
+def test_nothing_in_a_text_is_left_out_for_its_length():
+    word = "x" * 500 + "1"
+    assert pii.nodes(f"a {word} b") == [(2, 503)]
+    assert pii.shape("a-" * 30 + "1") != pii.shape("a-" * 30 + "12")
+    glued = ",".join(f"u{i}@h{i}.example.com" for i in range(20)) + ",+12125550147"
+    found = pii.graph(glued + " or 2125550147", pii.base_spans(glued))
+    assert len(found.at) == 2 and found.observed[0] == 0 and len(pii.base_spans(glued)) == 21
 
 
 def test_labels_reach_the_fiftieth_mention():
@@ -55,8 +94,9 @@ def test_labels_reach_the_fiftieth_mention():
 def test_labels_cross_a_long_row_of_nodes():
     text = "Call +12125550147 " + " ".join(f"#{i}" for i in range(100, 140))
     sure = np.log(np.eye(pii.LABELS) * 5000 + 0.1)
-    (span,) = pii.added_spans(text, pii.base_spans(text), field(sure, sure))
-    assert text[span[0] : span[2]].endswith("139")
+    spans = pii.added_spans(text, pii.base_spans(text), field(sure, sure))
+    assert text[spans[-1][0] : spans[-1][2]].endswith("139")
+    assert all(len(re.sub("[^0-9]", "", text[s:e])) <= pii.MOST for s, _, e in spans)  # no number is longer
 
 
 @given(st.binary(max_size=3000), st.sampled_from([tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]), st.sampled_from([1, 2]), st.sampled_from([0, 16]))

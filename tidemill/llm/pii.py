@@ -1,35 +1,44 @@
 """Operator 1: personal data by patterns and a skip-chain conditional random field.
 
 The base spans are leftmost, non-overlapping matches of four fixed patterns.
-The field then adds mentions the patterns miss, such as a phone number that is
-written out once and repeated without its prefix: its nodes are the words with
-a digit or an @ (all others are fixed to "no entity"), chain factors join
-neighbouring nodes, and skip factors join nodes that have the same digits or the
-same address name, however far apart. A written-out card or phone number also
-goes by the last digits of its whole span (LONG at least), and neighbouring words
-go by their digits together: '+1 (212) 555-0147' meets '2125550147', and
-'+12125550147' meets '(212) 555-0147'. Base spans are observed; loopy sum-product
-messages carry their labels along the edges until the messages stop changing.
-Each mention is linked to its group's first observed node of each kind, or to
-the first node if none is observed. So the last of n mentions hears as much as
-the next one, and the edges stay in proportion to n.
+The field then adds mentions the patterns miss: a phone number that is written out
+once and repeated without its prefix, one that a pattern gave up as digits stand
+right behind it, a handle that is the mailbox of an address. Its nodes are the words
+with a digit or an @ and the handles (all others are fixed to "no entity"). A node's
+own factors are its shape and the word before it; chain factors join neighbouring
+nodes; skip factors join distant nodes, in three strengths:
+
+- skip: the same digits (LONG or more), the same last LONG digits as a written-out
+  number, or the same mailbox. Neighbouring words go by their digits together:
+  '+1 (212) 555-0147' meets '2125550147', and '+12125550147' meets '(212) 555-0147';
+- near: digits that one edit turns into those of a written-out number, or the same
+  domain;
+- short: the same digits, but so few that it can be chance.
+
+Base spans are observed; loopy sum-product messages carry their labels along the
+edges until the messages stop changing. Each mention is linked to its group's first
+observed node of each kind, or to the first node if none is observed. So the last of
+n mentions hears as much as the next one, and the edges stay in proportion to n.
 
 The factors are trained piece by piece, in closed form, from counts over all
-documents: a node's factor is P(label | shape), a pair's is how much more often
-two labels meet than by chance. Shapes are hashed to a table of fixed size.
-Unmatched words that share LONG digits or an address name with a base span are
-the mentions to find, so they count as nothing, not as "no entity". A shape keeps
-at least a fixed share of the labels' prior (FLOOR), and so do linked labels
-(STRAY), so that what a link adds doesn't fade or grow with the corpus. Fewer
-digits can be the same by chance; such links have a factor of their own.
-
-A node becomes a span only if its belief is at least MIN_BELIEF and a path of
-edges leads to an observed span of that kind; spans never overlap base ones.
-
-Edge cases: a null text is empty and has no span (its digest is that of the
-empty string); words of over MAX_NODE characters are no nodes of the field, the
-patterns still read them; documents are independent, so repeated rows and ids
-get a row each; an empty table gives no row. All scans are linear in the text.
+documents: a node's factors are P(label | shape) and how much more often than by
+chance a label follows a word, a pair's is how much more often two labels meet than
+by chance. Shapes and words are hashed to tables of fixed size. Unmatched words that
+skip edges join to base spans, or that a dropped phone match holds, are the mentions to
+find, so they count as nothing, not as "no entity". A shape keeps at least a fixed share of the labels' prior (FLOOR), a
+word before counts against a fixed number of others (AGAINST), and linked labels
+disagree now and then (STRAY), so that what a link adds doesn't fade or grow with the
+corpus.
+
+A node becomes a span only if its belief is at least MIN_BELIEF and either a path of
+edges leads to an observed span of that kind, or its own factors alone make that kind
+likelier than not, which needs no base span in the document. Spans never overlap base
+ones.
+
+Edge cases: a null text is empty and has no span (its digest is that of the empty
+string); words of any length are nodes; documents are independent, so repeated rows
+and ids get a row each; an empty table gives no row. Ids of any type pass through,
+null ones too. All scans are linear in the text.
 """
 
 from __future__ import annotations
@@ -42,21 +51,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import scan
+
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)  # the label of no entity
 LABELS = OUTSIDE + 1
 NUMBERS = (KINDS.index("card"), KINDS.index("phone"))
 SHAPES = 4096  # hash buckets of word shapes
-MAX_NODE = 80
 MIN_BELIEF = 0.9
 LONG = 7  # digits of a number without its prefixes
 MOST = 19  # digits of any number
 FLOOR = 0.2  # weight of the prior, as a share of a shape's count
 STRAY = 0.01  # how often linked nodes don't agree
+AGAINST = 20.0  # sightings that a word before a node is weighed against
 SETTLED = 1e-6  # messages that change less than this have stopped
+LEAST_HANDLE = 5  # characters of a mailbox that counts as a handle
+PAIRS = ("chain", "skip", "near", "short")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -67,6 +81,7 @@ _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
+_BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}$")
 _EDGE = "".join(map(chr, range(33, 127)))
 _EDGE = "".join(c for c in _EDGE if not c.isalnum() and c not in "+()@")
 
@@ -105,8 +120,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def nodes(text: str) -> list[tuple[int, int]]:
-    """Start and end of the words with a digit or an @, without outer punctuation."""
+def mailboxes(text: str, base: list[Span]) -> set[str]:
+    """The mailboxes of the addresses among the base spans that are no plain words or numbers."""
+    boxes = {text[s:e].partition("@")[0].lower() for s, k, e in base if k == 0}
+    return {b for b in boxes if len(b) >= LEAST_HANDLE and not b.isalpha() and not b.isdigit()}
+
+
+def nodes(text: str, base: list[Span] = []) -> list[tuple[int, int]]:  # noqa: B006
+    """Start and end of the words with a digit or an @, without outer punctuation, and of handles.
+
+    A handle is a word that equals the mailbox of an address among the base spans, if
+    that holds more than letters.
+    """
     out, floor = [], 0
     mark = _MARK.search(text)
     while mark:
@@ -114,19 +139,36 @@ def nodes(text: str) -> list[tuple[int, int]]:
         start = mark.start() - before.start() if before else floor
         after = _SPACE.search(text, mark.end())
         floor = after.start() if after else len(text)
-        if floor - start <= MAX_NODE:
-            word = text[start:floor]
-            left, right = len(word) - len(word.lstrip(_EDGE)), len(word.rstrip(_EDGE))
-            out.append((start + left, start + right))
+        left, right = start, floor
+        while left < right and text[left] in _EDGE:
+            left += 1
+        while right > left and text[right - 1] in _EDGE:
+            right -= 1
+        if left < right:
+            out.append((left, right))
         mark = _MARK.search(text, floor)
+    if boxes := {b for b in mailboxes(text, base) if not _MARK.search(b)}:
+        for word in re.finditer(r"[^\x20\x09-\x0D]+", text):
+            if word[0].strip(_EDGE).lower() in boxes and not _MARK.search(word[0]):
+                left = word.start() + len(word[0]) - len(word[0].lstrip(_EDGE))
+                out.append((left, left + len(word[0].strip(_EDGE))))
+        out.sort()
     return out
 
 
 def shape(word: str) -> int:
-    """The hash bucket of a word's form: runs of digits by length, letters as one."""
-    digits = _NOT_DIGIT.sub("", word)
+    """The hash bucket of a word's form: runs of digits by length, letters as one, and whether its checks hold."""
     form = _RUNS.sub(lambda m: f"{min(len(m[0]), 20)}d" if "0" <= m[0][0] <= "9" else "a", word)
-    return zlib.crc32(f"{form[:40]}{luhn(digits) if len(digits) > 12 else ''}".encode()) % SHAPES
+    digits = _NOT_DIGIT.sub("", word)
+    parts = word.split(".")
+    valid = luhn(digits) if MOST >= len(digits) > 12 else all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts) if len(parts) == 4 else ""
+    return zlib.crc32(f"{form}{valid}".encode()) % SHAPES
+
+
+def before(text: str, start: int) -> int:
+    """The hash bucket of the word right before a place, if there is one on the line."""
+    word = _BEFORE.search(text[max(0, start - 40) : start])
+    return zlib.crc32(word[1].lower().encode()) % SHAPES if word else 0
 
 
 def skip_key(word: str) -> str | None:
@@ -141,101 +183,145 @@ def is_long(key: str) -> bool:
     return key[0] == "@" or len(key) >= LONG
 
 
+def one_edit(digits: str) -> list[str]:
+    """Keys of which two digit strings share one if an edit turns one into the other."""
+    return ["~" + digits, *("~" + digits[:i] + digits[i + 1 :] for i in range(len(digits)))]
+
+
 class Graph(NamedTuple):
     at: list[tuple[int, int]]  # the nodes
     observed: np.ndarray  # their labels
     chain: list[tuple[int, int]]  # edges of neighbours
-    skip: list[tuple[int, int]]  # edges of nodes that share LONG digits or a name
+    skip: list[tuple[int, int]]  # edges of nodes that share LONG digits or a mailbox
+    near: list[tuple[int, int]]  # edges of nodes with similar digits or the same domain
     short: list[tuple[int, int]]  # edges of nodes that share fewer digits
 
+    def edges(self) -> list[tuple[str, list[tuple[int, int]]]]:
+        return [(name, getattr(self, name)) for name in PAIRS]
+
 
 def graph(text: str, base: list[Span]) -> Graph:
     """Nodes, their observed labels and the edges."""
-    at = nodes(text)
+    at = nodes(text, base)
     observed = np.full(len(at), OUTSIDE)
     numbers: dict[int, tuple[int, str]] = {}  # base span -> its last node, its digits
     k = 0
     for i, (start, end) in enumerate(at):
         while k < len(base) and base[k][2] <= start:
             k += 1
-        here = [n for n in range(k, min(k + 8, len(base))) if base[n][0] < end and base[n][2] > start]
+        n, here = k, []
+        while n < len(base) and base[n][0] < end:
+            if base[n][2] > start:
+                here.append(n)
+            n += 1
         if here:
             observed[i] = base[here[0]][1]
         for n in here:
             if base[n][1] in NUMBERS and base[n][1] == observed[i]:
                 numbers[n] = i, _NOT_DIGIT.sub("", text[base[n][0] : base[n][2]])
     chain = [(i, i + 1) for i in range(len(at) - 1) if at[i + 1][0] - at[i][1] <= 4 and not any(c.isalnum() for c in text[at[i][1] : at[i + 1][0]])]
+    words = [text[start:end] for start, end in at]
     groups: dict[str, dict[int, None]] = {}
+    similar: dict[str, dict[int, None]] = {}
     for i, digits in numbers.values():
         for n in range(LONG, len(digits) + 1):
             groups.setdefault(digits[-n:], {})[i] = None
-    words = [text[start:end] for start, end in at]
+        for key in one_edit(digits):
+            similar.setdefault(key, {})[i] = None
+    for i in np.flatnonzero(observed == 0).tolist():
+        if domain := words[i].rpartition("@")[2].lower():
+            similar.setdefault(domain, {})[i] = None
+
+    def join(digits: str, first: int, last: int) -> None:
+        members = dict.fromkeys(range(first, last + 1))
+        if LONG <= len(digits) <= MOST and groups:
+            for key in {digits, digits[-LONG:]}:
+                if key in groups:
+                    groups[key].update(members)
+            for key in one_edit(digits):
+                if key in similar:
+                    similar[key].update(members)
+
     bare = ["" if observed[i] != OUTSIDE or any(map(str.isalpha, w)) else _NOT_DIGIT.sub("", w) for i, w in enumerate(words)]
     joined = set(chain)
     for i in range(len(at) if groups else 0):
         digits, j = bare[i], i
+        if digits:
+            join(digits, i, j)
         while digits and (j, j + 1) in joined and bare[j + 1] and len(digits) + len(bare[j + 1]) <= MOST:
             j += 1
             digits += bare[j]
-            if digits in groups:
-                groups[digits].update(dict.fromkeys(range(i, j + 1)))
+            join(digits, i, j)
+    boxes = mailboxes(text, base)
     for i, word in enumerate(words):
-        if key := skip_key(word):
+        if key := "@" + word.lower() if word.lower() in boxes else skip_key(word):
             groups.setdefault(key, {})[i] = None
-    edges: dict[bool, set[tuple[int, int]]] = {True: set(), False: set()}
-    for key, members in groups.items():
+        if "@" in word and observed[i] == OUTSIDE and (domain := word.rpartition("@")[2].lower()) in similar:
+            similar[domain][i] = None
+    edges: dict[str, set[tuple[int, int]]] = {"skip": set(), "near": set(), "short": set()}
+    for name, key, members in [("skip" if is_long(k) else "short", k, m) for k, m in groups.items()] + [("near", k, m) for k, m in similar.items()]:
         same = sorted(members)
         first: dict[int, int] = {}
         for i in same:
             if observed[i] != OUTSIDE:
-                first.setdefault(observed[i], i)
+                first.setdefault(int(observed[i]), i)
         hubs = set(first.values()) or {same[0]}
-        edges[is_long(key)].update((h, i) for i in same for h in hubs if i not in hubs or h < i)
-    return Graph(at, observed, chain, sorted(edges[True]), sorted(edges[False] - edges[True]))
+        edges[name].update((min(h, i), max(h, i)) for i in same for h in hubs if i != h and (i not in hubs or h < i))
+    return Graph(at, observed, chain, sorted(edges["skip"]), sorted(edges["near"] - edges["skip"]), sorted(edges["short"] - edges["skip"] - edges["near"]))
+
+
+def lost_numbers(text: str) -> list[tuple[int, int]]:
+    """Where the phone pattern took in too many digits, so that what it found was dropped."""
+    return [m.span() for m in _PHONE.finditer(text) if len(_NOT_DIGIT.sub("", m[0])) > 15] if "+" in text else []
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shapes, (chains, skips, shorts) = np.zeros((SHAPES, LABELS), np.int64), np.zeros((3, LABELS, LABELS), np.int64)
+    tables = {name: np.zeros((SHAPES, LABELS), np.int64) for name in ("shape", "before")}
+    tables |= {name: np.zeros((LABELS, LABELS), np.int64) for name in PAIRS}
     for batch in batches:
         for text in batch["text"]:
             if not text or not _MARK.search(text):
                 continue
-            at, observed, chain, skip, short = graph(text, base_spans(text))
-            sought = {x for i, j in skip if (observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for x in (i, j) if observed[x] == OUTSIDE}
-            for i, (start, end) in enumerate(at):
+            found = graph(text, base_spans(text))
+            observed = found.observed.tolist()
+            lost = lost_numbers(text)
+            sought = {x for i, j in found.skip if (observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for x in (i, j) if observed[x] == OUTSIDE}
+            sought |= {i for i, (start, end) in enumerate(found.at) if observed[i] == OUTSIDE and any(a < end and b > start for a, b in lost)}
+            for i, (start, end) in enumerate(found.at):
                 if i not in sought:
-                    shapes[shape(text[start:end]), observed[i]] += 1
-            for table, edges in ((chains, chain), (skips, skip), (shorts, short)):
+                    tables["shape"][shape(text[start:end]), observed[i]] += 1
+                    tables["before"][before(text, start), observed[i]] += 1
+            for name, edges in found.edges():
                 for i, j in edges:
                     if i not in sought and j not in sought:
-                        table[observed[i], observed[j]] += 1
-    tables = [("shape", shapes), ("chain", chains), ("skip", skips), ("short", shorts)]
-    rows = [(name, int(r), int(c), int(t[r, c])) for name, t in tables for r, c in zip(*t.nonzero(), strict=True)]
+                        tables[name][observed[i], observed[j]] += 1
+    rows = [(name, int(r), int(c), int(t[r, c])) for name, t in tables.items() for r, c in zip(*t.nonzero(), strict=True)]
     yield pd.DataFrame(rows, columns=["factor", "row", "label", "n"])
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     """The field's log factors, from counts over every document.
 
-    The driver gets at most SHAPES * 5 + 75 sums, whatever the corpus.
+    The driver gets at most SHAPES * 10 + 100 sums, whatever the corpus.
     """
     counts = docs.select("text").mapInPandas(_count_batches, "factor string, row int, label int, n long")
     sums = counts.groupBy("factor", "row", "label").agg(F.sum("n").alias("n")).collect()
-    tables = {"shape": np.zeros((SHAPES, LABELS))} | {name: np.zeros((LABELS, LABELS)) for name in ("chain", "skip", "short")}
+    tables = {name: np.zeros((SHAPES, LABELS)) for name in ("shape", "before")} | {name: np.zeros((LABELS, LABELS)) for name in PAIRS}
     for r in sums:
         tables[r["factor"]][r["row"], r["label"]] = r["n"]
     share = tables["shape"].sum(0) + 1.0
     prior = share / share.sum()
     node = tables["shape"] + (2.0 + FLOOR * tables["shape"].sum(1, keepdims=True)) * prior
+    context = tables["before"] + AGAINST * prior
     pairs = {}
-    for name in ("chain", "short"):
-        t = tables[name] + tables[name].T + np.outer(prior, prior) * 10 + np.eye(LABELS)
-        t /= t.sum()
-        pairs[name] = np.log(t / np.outer(t.sum(1), t.sum(0)))
-    t = tables["skip"] + tables["skip"].T + np.eye(LABELS)
-    lift = np.log((1 - STRAY) * t / t.sum(1, keepdims=True) / prior + STRAY)
-    pairs["skip"] = (lift + lift.T) / 2
-    return {"node": np.log(node / node.sum(1, keepdims=True)), **pairs}
+    t = tables["short"] + tables["short"].T + np.outer(prior, prior) * 10 + np.eye(LABELS)
+    t /= t.sum()
+    pairs["short"] = np.log(t / np.outer(t.sum(1), t.sum(0)))
+    for name, chance in (("skip", 0.0), ("near", 0.0), ("chain", AGAINST)):
+        t = tables[name] + tables[name].T + np.eye(LABELS) + np.outer(prior, prior) * chance
+        lift = np.log((1 - STRAY) * t / t.sum(1, keepdims=True) / prior + STRAY)
+        pairs[name] = (lift + lift.T) / 2
+    return {"node": np.log(node / node.sum(1, keepdims=True)), "before": np.log(context / context.sum(1, keepdims=True) / prior), **pairs}
 
 
 def beliefs(unary: np.ndarray, pairs: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
@@ -289,27 +375,34 @@ def reached_kinds(observed: np.ndarray, edges: list[tuple[int, int]]) -> list[se
 
 def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray]) -> list[Span]:
     """Spans that the field finds beside the base ones."""
-    if not base:
+    if not _MARK.search(text):
         return []
-    at, observed, chain, skip, short = graph(text, base)
-    edges = skip + short + chain
-    if not any((observed[i] == OUTSIDE) != (observed[j] == OUTSIDE) for i, j in edges):
-        return []  # no label can travel: no edge leaves the observed nodes
-    unary = np.stack([model["node"][shape(text[s:e])] for s, e in at])
+    found = graph(text, base)
+    at, observed = found.at, found.observed
     fixed = observed != OUTSIDE
+    if fixed.all():
+        return []
+    unary = np.stack([model["node"][shape(text[s:e])] + model["before"][before(text, s)] for s, e in at])
+    own = np.exp(unary - unary.max(1, keepdims=True))
+    own /= own.sum(1, keepdims=True)
+    able = own >= 0.5  # of themselves
+    able[:, OUTSIDE] = False
+    edges = [e for _, each in found.edges() for e in each]
+    crossing = any(fixed[i] != fixed[j] for i, j in edges)
+    if not crossing and not able[~fixed].any():
+        return []  # no label can travel, and no node has one of its own
     unary[fixed] = -np.inf  # however many messages come in
     unary[fixed, observed[fixed]] = 0.0
-    factors = [(i, j, model[name]) for name, own in (("chain", chain), ("skip", skip), ("short", short)) for i, j in own]
-    found = beliefs(unary, factors)
+    belief = beliefs(unary, [(i, j, model[name]) for name, each in found.edges() for i, j in each])
     reach = reached_kinds(observed, edges)
-    label = np.where(found.max(1) >= MIN_BELIEF, found.argmax(1), OUTSIDE)
-    chosen = {i for i in range(len(at)) if not fixed[i] and label[i] != OUTSIDE and int(label[i]) in reach[i]}
-    joined = set(chain)
+    label = np.where(belief.max(1) >= MIN_BELIEF, belief.argmax(1), OUTSIDE)
+    chosen = {i for i in range(len(at)) if not fixed[i] and label[i] != OUTSIDE and (int(label[i]) in reach[i] or able[i, label[i]])}
+    joined = set(found.chain)
     spans: list[Span] = []
     for i in sorted(chosen):
         start, end = at[i]
         kind = int(label[i])
-        if spans and (i - 1, i) in joined and i - 1 in chosen and spans[-1][1] == kind:
+        if spans and (i - 1, i) in joined and i - 1 in chosen and spans[-1][1] == kind and len(_NOT_DIGIT.sub("", text[spans[-1][0] : end])) <= MOST:
             spans[-1] = (spans[-1][0], kind, end)
         else:
             spans.append((start, kind, end))
@@ -327,20 +420,18 @@ def find_pii(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> Dat
     """
     model = fit(docs) if model is None else model
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                base = base_spans(text or "")
-                more = added_spans(text, base, model) if base else []
-                kinds = [k for _, k, _ in base]
-                rows.append((*(kinds.count(k) for k in range(OUTSIDE)), hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more)))
-            made = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-            made.insert(0, "doc_id", batch["doc_id"].array)
-            yield made
+    def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
+        rows = []
+        for text in texts:
+            base = base_spans(text or "")
+            more = added_spans(text or "", base, model)
+            kinds = [k for _, k, _ in base]
+            rows.append((*(kinds.count(k) for k in range(OUTSIDE)), hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more)))
+        if rows:
+            yield range(len(rows)), list(zip(*rows, strict=True))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    counts = [(f"n_{k}", "long", pa.int64()) for k in KINDS]
+    return scan(docs, ["doc_id"], ["text"], lambda: make, [*counts, ("base_sha256", "string", pa.string()), ("spans", "string", pa.string()), ("n_added", "long", pa.int64())])
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -360,8 +451,9 @@ def redacted(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> Dat
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
-            base = base_spans(text) if text else []
-            return redact(text, base + added_spans(text, base, model)) if base else text
+            base = base_spans(text)
+            spans = base + added_spans(text, base, model)
+            return redact(text, spans) if spans else text
 
         return texts.map(one, na_action="ignore")
 
