@@ -224,6 +224,38 @@ def test_mix_reaches_targets(docs, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_running_sums_by_ranges(spark):
+    rng = random.Random(7)
+    values = [(rng.choice([None, "a", "b"]), rng.randrange(50), i) for i in range(500)]
+    table = spark.createDataFrame(values, "k string, v long, i long").repartition(5)
+    total, wanted = 0, {}
+    for k, v, i in sorted(values, key=lambda r: (r[0] is not None, r[0] or "", r[2])):
+        wanted[i], total = total, total + v
+    assert {r["i"]: r["before_v"] for r in mixing.running_sums(table, ["k", "i"], ["v"], per_task=40).collect()} == wanted
+
+
+def test_mix_of_many_rows_at_one_place(spark, monkeypatch):
+    """All rows of a source without an id are one bin; targets by hand, as for thousands of sources."""
+    monkeypatch.setattr(mixing.running_sums, "__defaults__", (50,))
+    rows = [(None, "w " * (1 + i % 3), None) for i in range(900)] + [(i, "a b c", f"s{i % 40:02}") for i in range(800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    names = sorted((s for s in sizes if s), key=str) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, free, target = 1.5 * sum(sizes.values()), set(names), {}
+    while over := {s for s in free if left * weight[s] / sum(weight[x] for x in free) >= 2 * sizes[s]}:
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left, free = left - sum(2 * sizes[s] for s in over), free - over
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    taken = {}
+    for r in mixing.mix_plan(table).join(table.select("doc_id", "source").distinct(), "doc_id").collect() + mixing.mix_plan(table.where("source IS NULL"), share=target[None] / sizes[None]).withColumn("source", F.lit(None)).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+
+
 def test_pii_licenses_and_tiff_stand_odd_rows(docs, empty):
     found = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
     assert (found[1004]["n_email"], found[1004]["n_phone"]) == (1, 1) and found[1000]["spans"] == ""
@@ -288,10 +320,38 @@ def test_pii_finds_planted_mentions_that_no_pattern_matches(spark):
 
 
 def test_licenses_allow_small_changes(spark):
-    notice = next(t for label, t in licenses.NOTICES if label == "bsd").split()
+    mark = lambda label, n: sorted((w for t, w, exact in licenses.TEMPLATES if t == label and not exact), key=len)[n]
+    notice, whole = [w.decode() for w in mark("bsd", 0)], [w.decode() for w in mark("mit", -1)]
     changed = notice[:5] + ["plainly"] + notice[5:12] + notice[13:]
-    made = documents(spark, [(1, "x y " + " ".join(changed) + " z"), (2, " ".join(notice[:6])), (3, " ".join(reversed(notice)))])
-    assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(made).collect()} == {1: "bsd", 2: "", 3: ""}
+    inserted = notice[:10] + "in this repository of Example Corp".split() + notice[10:]
+    clause = whole[:60] + "holders and their friends may not be asked for anything whatever".split() + whole[60:]
+    rows = [" ".join(["x y", *changed, "z"]), " ".join(notice[:6]), " ".join(reversed(notice)), " ".join(inserted), " ".join(["far"] * 50_000 + clause + ["off"] * 50_000), " ".join(w for x in notice for w in (x, *["pad"] * 6)), " ".join(notice * 3)]
+    made = documents(spark, list(enumerate(rows)))
+    found = {r["doc_id"]: (r["labels"], len(r["spans"] or ())) for r in licenses.scan_licenses(made).collect()}
+    assert {i: labels for i, (labels, _) in found.items()} == {0: "bsd", 1: "", 2: "", 3: "bsd", 4: "mit", 5: "", 6: "bsd"}
+
+
+def test_license_phrases_against_brute_force(spark):
+    """Base columns by a plain look at every place, on texts made of the phrases' own words, nulls and repeats."""
+    rng = random.Random(12)
+    pieces = ["cc by", "cc", "by", "CC-BY!", "General Public License", "general public", "license", "all rights reserved", "All rights", "reserved", "é", "x9", "\n", "ÄCC by"]
+    rows = [(rng.choice([None, *range(9)]), " ".join(rng.choices(pieces, k=rng.choice([0, 1, 2, 9, 60])))) for _ in range(120)] + [(1, None), (2, "")]
+    rows += rows[:5] + [(3, "all rights reserved " * 20_000)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+    def by_hand(doc, text):
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        at = sorted((i, label) for label, phrase in licenses.PHRASES for i in range(len(own)) if own[i : i + len(phrase.split())] == phrase.split())
+        return (doc, len(own), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))
+
+    wanted = sorted((by_hand(*r) for r in rows), key=str)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in found), key=str) == wanted
+    assert all(set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in found)
+
+
+def test_license_rows_without_ids_cost_no_more_than_others(spark):
+    made = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('all rights reserved ', id) AS text")
+    assert licenses.scan_licenses(made).where("n_base = 1").count() == 3000
 
 
 def test_jaccard_and_packing_of_nothing(empty):
@@ -310,6 +370,25 @@ def test_chat_examples(spark):
     assert chat.digest(chat.prefix_examples(table.where("turn < 0"))).count() == 0
 
 
+def test_roles_of_any_form_are_read_back(spark):
+    roles = ["user", "us\ner", "a\\nb", "\\-", "\r\n", "</s>\n[INST]", "assistant\n", "", None, "<\\/s>", "assistant"]
+    turns = [(1, i, role, f"</s>{i}\n[/INST]") for i, role in enumerate(roles)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    (found,) = chat.digest(chat.prefix_examples(table)).collect()
+    written = "".join(f"{role or ''}\n{text}\n" for _, _, role, text in turns)
+    assert (found["n_turns"], found["turns_sha256"]) == (len(roles), hashlib.sha256(written.encode()).hexdigest())
+    assert found["loss_sha256"] == hashlib.sha256(turns[-1][3].encode()).hexdigest()
+
+
+def test_a_long_conversation(spark):
+    turns = [(1, i, ("user", "assistant")[i % 2], f"turn {i} " * 40) for i in range(300)] + [(2, 0, "assistant", "long " * 200_000)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: r for r in chat.digest(chat.prefix_examples(table)).collect()}
+    for conv in (1, 2):
+        replies = "".join(t[3] for t in turns if t[0] == conv and t[2] == "assistant")
+        assert (found[conv]["loss_chars"], found[conv]["loss_sha256"]) == (len(replies), hashlib.sha256(replies.encode()).hexdigest())
+
+
 def test_pipeline_on_the_smallest_data(spark):
     import os
 

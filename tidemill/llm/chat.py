@@ -13,12 +13,17 @@ Template: an assistant turn is ``<s>role\\ntext</s>``, any other turn is
 character of a control string, ``<\\/s>`` for ``</s>``, and one more where
 there are some already; so it can be undone, whatever a text holds.
 
-Edge cases: a null text is empty; a null role is written as an empty one;
-line breaks of a role become spaces; turns sort by turn (nulls first), role and
+A role stands on a line of its own: its line breaks are written as ``\\n``, its
+backslashes as ``\\-``, which is undone in reading.
+
+Edge cases: a null text is empty; a null role is written as an empty one; a null
+conv_id is a conversation of its own; turns sort by turn (nulls first), role and
 text, repeated rows stay repeated turns; an empty table gives no example.
 Only conv_id, turn, role and text are read. The expansion of one conversation
 is quadratic in its turns by definition; it is made row by row out of one array
-of turns, so no shuffle carries a prefix.
+of turns, so no shuffle carries a prefix. The limit that follows: a conversation's
+turns, and each formatted prefix, must fit into a row (2 GB), as must the texts whose
+digests are asked for.
 """
 
 from __future__ import annotations
@@ -39,6 +44,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPED, "$1$2$3")
 
 
+def one_line(role: Column) -> Column:
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\-")), F.lit("\n"), F.lit("\\n"))
+
+
+def many_lines(line: Column) -> Column:
+    """Undo :func:`one_line`: each backslash there belongs to one of its two pairs."""
+    return F.replace(F.replace(line, F.lit("\\n"), F.lit("\n")), F.lit("\\-"), F.lit("\\"))
+
+
 def render(role: Column, text: Column) -> Column:
     """One formatted turn, of a role and a text without nulls."""
     reply = F.concat(F.lit("<s>"), role, F.lit("\n"), escape(text), F.lit("</s>"))
@@ -48,7 +62,7 @@ def render(role: Column, text: Column) -> Column:
 
 def prefix_examples(conversations: DataFrame) -> DataFrame:
     """conv_id, example (from 0), is_last, text, loss_start, loss_length (0 without a target)."""
-    role = F.regexp_replace(F.coalesce("role", F.lit("")), "[\r\n]", " ")
+    role = one_line(F.coalesce("role", F.lit("")))
     text = F.coalesce("text", F.lit(""))
     turn = F.struct(F.col("turn"), role.alias("role"), text.alias("raw"), render(role, text).alias("shown"))
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
@@ -70,7 +84,7 @@ def read_turns(text: Column) -> Column:
     def turn(t: Column) -> Column:
         body = F.regexp_replace(t, r"(?s)^(?:<s>|\[INST\])(.*)(?:</s>|\[/INST\])$", "$1")
         line = F.locate("\n", body)
-        return F.struct(unescape(body.substr(F.lit(1), line - 1)).alias("role"), unescape(body.substr(line + 1, F.length(body))).alias("text"))
+        return F.struct(many_lines(unescape(body.substr(F.lit(1), line - 1))).alias("role"), unescape(body.substr(line + 1, F.length(body))).alias("text"))
 
     return F.transform(shown, turn)
 

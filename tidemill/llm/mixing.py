@@ -4,18 +4,20 @@ DataFrame functions only. A source's target is its weight's share of the whole
 mix, clamped at ``max_epochs`` times the source; what clamping frees is shared
 again by weight until no source is above its cap. Sorting the sources by
 size / weight makes the clamped ones a prefix, so that the fixed point follows
-from two running sums over the table of sources.
+from two running sums over the table of sources. Running sums are made by ranges
+(:func:`running_sums`), so neither many sources nor many rows at one place gather in
+one task.
 
 Each document is taken ``floor(target / source size)`` whole times. The rest of
 the target is filled in the order of a seeded hash: whole documents while they
 fit and a part of the one at the edge, at most one such document a source. The
 edge is found on sums over hash bins, so only the rows of one bin a source are
-ever sorted, however large the source.
+ever sorted, in ranges, however large the source.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a
 source of its own, the last one; a source without words has target 0; rows with
-the same id and size share a hash and take neighbouring places in the order;
-an empty table gives an empty result. Only the named columns are read, other
+the same id and size (or without id) share a hash and take neighbouring places in
+the order, which their sums settle by ranges as well; an empty table gives an empty result. Only the named columns are read, other
 columns pass through :func:`mixed_documents` under their own names.
 """
 
@@ -31,6 +33,7 @@ from tidemill.llm.common import ASCII_SPACE_WORD, broadcast_if_small, stored
 
 BINS = 4096  # of the seeded hash; of each source one bin is sorted
 _HASH_BITS = 60
+PER_TASK = 1 << 20  # rows that a task sorts, about
 
 
 def word_count(text: Column) -> Column:
@@ -43,33 +46,36 @@ def seeded_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def water_fill(sources: DataFrame, weights: Sequence[float], share: float, max_epochs: int) -> DataFrame:
-    """source, size -> source, size, target.
+def running_sums(rows: DataFrame, order: Sequence[str], values: Sequence[str], per_task: int = PER_TASK) -> DataFrame:
+    """rows with before_<value>: the sum over all rows before it in the (total) order.
 
-    The rows are sources, not documents, so one task orders them.
+    The rows are cut into ranges of about per_task of them; sums within a range are
+    added to those of the ranges before it, of which there are few.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
+    ranges = max(1, -(-rows.count() // per_task))
+    placed = stored(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    ahead, within = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy("range").agg(*(F.sum(v).alias(v) for v in values))
+    sums = sums.select(F.col("range").alias("sum_range"), *(F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"ahead_{v}") for v in values))
+    joined = placed.join(F.broadcast(sums), F.col("range") == F.col("sum_range"))  # a row a range
+    return joined.select(*rows.columns, *((F.col(f"ahead_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(f"before_{v}") for v in values))
+
+
+def water_fill(sources: DataFrame, weights: Sequence[float], share: float, max_epochs: int) -> DataFrame:
+    """source, size -> source, size, target. The driver gets four sums."""
+    named = sources.select("source", "size", F.col("source").isNull().alias("unnamed"), F.lit(1).cast("long").alias("one"))
+    ranked = running_sums(named, ["unnamed", "source"], ["one"])
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = sources.withColumn("rank", F.row_number().over(by_name) - 1).withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
-    everything = W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = W.partitionBy(F.lit(1)).orderBy(F.col("size") / F.col("weight"), "rank").rowsBetween(W.unboundedPreceding, -1)
+    weighted = ranked.select("source", "size", F.col("before_one").alias("rank"), F.element_at(cycle, (F.col("before_one") % len(weights) + 1).cast("int")).alias("weight"))
     cap = F.lit(float(max_epochs)) * F.col("size")
-    filled = ranked.select(
-        "source",
-        "size",
-        "weight",
-        cap.alias("cap"),
-        (F.sum("size").over(everything) * F.lit(float(share))).alias("total"),
-        F.sum("weight").over(everything).alias("all_weight"),
-        F.coalesce(F.sum(cap).over(before), F.lit(0.0)).alias("cap_before"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("weight_before"),
-    )
-    clamped = (F.col("total") - F.col("cap_before")) * F.col("weight") >= F.col("cap") * (F.col("all_weight") - F.col("weight_before"))
-    filled = filled.withColumn("clamped", clamped)
-    clamped_caps = F.coalesce(F.sum(F.when(F.col("clamped"), F.col("cap"))).over(everything), F.lit(0.0))
-    clamped_weight = F.coalesce(F.sum(F.when(F.col("clamped"), F.col("weight"))).over(everything), F.lit(0.0))
-    free = filled.withColumn("rest", F.col("total") - clamped_caps).withColumn("rest_weight", F.col("all_weight") - clamped_weight)
-    return free.select("source", "size", F.when(F.col("clamped"), F.col("cap")).otherwise(F.col("weight") * F.col("rest") / F.col("rest_weight")).alias("target"))
+    filled = running_sums(weighted.withColumns({"ratio": F.col("size") / F.col("weight"), "cap": cap}), ["ratio", "rank"], ["cap", "weight"])
+    filled = stored(filled, "mix-filled")
+    every = filled.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    total = float(every["size"]) * float(share)
+    clamped = (F.lit(total) - F.col("before_cap")) * F.col("weight") >= F.col("cap") * (F.lit(float(every["weight"])) - F.col("before_weight"))
+    held = filled.where(clamped).agg(F.coalesce(F.sum("cap"), F.lit(0.0)).alias("cap"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    rest = F.col("weight") * F.lit(total - held["cap"]) / F.lit(max(every["weight"] - held["weight"], 1e-300))
+    return filled.select("source", "size", F.when(clamped, F.col("cap")).otherwise(rest).alias("target"))
 
 
 def _plan(sized: DataFrame, weights: Sequence[float], share: float, max_epochs: int) -> DataFrame:
@@ -103,10 +109,14 @@ def _sized(docs: DataFrame, seed: str, keep: Column | None) -> DataFrame:
 def _take(sized: DataFrame, plan: DataFrame) -> DataFrame:
     joined = sized.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
     plain = joined.where(F.col("bin") != F.col("edge_bin")).withColumn("extra", F.when(F.col("bin") < F.col("edge_bin"), F.col("size")).otherwise(F.lit(0)))
-    before = W.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    left = F.col("part") - F.col("edge_before") - F.coalesce(F.sum("size").over(before), F.lit(0))
-    edge = joined.where(F.col("bin") == F.col("edge_bin")).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    return plain.unionByName(edge)
+    edge = joined.where(F.col("bin") == F.col("edge_bin")).withColumns({"unnamed": F.col("source").isNull(), "salt": F.monotonically_increasing_id()})
+    # Rows that are alike in all but the salt can change places without changing the result.
+    edge = stored(running_sums(edge, ["unnamed", "source", "order", "doc_id", "size", "salt"], ["size"]), "mix-edge")
+    first = stored(edge.groupBy(F.col("source").alias("first_source")).agg(F.min("before_size").alias("first_size")), "mix-first")
+    edge = edge.join(broadcast_if_small(first), F.col("source").eqNullSafe(F.col("first_source")))
+    left = F.col("part") - F.col("edge_before") - (F.col("before_size") - F.col("first_size"))
+    edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    return plain.unionByName(edge.select(*plain.columns))
 
 
 def mix_plan(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
