@@ -1,34 +1,37 @@
 """Operator 9: license scans by diagonal voting.
 
-All rolling word 2-grams of every text are hashed and joined by Spark to the
-positions of the same 2-grams in the templates (a fixed list, so its broadcast is
-bounded). A hit votes for the diagonal ``position in text - position in template``.
-Votes are summed by document, template and diagonal; neighbouring diagonals,
-which a missing or an added word sets apart, are merged; spans with enough votes
-are then read again and compared with the template word by word.
-
-A base phrase must stand there exactly: all its 2-grams on one diagonal, and the
-same words. A longer notice may differ in some words: its longest common
-subsequence with the span must cover LEAST of the template.
-
-Edge cases: a null or empty text has no word and no label; a text of one word has
-no 2-gram; repeated rows get a row each, and rows of one id with unlike texts are
-told apart by a digest of the text; an empty table gives no row. Only doc_id and
-text are read. A row holds the hashes of one text at most.
+All rolling word 2-grams (for base phrases) and NOTICE_K-grams (for notices) of every
+text are hashed and joined by Spark to the positions of the same grams in the templates
+(a fixed list, so its broadcast is bounded). A hit votes for the diagonal ``position in
+text - position in template``. Votes are summed by document, template and diagonal;
+neighbouring diagonals, which missing or added words set apart, are merged; spans with
+enough votes are then read again and compared with the template word by word.
+
+A base phrase must stand there exactly: all its 2-grams on one diagonal, and the same
+words. A longer notice may differ: diagonals up to SHIFT of its length apart are
+neighbours, so a holder's name or a clause may stand within it. Of the span, the best
+window of WINDOW times the notice's length counts; their longest common subsequence
+must cover LEAST of the notice. A span names one such window, the best.
+
+Edge cases: a null or empty text has no word and no label; a text of fewer words than a
+gram has none; repeated rows get a row each, and rows of one id, or without one, are
+told apart by a digest of the text wherever they are looked up; an empty table gives no
+row. Only doc_id and text are read. A row holds the hashes of one text at most, and as
+many spans as its text has room for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import broadcast_if_small, hash_words, rolling_hashes, stored
+from tidemill.llm.common import hash_words, rolling_hashes, scan, stored, text_key
 
 # The base phrases and their labels.
 PHRASES = (
@@ -36,26 +39,37 @@ PHRASES = (
     ("gpl", "general public license"),
     ("reserved", "all rights reserved"),
 )
-# Well-known license notices, in lower case and without marks.
+# Well-known license notices and whole license texts; marks and case don't count.
 NOTICES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("gpl", "this work is licensed under the gnu general public license version"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("gpl", "This work is licensed under the GNU General Public License, version"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("mit", "Released under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
-TEMPLATES = tuple((label, tuple(text.encode().split()), True) for label, text in PHRASES) + tuple((label, tuple(text.encode().split()), False) for label, text in NOTICES)
-K = 2
-SHIFT = 2  # diagonals no further apart are neighbours
-VOTES = 0.4  # of a notice's 2-grams, for a span to be read again
+K = 2  # words of a base phrase's gram
+NOTICE_K = 4  # and of a notice's
+SHIFT = 0.25  # of a notice's length: diagonals no further apart are neighbours
+LEAST_SHIFT = 8  # words, a name in a short notice
+WINDOW = 1.5  # of a notice's length
+VOTES = 0.3  # of a notice's grams, for a span to be read again
 LEAST = 0.75  # of a notice's words, in order
 ROWS_OUT = 1 << 20  # hashes that a task hands over at once
+SPANS = 100_000  # that are broadcast, at most
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -64,19 +78,38 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
-def text_key(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
+class Template(NamedTuple):
+    label: str
+    words: tuple[bytes, ...]
+    exact: bool
 
+    @property
+    def k(self) -> int:
+        return K if self.exact else NOTICE_K
 
-def _grams(found: list[bytes]) -> np.ndarray:
-    return rolling_hashes(hash_words(found), K).view(np.int64)
+    @property
+    def shift(self) -> int:
+        return 0 if self.exact else max(LEAST_SHIFT, int(SHIFT * len(self.words)))
+
+    @property
+    def needed(self) -> float:
+        grams = len(self.words) - self.k + 1
+        return grams if self.exact else max(2, VOTES * grams)
+
+
+TEMPLATES = tuple(Template(label, tuple(words(text)), exact) for kinds, exact in ((PHRASES, True), (NOTICES, False)) for label, text in kinds)
+
+
+def _of_template(values: Iterable) -> Column:
+    """A value for each template, by the column template."""
+    return F.array(*map(F.lit, values))[F.col("template")]
 
 
 def template_table(docs: DataFrame) -> DataFrame:
     """gram -> all (template, position) that have it."""
     places: dict[int, list[tuple[int, int]]] = {}
-    for t, (_, wanted, _) in enumerate(TEMPLATES):
-        for at, gram in enumerate(_grams(list(wanted)).tolist()):
+    for t, template in enumerate(TEMPLATES):
+        for at, gram in enumerate(rolling_hashes(hash_words(list(template.words)), template.k).view(np.int64).tolist()):
             places.setdefault(gram, []).append((t, at))
     return docs.sparkSession.createDataFrame(list(places.items()), "gram long, places array<struct<template: int, at: int>>")
 
@@ -87,49 +120,54 @@ def diagonal_votes(docs: DataFrame) -> DataFrame:
     A row without hits has nulls there; low and high are the hits' ends in the text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, held = [], 0
-            for doc, text in zip(batch["doc_id"].array, batch["text"], strict=True):
-                found = words(text)
-                rows.append((doc, text_key(text), len(found), _grams(found)))
-                held += len(found)
-                if held > ROWS_OUT:
-                    yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_words", "grams"])
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_words", "grams"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n_words long, grams array<long>")
+    def make(texts: list[str | None]) -> Iterator[tuple[list[int], list]]:
+        at, rows, held = [], [], 0
+        for i, text in enumerate(texts):
+            found = words(text)
+            hashed = hash_words(found)
+            at.append(i)
+            rows.append((len(found), np.concatenate([rolling_hashes(hashed, k) for k in (K, NOTICE_K)]).view(np.int64)))
+            held += 2 * len(found)
+            if held > ROWS_OUT:
+                yield at, list(zip(*rows, strict=True))
+                at, rows, held = [], [], 0
+        if rows:
+            yield at, list(zip(*rows, strict=True))
+
     own = ["row", "doc_id", "text_key", "n_words"]
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    read = scan(keyed, ["doc_id", "text_key"], ["text"], lambda: make, [("n_words", "long", pa.int64()), ("grams", "array<long>", pa.list_(pa.int64()))])
     read = read.withColumn("row", F.monotonically_increasing_id())
-    hits = read.select(*own, F.posexplode_outer("grams").alias("at", "gram")).join(F.broadcast(template_table(docs)), "gram", "left")
-    hits = hits.where("places IS NOT NULL OR at IS NULL OR at = 0").select(*own, "at", F.explode_outer("places").alias("place"))
-    votes = hits.groupBy(*own, F.col("place.template").alias("template"), (F.col("at") - F.col("place.at")).alias("diagonal"))
+    hits = read.select(*own, F.posexplode_outer("grams").alias("place", "gram")).join(F.broadcast(template_table(docs)), "gram", "left")
+    # The longer grams stand behind the shorter ones.
+    short = F.greatest(F.col("n_words") - K + 1, F.lit(0))
+    at = F.when(F.col("place") < short, F.col("place")).otherwise(F.col("place") - short)
+    hits = hits.where("places IS NOT NULL OR place IS NULL OR place = 0").select(*own, at.cast("int").alias("at"), F.explode_outer("places").alias("hit"))
+    votes = hits.groupBy(*own, F.col("hit.template").alias("template"), (F.col("at") - F.col("hit.at")).alias("diagonal"))
     return votes.agg(F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
 
 
 def merged_diagonals(votes: DataFrame) -> DataFrame:
     """Spans of neighbouring diagonals with enough votes: row, doc_id, text_key, template, diagonal, low, high."""
-    lengths = F.array(*(F.lit(len(w) - K + 1) for _, w, _ in TEMPLATES))
-    exact = F.array(*(F.lit(e) for _, _, e in TEMPLATES))
     order = W.partitionBy("row", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
-    starts = F.when(gap.isNull() | (gap > SHIFT) | exact[F.col("template")], 1).otherwise(0)
+    starts = F.when(gap.isNull() | (gap > _of_template(t.shift for t in TEMPLATES)), 1).otherwise(0)
     spans = votes.where("template IS NOT NULL").withColumn("part", F.sum(starts).over(order.rowsBetween(W.unboundedPreceding, 0)))
     spans = spans.groupBy("row", "doc_id", "text_key", "template", "part").agg(F.min("diagonal").alias("diagonal"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    needed = F.when(exact[F.col("template")], lengths[F.col("template")]).otherwise(F.greatest(F.lit(2), lengths[F.col("template")] * F.lit(VOTES)))
-    return spans.where(F.col("votes") >= needed).select("row", "doc_id", "text_key", "template", "diagonal", "low", "high")
+    return spans.where(F.col("votes") >= _of_template(float(t.needed) for t in TEMPLATES)).select("row", "doc_id", "text_key", "template", "diagonal", "low", "high")
 
 
-def common_length(a: tuple[bytes, ...], b: list[bytes]) -> int:
-    """The length of the longest common subsequence."""
-    line = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, line[j] = line[j], corner + 1 if x == y else max(line[j], line[j - 1])
-    return line[-1]
+def common_length(a: Sequence[bytes], b: Sequence[bytes]) -> int:
+    """The length of the longest common subsequence, a word of b at a time over all of a as bits."""
+    places: dict[bytes, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for y in b:
+        held = free & places.get(y, 0)
+        free = (free + held | free - held) & full
+    return len(a) - free.bit_count()
 
 
 def span_score(found: list[bytes], template: int, diagonal: int, low: int, high: int) -> float:
@@ -137,30 +175,36 @@ def span_score(found: list[bytes], template: int, diagonal: int, low: int, high:
     _, wanted, exact = TEMPLATES[template]
     if exact:
         return float(diagonal >= 0 and tuple(found[diagonal : diagonal + len(wanted)]) == wanted)
-    share = common_length(wanted, found[max(0, low - SHIFT) : high + K + SHIFT]) / len(wanted)
+    slack = TEMPLATES[template].shift
+    size, step = int(WINDOW * len(wanted)) + slack, max(1, len(wanted) // 4)
+    end = high + NOTICE_K + slack
+    share = max(common_length(wanted, found[max(0, at) : min(at + size, end)]) for at in range(low - slack, max(low - slack, end - size) + step, step)) / len(wanted)
     return share if share >= LEAST else 0.0
 
 
 def verified_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The spans that stand in the text: doc_id, text_key, template, diagonal, low, high, score."""
+    """The spans that stand in the text: found_doc, found_text, template, diagonal, low, high, score."""
     one = F.struct("template", "diagonal", "low", "high")
-    wanted = stored(spans.groupBy("doc_id", "text_key").agg(F.collect_set(one).alias("spans")).withColumnsRenamed({"doc_id": "span_doc"}), "license-spans")
-    read = docs.select("doc_id", "text").join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("span_doc"))).select("doc_id", "text", "text_key", "spans")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text, key, each in zip(batch["doc_id"].array, batch["text"], batch["text_key"], batch["spans"], strict=True):
-                if text_key(text) == key:
-                    found = words(text)
-                    for s in each:
-                        at = tuple(int(s[c]) for c in ("template", "diagonal", "low", "high"))
-                        if score := span_score(found, *at):
-                            rows.append((doc, key, *at, score))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "template", "diagonal", "low", "high", "score"])
+    wanted = spans.groupBy(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_text")).agg(F.collect_set(one).alias("spans"))
+    wanted = stored(wanted, "license-spans")
+    few = wanted.agg(F.sum(F.size("spans"))).first()[0] or 0
+    same = F.col("doc_id").eqNullSafe(F.col("span_doc")) & (F.col("text_key") == F.col("span_text"))
+    read = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).join(F.broadcast(wanted) if few <= SPANS else wanted, same)
+
+    def make(texts: list[str | None], keys: list[bytes], each: list[list[dict]]) -> Iterator[tuple[list[int], list]]:
+        at, rows, seen = [], [], {}
+        for i, (text, key, wanted) in enumerate(zip(texts, keys, each, strict=True)):
+            if key not in seen:  # copies side by side are read once
+                found = words(text)
+                spots = [tuple(s[c] for c in ("template", "diagonal", "low", "high")) for s in wanted]
+                seen = {key: [(*s, score) for s in spots if (score := span_score(found, *s))]}
+            at += [i] * len(seen[key])
+            rows += seen[key]
+        if rows:
+            yield at, list(zip(*rows, strict=True))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return read.mapInPandas(run, f"doc_id {kind}, text_key long, template int, diagonal int, low int, high int, score double").distinct()
+    fields = [*((c, "int", pa.int32()) for c in ("template", "diagonal", "low", "high")), ("score", "double", pa.float64())]
+    return scan(read, ["doc_id", "text_key"], ["text", "text_key", "spans"], lambda: make, fields).withColumnsRenamed({"doc_id": "found_doc", "text_key": "found_text"}).distinct()
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -171,11 +215,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     votes = stored(diagonal_votes(docs), "license-votes")
     spans = merged_diagonals(votes)
     good = verified_spans(docs, spans)
-    keys = ["doc_id", "text_key", "template", "diagonal", "low", "high"]
-    same = [spans[c].eqNullSafe(good[c]) if c == "doc_id" else spans[c] == good[c] for c in keys]
-    found = spans.join(good, same).select("row", spans["template"], spans["diagonal"], spans["low"], good["score"])
-    exact = F.array(*(F.lit(e) for _, _, e in TEMPLATES))[F.col("template")]
-    label = F.array(*(F.lit(n) for n, _, _ in TEMPLATES))[F.col("template")]
+    places = ["template", "diagonal", "low", "high"]
+    same = [spans["doc_id"].eqNullSafe(good["found_doc"]), spans["text_key"] == good["found_text"], *(spans[c] == good[c] for c in places)]
+    found = spans.join(good, same).select("row", *(spans[c] for c in places), good["score"])
+    exact, label = _of_template(t.exact for t in TEMPLATES), _of_template(t.label for t in TEMPLATES)
     start = F.when(exact, F.col("diagonal")).otherwise(F.col("low")).cast("long")
     per_row = found.groupBy(F.col("row").alias("found_row")).agg(
         F.sum(exact.cast("long")).alias("n_base"),
