@@ -26,12 +26,13 @@ from functools import reduce
 from operator import add, eq
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import labelled_sample, stored
+from tidemill.llm.common import labelled_sample, labelled_texts, scan, stored
 
 STATISTICS = (
     "log_chars",
@@ -95,17 +96,12 @@ def statistics(text: str | None) -> tuple[float, ...]:
 
 def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and a double column for each of STATISTICS."""
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{s} double" for s in STATISTICS)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = pd.DataFrame([statistics(t) for t in batch["text"]], columns=list(STATISTICS), dtype=float)
-            for i, c in enumerate(keep):
-                made.insert(i, c, batch[c].array)
-            yield made
+    def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
+        if texts:
+            yield range(len(texts)), list(zip(*map(statistics, texts), strict=True))
 
-    return docs.select(*keep, "text").mapInPandas(run, schema)
+    return scan(docs, keep, ["text"], lambda: make, [(s, "double", pa.float64()) for s in STATISTICS])
 
 
 @dataclass(frozen=True)
@@ -166,11 +162,10 @@ class RuleModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label: str = "quality", sample: int = SAMPLE) -> RuleModel:
-    """Learn from at most about ``sample`` labelled documents."""
+    """Learn from at most about ``sample`` labelled documents, one text an id."""
     chosen = labelled_sample(labels, label, F.lit(True) if usable is None else usable, sample)
-    # The sample's size is bounded, so it is safe to broadcast.
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    train = stored(text_statistics(train, ("label",)).withColumn("label", (F.col("label") > 0).cast("double")), "quality-train")
+    train = text_statistics(labelled_texts(docs, chosen), ("label",)).withColumn("label", (F.col("label") > 0).cast("double"))
+    train = stored(train, "quality-train")
     n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     base = (n.get(1.0, 0) + 1) / (sum(n.values()) + 2)
     if len(n) < 2:
