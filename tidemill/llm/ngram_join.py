@@ -27,7 +27,8 @@ them. All that is left out follows from such bounds, so no link is lost:
 Every pair has one cell, so link counts need no later removal of repeats. Groups
 of copies, large or small, are one row each until the last join; there, groups that
 hold a visible share of all rows (HOT of them at most) are joined by broadcast and
-the rest by their keys.
+the rest by their keys. Tasks are counted from the entries, not from the session's
+default.
 
 Edge cases: a null or empty text, or one without words, has an empty set, links
 with nothing and is its own component; a text of fewer than k words has one
@@ -54,8 +55,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import broadcast_if_small, hash_words, rolling_hashes, scan, scratch, small_batches, stored, text_key
 
 EXTRA = 20  # c is one part in so many of a row
-ENTRIES = 1 << 20  # entries of a column block and of a row block, and what a task gathers before it sends
-LEAST_BLOCKS = 64
+ENTRIES = 1 << 19  # entries of a column block and of a row block, and what a task gathers before it sends
 ROWS = 2048  # of a row block, about
 STRIP = 256  # rows that are compared at once
 COLUMNS = 2048  # that are multiplied at once
@@ -140,10 +140,15 @@ def _gathered(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataF
         yield pd.concat(waiting)
 
 
+def _tasks(table: DataFrame, entries: int) -> int:
+    """How many tasks, and column blocks, so many entries are dealt to: the session's number, or more for many."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES))
+
+
 def _shared_counts(sets: DataFrame) -> DataFrame:
     """ref -> how many entries of its prefix have a column with several rows."""
     entries = int(sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0)
-    blocks = max(LEAST_BLOCKS, entries // ENTRIES)
+    blocks = _tasks(sets, entries)
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Entries by column block; block < 0: counts of what this task has seen to be shared."""
@@ -166,7 +171,7 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
 
     def column_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         numbers, refs = _numbers(frame["numbers"]), _numbers(frame["refs"], "<i8")
-        if key[0] < 0:
+        if key[1] < 0:
             return pd.DataFrame({"ref": refs, "n": numbers.astype(np.int64)})
         many = _numbers(frame["many"], "u1") > 0
         columns, of = np.unique(numbers, return_inverse=True)
@@ -182,7 +187,7 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
         return pd.DataFrame({"ref": found, "n": n})
 
     made = sets.where("prefix IS NOT NULL").select("ref", "prefix").mapInPandas(tiles, "block int, numbers binary, refs binary, many binary")
-    counts = made.groupBy("block").applyInPandas(column_block, "ref long, n long")
+    counts = made.withColumn("task", F.pmod("block", F.lit(blocks))).repartitionById(blocks, F.col("task")).groupBy("task", "block").applyInPandas(column_block, "ref long, n long")
     return counts.groupBy("ref").agg(F.sum("n").alias("shared"))
 
 
@@ -217,7 +222,7 @@ def _whole_rows(docs: DataFrame, nodes: DataFrame, k: int, store: Store) -> Data
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Rows that can have links, with their prefix columns that others have too."""
     entries = int(rows.agg(F.sum("n")).first()[0] or 0)
-    blocks = max(LEAST_BLOCKS, entries // ENTRIES)
+    blocks = _tasks(rows, entries)
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,9 +264,9 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["set_key", "n", "size", "lead", "prefix", "shingles"])
 
     made = rows.select("row_block", "shingles").mapInPandas(tiles, "block int, row_block long, columns binary, counts binary")
-    counted = made.groupBy("block").applyInPandas(column_block, "row_block long, columns binary, counts binary")
+    counted = made.repartitionById(blocks, F.col("block")).groupBy("block").applyInPandas(column_block, "row_block long, columns binary, counts binary")
     schema = "set_key binary, n long, size long, lead long, prefix array<long>, shingles binary"
-    dealt, counted = (x.groupBy("row_block") for x in (rows, counted))
+    dealt, counted = (x.repartition(blocks, "row_block").groupBy("row_block") for x in (rows, counted))
     return dealt.cogroup(counted).applyInPandas(row_block, schema)
 
 
@@ -280,8 +285,12 @@ def _cells(rows: DataFrame, percent: int, store: Store) -> DataFrame:
     met = low.join(high, "gram").where(fits & ((F.col("block") < F.col("high_block")) | ((F.col("block") == F.col("high_block")) & (F.col("rows") > 1))))
     cells = store(met.select(F.col("block").alias("low"), F.col("high_block").alias("high")).distinct(), "cells")
     members = cells.withColumn("member", F.explode(F.array_distinct(F.array("low", "high"))))
+    # As many tasks as what the cells hold takes column blocks.
+    sizes = placed.groupBy(F.col("block").alias("sized")).agg(F.sum("n").alias("entries"))
+    entries = members.join(sizes, F.col("member") == F.col("sized")).agg(F.sum("entries")).first()[0] or 0
     whole = placed.select("set_key", "n", "size", "shingles", "block")
-    return members.join(whole, F.col("member") == F.col("block")).drop("member")
+    met = members.join(whole, F.col("member") == F.col("block")).drop("member")
+    return met.repartition(_tasks(placed, int(entries)), "low", "high")
 
 
 def _columns(side: pd.DataFrame, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
