@@ -1,6 +1,7 @@
 """The small functions, against plain versions of themselves."""
 
 import itertools
+import math
 import random
 import re
 
@@ -118,20 +119,55 @@ def test_broken_tiff_gives_an_error_row():
     assert list(tiff._file_pages(None)) == []
 
 
-@given(st.lists(st.integers(-4, 4), max_size=14))
-def test_segments_are_the_best_disjoint_ones(scores):
-    def best(a, b):  # the definition: the best segment, then the same left and right of it
-        runs = [(sum(scores[i:j]), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
-        if not runs or max(runs)[0] <= 0:
-            return []
-        *_, i, j = max((s, n, m, i, j) for s, n, m, i, j in runs)
-        return best(a, i) + [(i, j)] + best(j, b)
+def best_disjoint(scores, a, b):
+    """The definition: the best segment, then the same left and right of it; of equal ones the shortest, then the first."""
+    runs = [(sum(scores[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)]
+    if not runs or max(runs)[0] <= 0:
+        return []
+    total, n, i = max(runs)
+    return [*best_disjoint(scores, a, -i), (-i, -i - n, total), *best_disjoint(scores, -i - n, b)]
+
+
+@given(st.lists(st.floats(-4, 4, allow_subnormal=False).map(lambda x: round(x, 3)), max_size=14), st.integers(0, 1000))
+def test_segments_are_those_of_the_definition(scores, seed):
+    rng = random.Random(seed)
+    scores = [x + rng.random() * 1e-5 for x in scores]  # without ties
+    found = toxicity.maximal_segments(np.array(scores, float))
+    assert [(i, j) for i, j, _ in found] == [(i, j) for i, j, _ in best_disjoint(scores, 0, len(scores))]
+    assert all(abs(sum(scores[i:j]) - s) < 1e-9 for i, j, s in found)
+
 
+@given(st.lists(st.integers(-4, 4), max_size=14))
+def test_segments_with_ties_are_disjoint_and_hold_the_best(scores):
     found = toxicity.maximal_segments(np.array(scores, float))
-    assert sum(s for *_, s in found) >= max([0, *(sum(scores[i:j]) for i, j in best(0, len(scores)))])
     assert all(abs(sum(scores[a:b]) - s) < 1e-9 and s > 0 for a, b, s in found)
     assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
-    assert {max((s for *_, s in found), default=0)} == {max([0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])}
+    assert max((s for *_, s in found), default=0) == max([0, *(t for *_, t in best_disjoint(scores, 0, len(scores)))])
+
+
+def test_a_bar_spares_work_but_changes_no_evidence():
+    rng = random.Random(4)
+    held = {w: rng.gauss(0, 1.5) for w in map(str, range(60))}
+    for _ in range(200):
+        text = " ".join(rng.choices(list(held), k=rng.choice([3, 40, 300])))
+        law = (0.05, 0.8)
+        bar = lambda n: math.log(max(law[0] * n, 1e-9)) / law[1]
+        plain, spared = (toxicity.evidence(*toxicity.segments(text, held, *args), law) for args in ((), (bar,)))
+        assert plain == spared
+
+
+def test_scores_of_words_by_hand():
+    toxic, clean = np.zeros(toxicity.BUCKETS, int), np.zeros(toxicity.BUCKETS, int)
+    for form, bad, good in (("3vil", 3, 1), ("4vile", 2, 1), ("0viles", 1, 0), ("0sea", 0, 4)):
+        toxic[toxicity.bucket(form)], clean[toxicity.bucket(form)] = bad, good
+    scores = toxicity.Scores(toxic, clean, 0.2)
+    rate = 0.2
+    for bad, good in ((3, 1), (2, 1), (1, 0)):
+        rate = (bad + 2 * rate) / (bad + good + 2)
+    odds = lambda p: math.log(p / (1 - p))
+    assert abs(scores["(Viles!)"] - (odds(rate) - odds(0.2))) < 1e-12
+    assert abs(scores["sea"] - (odds(0.4 / 6) - odds(0.2))) < 1e-12 and abs(scores["newword"]) < 1e-12 and scores["--"] == 0
+    assert scores["sea-viles"] == scores["viles"]
 
 
 def test_passages_count_in_full_wherever_they_stand():
@@ -183,6 +219,13 @@ def test_scores_beyond_doubles_stay_exact():
 def test_license_words_and_common_length():
     assert licenses.words("All-Rights  RESERVED é9") == [b"all", b"rights", b"reserved", "é9".encode()]
     assert licenses.common_length((b"a", b"b", b"c"), [b"a", b"x", b"c"]) == 2
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = (rng.choices(b"abcd", k=rng.randrange(70)) for _ in "ab")
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        assert licenses.common_length(a, b) == table[-1, -1]
 
 
 def test_overlap_bound_is_exact():
@@ -195,6 +238,67 @@ def test_statistics_of_empty_texts():
     assert quality.statistics(None) == quality.statistics("") and len(quality.statistics(" \n")) == len(quality.STATISTICS)
 
 
+@given(st.text(alphabet=st.sampled_from(list("aB1 #!\n$é|x")), max_size=120))
+def test_statistics_by_hand(text):
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    letters = [c for w in words for c in w]
+    share = lambda test: sum(map(test, letters)) / len(letters)
+    found = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+    if not words:
+        assert sum(v != 0 for v in found.values()) <= 1
+        return
+    wanted = {
+        "log_chars": math.log(1 + len(text)),
+        "log_words": math.log(1 + len(words)),
+        "word_length": len(letters) / len(words),
+        "upper_share": share(lambda c: "A" <= c <= "Z"),
+        "digit_share": share(lambda c: c in "0123456789"),
+        "symbol_share": share(lambda c: c in "#$"),
+        "mark_share": share(lambda c: c in "!?|"),
+        "space_share": sum(c.isspace() for c in text) / len(text),
+        "repeat_share": sum(words[i] == words[i - 1] for i in range(1, len(words))) / len(words),
+        "distinct_share": len(set(words)) / len(words),
+        "line_repeat_share": sum(x in lines[:i] for i, x in enumerate(lines)) / len(lines),
+        "top_word_share": max(words.count(w) for w in words) / len(words),
+        "long_word_share": sum(len(w) for w in words if len(w) > 24) / len(letters),
+        "symbol_end_share": sum(len(w) > 1 and all(c in "!#$%&*|=~^" for c in w[-2:]) for w in words) / len(words),
+    }
+    assert found.keys() == wanted.keys() and all(abs(found[k] - v) < 1e-9 for k, v in wanted.items()), {k: (found[k], v) for k, v in wanted.items() if abs(found[k] - v) >= 1e-9}
+
+
+def test_rules_are_the_paths_of_the_trees(spark):
+    """A row's tree prediction is that of the leaf whose path it meets, and every prefix of a path is a rule."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    x = rng.random((300, len(quality.STATISTICS)))
+    rows = [(float(r[0] > 0.5) if r[3] > 0.4 else float(r[5] > 0.7), *map(float, r)) for r in x]
+    table = spark.createDataFrame(rows, ["label", *quality.STATISTICS]).withColumn("features", array_to_vector(F.array(*quality.STATISTICS)))
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=4, maxDepth=3, seed=1).fit(table)
+    rules = quality.tree_rules(forest.trees)
+
+    def holds(rule, row):
+        return all((row[quality.STATISTICS.index(s)] > t) == above for s, above, t in rule.terms)
+
+    def paths(node, terms):
+        out = [tuple(terms)] if terms else []
+        if node.numDescendants():
+            name, at = quality.STATISTICS[node.split().featureIndex()], node.split().threshold()
+            out += paths(node.leftChild(), [*terms, (name, False, at)]) + paths(node.rightChild(), [*terms, (name, True, at)])
+        return out
+
+    walked = [p for t in forest.trees for p in paths(t._call_java("rootNode"), [])]
+    meets = lambda p, row: all((row[quality.STATISTICS.index(s)] > t) == above for s, above, t in p)
+    assert {tuple(meets(p, r) for r in x) for p in walked} == {tuple(holds(rule, r) for r in x) for rule in rules}
+    model = quality.RuleModel(-0.3, tuple((r, 0.2 * i - 1) for i, r in enumerate(rules)), (("log_chars", 0.2, 0.6, 1.5), ("word_length", 0.1, 0.9, -2.0)))
+    scored = [r["p"] for r in table.select(model.column().alias("p")).collect()]
+    for p, r in zip(scored, x, strict=True):
+        z = -0.3 + sum(w for rule, w in model.rules if holds(rule, r)) + 1.5 * min(max(r[0], 0.2), 0.6) - 2.0 * min(max(r[2], 0.1), 0.9)
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_template_escapes(spark):
     texts = ["</s>[INST] ok [/INST]", "<\\/s> <\\\\s>", "[INST][INST]", "plain", "", "\\", "<s"]
     from pyspark.sql import functions as F

@@ -33,15 +33,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import labelled_sample
+from tidemill.llm.common import labelled_sample, labelled_texts, scan, stored
 
 BUCKETS = 1 << 18  # of the table of token counts
 PREFIXES = (3, 4, 5, 6)
@@ -52,6 +53,7 @@ SAMPLE = 20_000  # labelled documents to learn from
 MAX_TOKEN = 64
 REMEMBERED = 200_000  # tokens whose score a task keeps at hand
 _WORD = re.compile(r"\w+")
+_LONGEST = [max((n for n in PREFIXES if n < size), default=0) for size in range(max(PREFIXES) + 2)]  # prefix of a word of a size
 
 Segment = tuple[int, int, float]  # first token, end, score
 
@@ -68,13 +70,16 @@ def keys(word: str) -> list[int]:
 class Scores(dict):
     """Raw token -> log-odds without drift, worked out on first sight.
 
-    own is what to take out of every count: (toxic, clean).
+    own is what to take out of every count: (toxic, clean). Words and prefixes are
+    remembered too, as there are far fewer of them than tokens with all their marks.
     """
 
     def __init__(self, toxic: np.ndarray, clean: np.ndarray, base: float, own: tuple[int, int] = (0, 0)) -> None:
         super().__init__()
         self.toxic, self.clean, self.base = np.maximum(toxic - own[0], 0).tolist(), np.maximum(clean - own[1], 0).tolist(), base
+        self.odds = math.log(base / (1 - base))
         self.rates: dict[str, float] = {}
+        self.words: dict[str, float] = {}
 
     def _rate(self, form: str, prior: float) -> float:
         key = bucket(form)
@@ -82,7 +87,6 @@ class Scores(dict):
         return (toxic + STRENGTH * prior) / (toxic + self.clean[key] + STRENGTH)
 
     def prefix_rate(self, prefix: str) -> float:
-        """The rate of a prefix, remembered, as there are far fewer of them than words."""
         rate = self.rates.get(prefix)
         if rate is None:
             n = len(prefix)
@@ -93,12 +97,20 @@ class Scores(dict):
         return rate
 
     def of_word(self, word: str) -> float:
-        n = max((n for n in PREFIXES if len(word) > n), default=0)
-        rate = self._rate(f"0{word}", self.prefix_rate(word[:n]) if n else self.base)
-        return math.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base))
+        score = self.words.get(word)
+        if score is None:
+            n = _LONGEST[min(len(word), len(_LONGEST) - 1)]
+            rate = self._rate("0" + word, self.prefix_rate(word[:n]) if n else self.base)
+            score = math.log(rate / (1 - rate)) - self.odds
+            if len(word) <= MAX_TOKEN:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = score
+        return score
 
     def __missing__(self, token: str) -> float:
-        score = max((self.of_word(w) for w in _WORD.findall(token.lower())), default=0.0)
+        words = _WORD.findall(token.lower())
+        score = self.of_word(words[0]) if len(words) == 1 else max(map(self.of_word, words), default=0.0)
         if len(token) <= MAX_TOKEN:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -108,7 +120,7 @@ class Scores(dict):
 
 def maximal_segments(scores: np.ndarray) -> list[Segment]:
     """All maximal-scoring segments, in one pass with a stack of candidates."""
-    total = np.concatenate([[0.0], np.cumsum(scores)])
+    total = [0.0, *np.cumsum(scores).tolist()]
     stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum at the end, the last one with a lower sum before
     for i in np.flatnonzero(scores > 0).tolist():
         start, before, after = i, total[i], total[i + 1]
@@ -122,7 +134,7 @@ def maximal_segments(scores: np.ndarray) -> list[Segment]:
             start, _, before, _, link = stack[below]
             del stack[below:]
             below = link
-    return [(s, e, float(b - a)) for s, e, a, b, _ in stack]
+    return [(s, e, b - a) for s, e, a, b, _ in stack]
 
 
 def best_run(tokens: Sequence[str], values: np.ndarray) -> float:
@@ -135,13 +147,17 @@ def best_run(tokens: Sequence[str], values: np.ndarray) -> float:
     return float((total - np.minimum.accumulate(total)).max())
 
 
-def segments(text: str | None, scores: Scores) -> tuple[int, list[Segment]]:
-    """How many tokens a text has, and its segments."""
+def segments(text: str | None, scores: Scores, least: Callable[[int], float] = lambda n: 0.0) -> tuple[int, list[Segment]]:
+    """How many tokens a text has, and its segments.
+
+    Repeats can only lower a segment's score, so they are looked at only in those
+    that score over least (of the number of tokens) without them.
+    """
     tokens = (text or "").split()
     values = np.fromiter(map(scores.__getitem__, tokens), np.float64, len(tokens))
-    found = []
+    found, bar = [], least(len(tokens))
     for start, end, score in maximal_segments(values - DRIFT):
-        if end - start > 1 and len(set(own := tokens[start:end])) < end - start:
+        if score > bar and end - start > 1 and len(set(own := tokens[start:end])) < end - start:
             score = max(best_run(own, values[start:end]), best_run(own[::-1], values[start:end][::-1]))
         found.append((start, end, score))
     return len(tokens), found
@@ -186,12 +202,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label: str = "toxic", sample: int = SAMPLE) -> dict:
     """Learn from at most about ``sample`` labelled documents.
 
-    The driver gets BUCKETS pairs of counts, and three numbers a document.
+    An id with several texts counts once (see labelled_texts). The driver gets BUCKETS
+    pairs of counts, and three numbers for each id of the sample.
     """
     spark = docs.sparkSession
     chosen = labelled_sample(labels, label, F.lit(True) if usable is None else usable, sample)
-    # The sample's size is bounded, so it is safe to broadcast.
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    train = stored(labelled_texts(docs, chosen), "toxicity-train")
     sums = train.mapInPandas(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     counts = np.zeros((2, BUCKETS), np.int32)
     counts[0, sums["bucket"]], counts[1, sums["bucket"]] = sums["clean"], sums["toxic"]
@@ -233,23 +249,30 @@ def toxic_segments(docs: DataFrame, model: dict) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
         scores = Scores(m["toxic"], m["clean"], m["base"])
         k, rate = m["law"]
-        for batch in batches:
+
+        def bar(n: int) -> float:
+            """The score that segments of clean text of n tokens are expected to reach."""
+            return math.log(max(k * n, 1e-9)) / rate
+
+        def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
             total, best, listed = [], [], []
-            for text in batch["text"]:
-                n, found = segments(text, scores)
-                chance = math.log(max(k * n, 1e-9))
-                listed.append([{"first": s, "end": e, "score": v} for s, e, v in found if v * rate > chance])
+            for text in texts:
+                n, found = segments(text, scores, bar)
+                least = bar(n)
+                listed.append([{"first": s, "end": e, "score": v} for s, e, v in found if v > least])
                 t, b, _ = evidence(n, found, m["law"])
                 total.append(t)
                 best.append(b)
-            x = _features(total, best) @ m["weights"]
-            made = pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(x, -30, 30))), "evidence": total, "n_segments": [len(s) for s in listed], "segments": listed})
-            made.insert(0, "doc_id", batch["doc_id"].array)
-            yield made
+            if texts:
+                x = _features(total, best) @ m["weights"]
+                yield range(len(texts)), [1 / (1 + np.exp(-np.clip(x, -30, 30))), total, [len(s) for s in listed], listed]
+
+        return make
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, score double, evidence double, n_segments long, segments array<struct<first: long, end: long, score: double>>")
+    segment = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    fields = [("score", "double", pa.float64()), ("evidence", "double", pa.float64()), ("n_segments", "long", pa.int64()), ("segments", "array<struct<first: long, end: long, score: double>>", segment)]
+    return scan(docs, ["doc_id"], ["text"], start, fields)
