@@ -14,21 +14,32 @@ def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time:
 
     One shuffle by key of the union of both sides; a running last value does the
     rest, so no pair of rows is ever made. Among right rows of one time the one
-    with the largest values wins. Left rows without a match get nulls.
+    with the largest values wins. Left rows without a match get nulls; null keys
+    and null times match nothing, as in SQL. Values must not be named as left's
+    columns.
     """
-    carried = F.struct(*(F.col(v) for v in values))
-    marked_left = left.select(*on, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType).alias("_value"), F.struct(*(F.col(c) for c in left.columns)).alias("_row"))
-    marked_right = right.select(*on, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), carried.alias("_value"), F.lit(None).cast(marked_left.schema["_row"].dataType).alias("_row"))
-    order = W.partitionBy(*on).orderBy("_time", "_side", "_value").rowsBetween(W.unboundedPreceding, 0)
-    joined = marked_left.unionByName(marked_right).withColumn("_last", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
-    return joined.select("_row.*", *(F.col("_last")[v].alias(v) for v in values))
+    if clash := set(values) & set(left.columns):
+        raise ValueError(f"columns of both sides: {sorted(clash)}")
+    keys = [f"key_{i}" for i in range(len(on))]
+    named = [F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)]
+    carried, row = (F.struct(*(F.col(f"`{c}`") for c in columns)) for columns in (values, left.columns))
+    kinds = right.select(carried.alias("x")).schema["x"].dataType, left.select(row.alias("x")).schema["x"].dataType
+    marked_left = left.select(*named, F.col(f"`{left_time}`").alias("time"), F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("value"), row.alias("row"))
+    marked_right = right.dropna(subset=[*on, right_time]).select(*named, F.col(f"`{right_time}`").alias("time"), F.lit(0).alias("side"), carried.alias("value"), F.lit(None).cast(kinds[1]).alias("row"))
+    order = W.partitionBy(*keys).orderBy("time", "side", "value").rowsBetween(W.unboundedPreceding, 0)
+    joined = marked_left.unionByName(marked_right).withColumn("last", F.last("value", ignorenulls=True).over(order)).where("side = 1")
+    return joined.select("row.*", *(F.col("last")[v].alias(v) for v in values))
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: Column, low: Column, high: Column, width: int) -> DataFrame:
     """All (point, interval) rows with low <= point < high, for whole numbers.
 
     Both sides are cut into bins of the given width and joined by bin, so an
-    interval is copied once for each bin that it covers.
+    interval is copied once for each bin that it covers. A null point or end
+    matches nothing.
     """
-    binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width)))).where(low < high)
-    return points.withColumn("_bin", F.floor(point / width)).join(binned, "_bin").where((point >= low) & (point < high)).drop("_bin")
+    name = "bin"
+    while name in {c.lower() for c in (*points.columns, *intervals.columns)}:
+        name += "_"
+    binned = intervals.where(low < high).withColumn(name, F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))))
+    return points.withColumn(name, F.floor(point / width)).join(binned, name).where((point >= low) & (point < high)).drop(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.expressions import json_number
@@ -25,14 +26,29 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users who viewed, then clicked, then purchased, by how far they came."""
-    first = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("ts")))
-    steps = table(spark, sf_dir, "events").groupBy("user_id").agg(first("view").alias("view"), first("click").alias("click"), first("purchase").alias("purchase"))
-    reached = F.when(F.col("view").isNull(), 0).when(~F.coalesce(F.col("click") > F.col("view"), F.lit(False)), 1).when(~F.coalesce(F.col("purchase") > F.col("click"), F.lit(False)), 2).otherwise(3)
-    return steps.groupBy(reached.alias("step")).agg(F.count("*").alias("users"))
+    """Users by how far they came: a view, then a click after the first view, then a purchase after that click."""
+    so_far = W.partitionBy("user_id").orderBy("ts")
+    after = lambda kind, step: (F.col("event_type") == kind) & (F.col("ts") > F.col(step))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
+    events = events.withColumn("view", F.min(F.when(F.col("event_type") == "view", F.col("ts"))).over(so_far))
+    events = events.withColumn("click", F.min(F.when(after("click", "view"), F.col("ts"))).over(so_far))
+    step = F.when(after("purchase", "click"), 3).when(F.col("click").isNotNull(), 2).when(F.col("view").isNotNull(), 1).otherwise(0)
+    return events.groupBy("user_id").agg(F.max(step).alias("step")).groupBy("step").agg(F.count("*").alias("users"))
 
 
-QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel)}
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each hour that starts at a half hour or a full one."""
+    grouped = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "users")
+
+
+def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select(F.parse_url(url, F.lit("HOST")).alias("host"), F.parse_url(url, F.lit("PROTOCOL")).alias("scheme"), F.parse_url(url, F.lit("QUERY")).alias("query"))
+    return pages.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("scheme") == "https").alias("secure"), F.count("query").alias("with_query"))
+
+
+QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel, sliding_counts, pages_by_host)}
 
 ORACLE_SQL = {
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
@@ -44,6 +60,15 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(DISTINCT json_extract_string(props, '$.k')) AS values, count(json_extract_string(props, '$.k')) AS n
 FROM events GROUP BY 1""",
     "user_funnel": """
-WITH f AS (SELECT user_id, min(ts) FILTER (WHERE event_type = 'view') AS v, min(ts) FILTER (WHERE event_type = 'click') AS c, min(ts) FILTER (WHERE event_type = 'purchase') AS p FROM events GROUP BY 1)
-SELECT CASE WHEN v IS NULL THEN 0 WHEN NOT coalesce(c > v, false) THEN 1 WHEN NOT coalesce(p > c, false) THEN 2 ELSE 3 END AS step, count(*) AS users FROM f GROUP BY 1""",
+WITH v AS (SELECT user_id, min(ts) AS v FROM events WHERE event_type = 'view' GROUP BY 1),
+c AS (SELECT user_id, min(ts) AS c FROM events JOIN v USING (user_id) WHERE event_type = 'click' AND ts > v GROUP BY 1),
+p AS (SELECT DISTINCT user_id FROM events JOIN c USING (user_id) WHERE event_type = 'purchase' AND ts > c)
+SELECT CASE WHEN user_id IN (SELECT user_id FROM p) THEN 3 WHEN user_id IN (SELECT user_id FROM c) THEN 2 WHEN user_id IN (SELECT user_id FROM v) THEN 1 ELSE 0 END AS step, count(*) AS users
+FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1""",
+    "sliding_counts": """
+SELECT start, event_type, count(*) AS n, count(DISTINCT user_id) AS users
+FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, user_id FROM events) GROUP BY 1, 2""",
+    "pages_by_host": r"""
+SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, count(*) AS pages, count(*) FILTER (WHERE url LIKE 'https://%') AS secure,
+       count(*) FILTER (WHERE regexp_matches(url, '^[^#]*\?')) AS with_query FROM pages GROUP BY 1""",
 }

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemill.functions.expressions import cents, net_price
 from tidemill.operators.joins import as_of_join, range_join
 from tidemill.operators.ranking import top_per_group
-from tidemill.sources.tables import table
+from tidemill.sources.folders import new_folder
+from tidemill.sources.tables import table, write_partitioned
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,51 @@ def customers_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s, "nation", "full").select("nation", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, top_orders_per_priority, orders_without_items, customers_with_returns, order_rollup, part_cube, status_pivot, order_gaps, last_order_before_shipment, parts_in_price_bands, customer_sets, customers_full_join)}
+def orders_by_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left join: orders by their number of line items, those without any among them."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    joined = table(spark, sf_dir, "orders").select("o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.groupBy(F.coalesce("n", F.lit(0)).alias("items")).agg(F.count("*").alias("orders"))
+
+
+def rival_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theta join: pairs of nations of one region in which the first has more suppliers."""
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    nations = table(spark, sf_dir, "nation").join(suppliers, "n_nationkey").select("n_regionkey", "n_name", "n")
+    other = nations.withColumnsRenamed({"n_regionkey": "region", "n_name": "fewer_name", "n": "fewer"})
+    return nations.join(other, (F.col("n_regionkey") == F.col("region")) & (F.col("n") > F.col("fewer"))).select("n_name", "n", "fewer_name", "fewer")
+
+
+def customer_multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer in one status that those in the other make up for, and those left over."""
+    orders = table(spark, sf_dir, "orders")
+    f, o = (orders.where(F.col("o_orderstatus") == s).select("o_custkey") for s in ("F", "O"))
+    count = lambda rows, kind: rows.groupBy("o_custkey").agg(F.count("*").alias("orders")).withColumn("kind", F.lit(kind))
+    return count(f.intersectAll(o), "matched").unionByName(count(f.exceptAll(o), "left over"))
+
+
+def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of unlike tables by name; what a side lacks is null."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), cents(F.col("c_acctbal")).alias("cents"), F.col("c_mktsegment").alias("segment"))
+    suppliers = table(spark, sf_dir, "supplier").select(cents(F.col("s_acctbal")).alias("cents"), F.col("s_nationkey").alias("nation"))
+    both = customers.unionByName(suppliers, allowMissingColumns=True)
+    return both.groupBy("nation", "segment").agg(F.count("*").alias("parties"), F.sum("cents").alias("cents"))
+
+
+def order_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("c", cents(F.col("o_totalprice")))
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return orders.groupingSets([[status, priority], [priority], []], status, priority).agg(F.count("*").alias("orders"), F.sum("c").alias("cents"), F.grouping_id().alias("level"))
+
+
+def partitioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written by status and read again, the files of one status only."""
+    path = write_partitioned(table(spark, sf_dir, "orders"), new_folder(spark, "orders"), ["o_orderstatus"], ["o_orderkey"])
+    kept = spark.read.parquet(path).where("o_orderstatus = 'P'")
+    return kept.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum(cents(F.col("o_totalprice"))).alias("cents"))
+
+
+QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, top_orders_per_priority, orders_without_items, customers_with_returns, order_rollup, part_cube, status_pivot, order_gaps, last_order_before_shipment, parts_in_price_bands, customer_sets, customers_full_join, orders_by_items, rival_nations, customer_multisets, parties, order_grouping_sets, partitioned_orders)}
 
 _CENTS = "CAST(floor(({}) * 100 + 0.5) AS BIGINT)"
 _NET = _CENTS.format("l_extendedprice * (1 - l_discount)")
@@ -163,4 +208,21 @@ UNION ALL SELECT 'first only', count(*) FROM (SELECT o_custkey FROM orders WHERE
 SELECT coalesce(c.n, s.n) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers
 FROM (SELECT c_nationkey AS n, count(*) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1) c
 FULL JOIN (SELECT s_nationkey AS n, count(*) AS suppliers FROM supplier WHERE s_acctbal < 0 GROUP BY 1) s ON c.n = s.n""",
+    "orders_by_items": """
+SELECT items, count(*) AS orders FROM (SELECT o_orderkey, count(l_orderkey) AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1""",
+    "rival_nations": """
+WITH n AS (SELECT n_regionkey, n_name, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)
+SELECT a.n_name, a.n, b.n_name AS fewer_name, b.n AS fewer FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey AND a.n > b.n""",
+    "customer_multisets": """
+WITH f AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
+SELECT o_custkey, count(*) AS orders, 'matched' AS kind FROM (SELECT * FROM f INTERSECT ALL SELECT * FROM o) GROUP BY 1
+UNION ALL SELECT o_custkey, count(*), 'left over' FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM o) GROUP BY 1""",
+    "parties": f"""
+SELECT nation, segment, count(*) AS parties, sum(cents)::BIGINT AS cents FROM (
+  SELECT c_nationkey AS nation, c_mktsegment AS segment, {_CENTS.format("c_acctbal")} AS cents FROM customer
+  UNION ALL SELECT s_nationkey, NULL, {_CENTS.format("s_acctbal")} FROM supplier) GROUP BY ALL""",
+    "order_grouping_sets": f"""
+SELECT o_orderstatus, o_orderpriority, count(*) AS orders, sum({_TOTAL})::BIGINT AS cents, grouping(o_orderstatus, o_orderpriority) AS level
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())""",
+    "partitioned_orders": f"SELECT o_orderpriority, count(*) AS orders, sum({_TOTAL})::BIGINT AS cents FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -20,7 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_partitioned(rows: DataFrame, path: str, by: Sequence[str], order: Sequence[str], form: str = "parquet") -> str:
+    """Write a table in folders by some columns, its files sorted within; the path.
+
+    Rows are dealt by those columns and ranges of the order, so no value's rows gather
+    in one task, and readers that filter by either skip most of what is there.
+    """
+    rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).write.partitionBy(*by).format(form).save(path)
+    return path
+
+
+def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
     """events as a stream of files; event time as a timestamp, which watermarks need."""
-    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+    reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
+    events = reader.parquet(folder)
     return events.withColumn("ts", events["ts"].cast("timestamp"))
