@@ -1,5 +1,7 @@
 """Joins on order, on small tables with ties, nulls and gaps."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidemill.operators.joins import as_of_join, range_join
@@ -27,6 +29,18 @@ def test_as_of_join_matches_no_nulls(spark):
     assert sorted(((r["key_0"], r["time"], r["v"]) for r in rows), key=str) == [("a", 5, 30), ("a", None, None), ("b", 5, None), (None, 5, None)]
 
 
+def test_as_of_join_by_slices_is_the_same(spark):
+    rng = random.Random(3)
+    times = lambda: rng.choice([None, *range(400)])
+    left = spark.createDataFrame([(rng.choice(["hot", "hot", "b", "c", None]), times(), i) for i in range(600)], "k string, t int, id int")
+    right = spark.createDataFrame([(rng.choice(["hot", "hot", "b", None]), times(), rng.randrange(9)) for _ in range(60)], "k string, u int, v int")
+    rows = right.where("k IS NOT NULL AND u IS NOT NULL").collect()
+    wanted = {r["id"]: max(((o["u"], o["v"]) for o in rows if o["k"] == r["k"] and r["t"] is not None and o["u"] <= r["t"]), default=(0, None))[1] for r in left.collect()}
+    for slices in (None, lambda t: F.floor(t / 7), lambda t: t >= 200):
+        found = as_of_join(left, right, ["k"], "t", "u", ["v"], slices)
+        assert found.columns == ["k", "t", "id", "v"] and {r["id"]: r["v"] for r in found.collect()} == wanted and found.count() == 600
+
+
 def test_range_join_keeps_columns_of_any_name(spark):
     points = spark.createDataFrame([(1, "x"), (None, "y")], "p long, bin string")
     bands = spark.createDataFrame([(0, 5, 7), (None, 9, 8), (3, 1, 9)], "low long, high long, bin_ int")
