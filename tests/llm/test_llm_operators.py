@@ -224,6 +224,17 @@ def test_mix_reaches_targets(docs, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+
+def test_mix_of_rows_without_ids_is_settled(spark):
+    """Unlike texts of one size and no id: the same are taken, however the rows come."""
+    rows = [(None, f"{a} {b} word", "s") for a in "abcdefgh" for b in "ijklmnop"] + [(None, "a i word", "s")] * 3
+    taken = []
+    for order, parts in ((rows, 1), (rows[::-1], 3), (rows[20:] + rows[:20], 7)):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(parts)
+        taken.append(sorted(r["text"] for r in mixing.mixed_documents(docs, share=1.37).collect()))
+    assert taken[0] == taken[1] == taken[2] and len(taken[0]) == 92
+
+
 def test_running_sums_by_ranges(spark):
     rng = random.Random(7)
     values = [(rng.choice([None, "a", "b"]), rng.randrange(50), i) for i in range(500)]

@@ -16,8 +16,9 @@ ever sorted, in ranges, however large the source.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a
 source of its own, the last one; a source without words has target 0; rows with
-the same id and size (or without id) share a hash and take neighbouring places in
-the order, which their sums settle by ranges as well; an empty table gives an empty result. Only the named columns are read, other
+the same id (or without id) share a hash and take neighbouring places in the order, by
+size and then by a hash of the whole row, which their sums settle by ranges as well, so
+reruns take the same rows; an empty table gives an empty result. Only the named columns are read, other
 columns pass through :func:`mixed_documents` under their own names.
 """
 
@@ -109,9 +110,10 @@ def _sized(docs: DataFrame, seed: str, keep: Column | None) -> DataFrame:
 def _take(sized: DataFrame, plan: DataFrame) -> DataFrame:
     joined = sized.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
     plain = joined.where(F.col("bin") != F.col("edge_bin")).withColumn("extra", F.when(F.col("bin") < F.col("edge_bin"), F.col("size")).otherwise(F.lit(0)))
-    edge = joined.where(F.col("bin") == F.col("edge_bin")).withColumns({"unnamed": F.col("source").isNull(), "salt": F.monotonically_increasing_id()})
+    content = F.xxhash64(F.to_json("row")) if "row" in sized.columns else F.lit(0)
+    edge = joined.where(F.col("bin") == F.col("edge_bin")).withColumns({"unnamed": F.col("source").isNull(), "content": content, "salt": F.monotonically_increasing_id()})
     # Rows that are alike in all but the salt can change places without changing the result.
-    edge = stored(running_sums(edge, ["unnamed", "source", "order", "doc_id", "size", "salt"], ["size"]), "mix-edge")
+    edge = stored(running_sums(edge, ["unnamed", "source", "order", "doc_id", "size", "content", "salt"], ["size"]), "mix-edge")
     first = stored(edge.groupBy(F.col("source").alias("first_source")).agg(F.min("before_size").alias("first_size")), "mix-first")
     edge = edge.join(broadcast_if_small(first), F.col("source").eqNullSafe(F.col("first_source")))
     left = F.col("part") - F.col("edge_before") - (F.col("before_size") - F.col("first_size"))
