@@ -24,7 +24,7 @@ columns pass through :func:`mixed_documents` under their own names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,14 +47,14 @@ def seeded_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def running_sums(rows: DataFrame, order: Sequence[str], values: Sequence[str], per_task: int = PER_TASK) -> DataFrame:
+def running_sums(rows: DataFrame, order: Sequence[str], values: Sequence[str], per_task: int = PER_TASK, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """rows with before_<value>: the sum over all rows before it in the (total) order.
 
     The rows are cut into ranges of about per_task of them; sums within a range are
     added to those of the ranges before it, of which there are few.
     """
     ranges = max(1, -(-rows.count() // per_task))
-    placed = stored(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    placed = keep(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
     ahead, within = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     sums = placed.groupBy("range").agg(*(F.sum(v).alias(v) for v in values))
     sums = sums.select(F.col("range").alias("sum_range"), *(F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"ahead_{v}") for v in values))

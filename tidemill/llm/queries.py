@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, licenses, mixing, ngram_join, packing, pii, quality, tiff, topk, toxicity
+from tidemill.llm import alignment, chat, divergence, licenses, mixing, ngram_join, packing, pii, quality, tiff, topk, toxicity, urlfilter
 from tidemill.llm.common import crc_remainder
 
 
@@ -67,6 +67,19 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_digest(tiff.store_text(_read(spark, sf_dir, "documents")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.example_rules(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -78,10 +91,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_tiff": op10_tiff,
+    "op11_alignment": op11_alignment,
+    "op12_divergence": op12_divergence,
+    "op13_urlfilter": op13_urlfilter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op6_chat": chat.ORACLE_SQL,
     "op7_topk": topk.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op12_divergence": divergence.ORACLE_SQL,
+    "op13_urlfilter": urlfilter.ORACLE_SQL,
 }
