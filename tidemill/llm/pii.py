@@ -30,10 +30,14 @@ word before counts against a fixed number of others (AGAINST), and linked labels
 disagree now and then (STRAY), so that what a link adds doesn't fade or grow with the
 corpus.
 
-A node becomes a span only if its belief is at least MIN_BELIEF and either a path of
-edges leads to an observed span of that kind, or its own factors alone make that kind
-likelier than not, which needs no base span in the document. Spans never overlap base
-ones.
+A node becomes a span only if its belief is at least MIN_BELIEF and one of these holds:
+a path of skip, near or short edges leads to an observed span of that kind; a path over
+chain edges too, and the node's shape is one that base spans of that kind are made of
+(SEEN times at least, and most often); or it is at the front of a dropped phone match,
+has such a shape, and its own factors make a phone likelier than not. So a row of plain
+numbers, dates or amounts that nothing links to a base span stays as it is, whatever
+the chain factors: no shape vouches for its neighbour. Where no word stands before a
+node, there is no factor for it. Spans never overlap base ones.
 
 Edge cases: a null text is empty and has no span (its digest is that of the empty
 string); words of any length are nodes; documents are independent, so repeated rows
@@ -61,11 +65,12 @@ KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)  # the label of no entity
 LABELS = OUTSIDE + 1
 NUMBERS = (KINDS.index("card"), KINDS.index("phone"))
-SHAPES = 4096  # hash buckets of word shapes
+SHAPES = 1 << 14  # hash buckets of word shapes
 MIN_BELIEF = 0.9
 LONG = 7  # digits of a number without its prefixes
 MOST = 19  # digits of any number
 FLOOR = 0.2  # weight of the prior, as a share of a shape's count
+SEEN = 3  # sightings in base spans before a shape counts as one of theirs
 STRAY = 0.01  # how often linked nodes don't agree
 AGAINST = 20.0  # sightings that a word before a node is weighed against
 SETTLED = 1e-6  # messages that change less than this have stopped
@@ -81,7 +86,6 @@ _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
-_BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}$")
 _EDGE = "".join(map(chr, range(33, 127)))
 _EDGE = "".join(c for c in _EDGE if not c.isalnum() and c not in "+()@")
 
@@ -157,8 +161,11 @@ def nodes(text: str, base: list[Span] = []) -> list[tuple[int, int]]:  # noqa: B
 
 
 def shape(word: str) -> int:
-    """The hash bucket of a word's form: runs of digits by length, letters as one, and whether its checks hold."""
-    form = _RUNS.sub(lambda m: f"{min(len(m[0]), 20)}d" if "0" <= m[0][0] <= "9" else "a", word)
+    """The hash bucket of a word's form: runs of digits by length, letters as one, and whether its checks hold.
+
+    Runs of over MOST digits, more than any number has, are alike.
+    """
+    form = _RUNS.sub(lambda m: f"{min(len(m[0]), MOST + 1)}d" if "0" <= m[0][0] <= "9" else "a", word)
     digits = _NOT_DIGIT.sub("", word)
     parts = word.split(".")
     valid = luhn(digits) if MOST >= len(digits) > 12 else all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts) if len(parts) == 4 else ""
@@ -166,9 +173,14 @@ def shape(word: str) -> int:
 
 
 def before(text: str, start: int) -> int:
-    """The hash bucket of the word right before a place, if there is one on the line."""
-    word = _BEFORE.search(text[max(0, start - 40) : start])
-    return zlib.crc32(word[1].lower().encode()) % SHAPES if word else 0
+    """The hash bucket of the word right before a place on its line, from 1; 0 if none ends within three characters of it."""
+    end = start
+    while end > max(0, start - 3) and text[end - 1] != "\n" and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    first = end
+    while first > 0 and text[first - 1].isalpha():
+        first -= 1
+    return 1 + zlib.crc32(text[first:end].lower().encode()) % (SHAPES - 1) if first < end else 0
 
 
 def skip_key(word: str) -> str | None:
@@ -275,6 +287,20 @@ def lost_numbers(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if len(_NOT_DIGIT.sub("", m[0])) > 15] if "+" in text else []
 
 
+def lost_fronts(text: str, at: list[tuple[int, int]]) -> set[int]:
+    """The nodes that a dropped phone match begins with, as far as they hold no more digits than a phone number."""
+    out: set[int] = set()
+    k = 0
+    for start, end in lost_numbers(text):
+        while k < len(at) and at[k][1] <= start:
+            k += 1
+        digits, i = 0, k
+        while i < len(at) and at[i][0] < end and (digits := digits + sum("0" <= c <= "9" for c in text[at[i][0] : at[i][1]])) <= 15:
+            out.add(i)
+            i += 1
+    return out
+
+
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tables = {name: np.zeros((SHAPES, LABELS), np.int64) for name in ("shape", "before")}
     tables |= {name: np.zeros((LABELS, LABELS), np.int64) for name in PAIRS}
@@ -312,7 +338,10 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     share = tables["shape"].sum(0) + 1.0
     prior = share / share.sum()
     node = tables["shape"] + (2.0 + FLOOR * tables["shape"].sum(1, keepdims=True)) * prior
+    trusted = (tables["shape"] >= SEEN) & (2 * tables["shape"] > tables["shape"].sum(1, keepdims=True))
     context = tables["before"] + AGAINST * prior
+    context = np.log(context / context.sum(1, keepdims=True) / prior)
+    context[0] = 0.0  # no word
     pairs = {}
     t = tables["short"] + tables["short"].T + np.outer(prior, prior) * 10 + np.eye(LABELS)
     t /= t.sum()
@@ -321,7 +350,7 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
         t = tables[name] + tables[name].T + np.eye(LABELS) + np.outer(prior, prior) * chance
         lift = np.log((1 - STRAY) * t / t.sum(1, keepdims=True) / prior + STRAY)
         pairs[name] = (lift + lift.T) / 2
-    return {"node": np.log(node / node.sum(1, keepdims=True)), "before": np.log(context / context.sum(1, keepdims=True) / prior), **pairs}
+    return {"node": np.log(node / node.sum(1, keepdims=True)), "before": context, "trusted": trusted, **pairs}
 
 
 def beliefs(unary: np.ndarray, pairs: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
@@ -382,11 +411,14 @@ def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray]) -> li
     fixed = observed != OUTSIDE
     if fixed.all():
         return []
-    unary = np.stack([model["node"][shape(text[s:e])] + model["before"][before(text, s)] for s, e in at])
+    shapes = [shape(text[s:e]) for s, e in at]
+    unary = np.stack([model["node"][x] + model["before"][before(text, s)] for x, (s, _) in zip(shapes, at, strict=True)])
     own = np.exp(unary - unary.max(1, keepdims=True))
     own /= own.sum(1, keepdims=True)
-    able = own >= 0.5  # of themselves
-    able[:, OUTSIDE] = False
+    trusted = model["trusted"][shapes] if "trusted" in model else np.ones(unary.shape, bool)
+    able = np.zeros(unary.shape, bool)  # of themselves
+    fronts, phone = sorted(lost_fronts(text, at)), KINDS.index("phone")
+    able[fronts, phone] = (own[fronts, phone] >= 0.5) & trusted[fronts, phone]
     edges = [e for _, each in found.edges() for e in each]
     crossing = any(fixed[i] != fixed[j] for i, j in edges)
     if not crossing and not able[~fixed].any():
@@ -394,9 +426,10 @@ def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray]) -> li
     unary[fixed] = -np.inf  # however many messages come in
     unary[fixed, observed[fixed]] = 0.0
     belief = beliefs(unary, [(i, j, model[name]) for name, each in found.edges() for i, j in each])
-    reach = reached_kinds(observed, edges)
+    near, reach = (reached_kinds(observed, e) for e in (found.skip + found.near + found.short, edges))
     label = np.where(belief.max(1) >= MIN_BELIEF, belief.argmax(1), OUTSIDE)
-    chosen = {i for i in range(len(at)) if not fixed[i] and label[i] != OUTSIDE and (int(label[i]) in reach[i] or able[i, label[i]])}
+    vouched = lambda i, k: k in near[i] or k in reach[i] and trusted[i, k] or able[i, k]
+    chosen = {i for i in range(len(at)) if not fixed[i] and label[i] != OUTSIDE and vouched(i, int(label[i]))}
     joined = set(found.chain)
     spans: list[Span] = []
     for i in sorted(chosen):
