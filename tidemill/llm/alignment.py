@@ -1,22 +1,25 @@
 """Operator 11: which tokens of one tokenizer cover those of another.
 
-Python gives each text's ids and byte ends by both tokenizers; all that follows is
-Spark's functions on arrays. The ends that both share (``array_intersect``) cut the
-text into groups; a token meets one more token of the other side for each of that
-side's ends within it. Most tokens are alike in both, so work goes by the other ends
-(``array_except``): each is looked up among the ends of both sides by halving, and
+Python gives ids and byte ends by both tokenizers; all that follows is Spark's functions
+on arrays. The ends that both share (``array_intersect``) cut a text into groups; a
+token meets one more token of the other side for each of that side's ends within it.
+Where all ends are shared, groups and links are the two sides' ids, zipped. Else each
+other end (``array_except``) is looked up among the ends of both sides by halving, and
 slices between them are joined, for the groups' text, or laid end to end with the cut
-token repeated, for the links. No step is quadratic, however long the groups. Links are
-counted by id pair over all texts; each text then sums over its own.
+token repeated, for the links. No step is quadratic, however long the groups.
 
-Counts come back to the links by a join: the most frequent pairs, at most HOT, are
-broadcast, as they may hold most links; the rest are too rare to be a hot key and are
-shuffled, summed by text first.
+Chunks of plain text recur. A chunk runs up to the next single space or line break;
+neither tokenizer ever joins bytes across those, so both have an end there, and a text's
+groups and links are its chunks' in order. So a row holds a block of texts (an Arrow
+batch): its distinct chunks with their tokens, which are aligned once, and for each
+text the chunks that make it up. Tasks remember chunks' tokens across blocks (REMEMBERED
+at most, then anew). A text with other white space or letters beyond Latin goes through
+both tokenizers whole, as one chunk.
 
-Chunks of plain text recur, so tasks remember their tokens (REMEMBERED at most, then
-anew). A chunk runs up to the next single space or line break; neither tokenizer ever
-joins bytes across those. Texts with other white space or letters beyond Latin go
-through both tokenizers whole.
+Links are counted by id pair over all texts; each text then sums over its own. Counts
+come back to the links by a join: the most frequent pairs, at most HOT, are broadcast,
+as they may hold most links; the rest are too rare to be a hot key and are shuffled,
+summed by text first.
 
 Edge cases: a null or empty text, or one that a tokenizer doesn't give back byte by
 byte, has no tokens: zeros, and '' for the digest; marks of special tokens in a text
@@ -31,7 +34,9 @@ import base64
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -47,9 +52,7 @@ from tokenizers import Tokenizer
 from tidemill.llm.common import scratch, small_batches, stored
 
 HOT = 200_000  # pairs that are broadcast
-REMEMBERED = 1 << 22  # tokens of chunks
-LONGEST = 256  # characters of a chunk that is remembered
-PIECE = 1 << 20  # characters of texts that go back to Spark at once, about
+REMEMBERED = 1 << 21  # tokens of chunks
 _UNLIKE = re.compile(r"[^\n\x20-\x7E¡-ɏ]|[ \n][ \n]")
 _CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
 
@@ -87,12 +90,16 @@ class Tokens:
             lengths[i] = len(token)
         return lengths
 
-    def exact(self, text: str, a: list[int], b: list[int]) -> bool:
+    def exact(self, text: str, a: Iterable[int], b: Iterable[int]) -> bool:
         raw = text.encode()
         return b"".join([self.bytes_a.get(i, b"") for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
 
-    def chunk(self, text: str) -> tuple[list[int], list[int]]:
-        return self.plain_a.encode_ordinary(text), self.b.encode(text)
+    def chunks(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """The tokens of each chunk; None where they don't give it back."""
+        made = list(zip(map(self.plain_a.encode_ordinary, texts), self.b.encode(texts), strict=True))
+        if self.exact("".join(texts), chain.from_iterable(a for a, _ in made), chain.from_iterable(b for _, b in made)):
+            return made
+        return [m if self.exact(t, *m) else None for t, m in zip(texts, made, strict=True)]
 
     def text(self, text: str) -> tuple[list[int], list[int]]:
         if self.whole_a is None:  # most tasks never need it, and it takes much memory
@@ -103,7 +110,7 @@ class Tokens:
 
 
 class Remembered:
-    """The tokens of chunks, by chunk."""
+    """The tokens of chunks, each an entry with a number; 0 has none."""
 
     def __init__(self, tokens: Tokens) -> None:
         self.tokens = tokens
@@ -112,7 +119,7 @@ class Remembered:
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids = array("i"), array("i")
-        self.starts = array("q", [0]), array("q", [0])
+        self.starts = array("q", [0, 0]), array("q", [0, 0])
 
     def add(self, a: list[int], b: list[int]) -> int:
         for ids, starts, more in zip(self.ids, self.starts, (a, b), strict=True):
@@ -120,71 +127,75 @@ class Remembered:
             starts.append(len(ids))
         return len(self.starts[0]) - 2
 
-    def codes(self, text: str) -> list[int]:
-        """The numbers of the entries that make up a text with its space in front."""
-        if _UNLIKE.search(text):
-            return [self.add(*self.tokens.text(text))]
-        chunks = _CHUNK.findall(text)
-        codes = [self.code.get(c, -1) for c in chunks]
-        if -1 in codes:
-            for i, c in enumerate(codes):
-                if c < 0 and (c := self.code.get(chunks[i], -1)) < 0:
-                    a, b = self.tokens.chunk(chunks[i])
-                    if not self.tokens.exact(chunks[i], a, b):
-                        return [self.add([], [])]
-                    c = self.add(a, b)
-                    if len(chunks[i]) <= LONGEST:
-                        self.code[chunks[i]] = c
-                codes[i] = c
-        return codes
-
-    def columns(self, codes: list[list[int]]) -> list[pa.Array]:
-        """ids and ends by the first tokenizer, ids and ends by the second, an array a text."""
-        flat = np.fromiter((c for each in codes for c in each), np.int64, sum(map(len, codes)))
-        texts = np.concatenate([[0], np.cumsum([len(each) for each in codes], dtype=np.int64)])
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The entries that make up each text with a space in front, one after another; where each text's begin, and the end."""
+        flat: list[str] = []
+        bounds, own = [0], {}
+        for text in texts:
+            if text and _UNLIKE.search(" " + text):
+                own[len(flat)] = self.add(*self.tokens.text(" " + text))
+                flat.append("")
+            elif text:
+                flat += _CHUNK.findall(" " + text)
+            bounds.append(len(flat))
+        new = [c for c in dict.fromkeys(flat) if c and c not in self.code]
+        for chunk, made in zip(new, self.tokens.chunks(new) if new else [], strict=True):
+            self.code[chunk] = self.add(*made) if made else -1
+        self.code[""] = 0
+        codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        codes[list(own)] = list(own.values())
+        for at in np.flatnonzero(codes < 0).tolist():  # a text with such a chunk has no tokens
+            text = bisect_right(bounds, at) - 1
+            codes[bounds[text] : bounds[text + 1]] = 0
+        return codes, np.array(bounds)
+
+    def columns(self, codes: np.ndarray) -> list[pa.Array]:
+        """ids and ends by the first tokenizer, ids and ends by the second, an array an entry."""
         out = []
         for ids, starts, lengths in zip(self.ids, self.starts, self.tokens.length, strict=True):
             bounds = np.array(starts)
-            counts = bounds[flat + 1] - bounds[flat]
-            ahead = np.concatenate([[0], np.cumsum(counts)])
-            at = np.repeat(bounds[flat] - ahead[:-1], counts) + np.arange(ahead[-1])
-            values = np.array(ids)[at]
-            offsets = ahead[texts]
+            counts = bounds[codes + 1] - bounds[codes]
+            offsets = np.concatenate([[0], np.cumsum(counts)])
+            values = np.array(ids)[np.repeat(bounds[codes] - offsets[:-1], counts) + np.arange(offsets[-1])]
             ends = np.concatenate([[0], np.cumsum(lengths[values])])
-            base = np.repeat(ends[offsets[:-1]], np.diff(offsets))
-            for column in (values, ends[1:] - base):
-                out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(column, pa.int32())))
+            for column in (values, ends[1:] - np.repeat(ends[offsets[:-1]], counts)):
+                out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(column, pa.int32()), type=INTS))
         return out
 
 
-def _int_array(name: str) -> T.StructField:
-    return T.StructField(name, T.ArrayType(T.IntegerType(), False), False)
+INTS = pa.list_(pa.field("element", pa.int32(), False))
+CHUNK = ("ids_a", "ends_a", "ids_b", "ends_b")
+
+
+def _array(of: T.DataType) -> T.ArrayType:
+    return T.ArrayType(of, False)
 
 
 def tokenised(docs: DataFrame, doc_id: str, paths: tuple[str, str, str]) -> DataFrame:
-    """doc_id, row and ids_a, ends_a, ids_b, ends_b of each text with a space in front."""
+    """chunks (ids_a, ends_a, ids_b, ends_b) and texts (doc_id, row, order) of blocks of texts; order numbers the chunks from 0."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text"))
-    lists = ["ids_a", "ends_a", "ids_b", "ends_b"]
-    item = pa.list_(pa.field("element", pa.int32(), False))
+
+    def whole(fields: dict[str, pa.Array]) -> pa.Array:
+        """One list of all the rows of some columns."""
+        kinds = [pa.field(name, c.type, name == "doc_id") for name, c in fields.items()]
+        made = pa.StructArray.from_arrays(list(fields.values()), fields=kinds)
+        return pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made, type=pa.list_(pa.field("element", made.type, False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(Tokens(*paths))
         for batch in batches:
-            texts, first = batch["text"].to_pylist(), 0
-            codes: list[list[int]] = []
-            held = 0
-            for i, text in enumerate(texts):
-                codes.append(known.codes(" " + text) if text else [])
-                held += len(text or "")
-                if held >= PIECE or i + 1 == len(texts):
-                    columns = [pa.ListArray.from_arrays(c.offsets, c.values, type=item) for c in known.columns(codes)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns] if first == 0 and i + 1 == len(texts) else [*(c.slice(first, i + 1 - first) for c in batch.columns[:2]), *columns], names=["doc_id", "row", *lists])
-                    codes, held, first = [], 0, i + 1
-                    if len(known.ids[0]) > REMEMBERED:
-                        known.forget()
-
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("row", T.LongType(), False), *map(_int_array, lists)])
-    return rows.mapInArrow(run, schema)
+            codes, bounds = known.codes(batch["text"].to_pylist())
+            distinct, order = np.unique(codes, return_inverse=True)
+            orders = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(order, pa.int32()), type=INTS)
+            chunks = whole(dict(zip(CHUNK, known.columns(distinct), strict=True)))
+            yield pa.RecordBatch.from_arrays([chunks, whole({"doc_id": batch["doc_id"], "row": batch["row"], "order": orders})], names=["chunks", "texts"])
+            if len(known.ids[0]) > REMEMBERED:
+                known.forget()
+
+    ints = _array(T.IntegerType())
+    chunk = T.StructType([T.StructField(name, ints, False) for name in CHUNK])
+    text = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("row", T.LongType(), False), T.StructField("order", ints, False)])
+    return rows.mapInArrow(run, T.StructType([T.StructField("chunks", _array(chunk), False), T.StructField("texts", _array(text), False)]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -192,19 +203,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def below(values: Column, x: Column, steps: Column) -> Column:
-    """How many of the sorted values are less than x, by halving; steps are powers of two, the largest first."""
-    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(values, n + step - 1) < x, n + step).otherwise(n))
+def power(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), bit)
 
 
-def steps_for(values: Column) -> Column:
-    most = F.floor(F.log2(F.size(values) + F.lit(1))).cast("int")
-    return F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda bit: F.pow(F.lit(2.0), bit).cast("int"))
+def below(values: Column, x: Column, bits: Column) -> Column:
+    """How many of the sorted values are less than x, by halving; bits go from that of their number down."""
+    return F.aggregate(bits, F.lit(0), lambda n, bit: F.when(F.get(values, n + power(bit) - 1) < x, n + power(bit)).otherwise(n))
 
 
 def places(values: Column, among: Column) -> Column:
-    """For each value, how many ends lie before it."""
-    return let(F.struct(among.alias("ends"), steps_for(among).alias("steps")), lambda v: F.transform(values, lambda e: below(v["ends"], e, v["steps"])))
+    """For each value, how many of the sorted ends are less."""
+    bits = F.sequence(F.floor(F.log2(F.size(among) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
+    return let(bits, lambda b: F.transform(values, lambda e: below(among, e, b)))
 
 
 def _slices(values: Column, bounds: Column, overlap: int, each: Callable[[Column], Column]) -> Column:
@@ -223,33 +234,51 @@ def grouped_ids(ids: Column, inner: Column) -> Column:
     return F.split(F.array_join(_slices(ids.cast("array<string>"), inner, 0, lambda part: F.array_join(part, ";")), ","), ";")
 
 
-def group_text(groups_a: Column, groups_b: Column) -> Column:
-    """'a1,a2|b1;a3|b2,b3'."""
-    both = F.arrays_zip(groups_a.alias("a"), groups_b.alias("b")).cast("string")  # [{a1,a2, b1}, {a3, b2,b3}]
-    return F.replace(F.replace(F.btrim(both, F.lit("[{}]")), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|"))
-
-
 def link_ids(ids: Column, cut: Column) -> Column:
     """An id for each link: a token comes once more for each of the other side's ends that cut it; cut: those tokens' numbers."""
     return F.flatten(_slices(ids, cut, 1, lambda part: part))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """doc_id, row, n_a, n_b, n_groups, groups_sha256, links_a, links_b of each text."""
-    c = F.col
-    cut = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b"))
-    cut = cut.withColumns({"only_a": F.array_except("ends_a", "cuts"), "only_b": F.array_except("ends_b", "cuts")})
-    text = group_text(grouped_ids(c("ids_a"), places(c("only_a"), c("ends_a"))), grouped_ids(c("ids_b"), places(c("only_b"), c("ends_b"))))
-    links = link_ids(c("ids_a"), places(c("only_b"), c("ends_a"))), link_ids(c("ids_b"), places(c("only_a"), c("ends_b")))
-    size = lambda name: F.size(name).cast("long").alias(f"n_{name[-1]}")
-    digest = F.when(F.size("cuts") > 0, F.sha2(text, 256)).otherwise(F.lit(""))
-    return cut.select("doc_id", "row", size("ids_a"), size("ids_b"), F.size("cuts").cast("long").alias("n_groups"), digest.alias("groups_sha256"), links[0].alias("links_a"), links[1].alias("links_b"))
+def pair(a: Column, b: Column) -> Column:
+    """Two ids as one number, the second in the low 32 bits."""
+    return F.shiftleft(a.cast("long"), 32) + b
+
+
+def aligned_chunk(chunk: Column) -> Column:
+    """n_a, n_b, n_groups, text ('a1,a2|b1;a3|b2,b3') and links (pairs of ids) of a chunk's tokens."""
+
+    def of(v: Column) -> Column:
+        ids_a, ends_a, ids_b, ends_b = (v["chunk"][name] for name in CHUNK)
+        text = lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
+
+        def parted(only: Column) -> tuple[Column, Column]:
+            groups = text(grouped_ids(ids_a, places(only["a"], ends_a)), grouped_ids(ids_b, places(only["b"], ends_b)))
+            return groups, F.zip_with(link_ids(ids_a, places(only["b"], ends_a)), link_ids(ids_b, places(only["a"], ends_b)), pair)
+
+        alike = (F.size(v["cuts"]) == F.size(ids_a)) & (F.size(v["cuts"]) == F.size(ids_b))
+        others = F.struct(F.array_except(ends_a, v["cuts"]).alias("a"), F.array_except(ends_b, v["cuts"]).alias("b"))
+        both = lambda made: F.struct(made[0].alias("text"), made[1].alias("links"))
+        made = F.when(alike, both((text(ids_a, ids_b), F.zip_with(ids_a, ids_b, pair)))).otherwise(let(others, lambda only: both(parted(only))))
+        return let(made, lambda m: F.struct(F.size(ids_a).alias("n_a"), F.size(ids_b).alias("n_b"), F.size(v["cuts"]).alias("n_groups"), m["text"].alias("text"), m["links"].alias("links")))
+
+    return let(F.struct(chunk.alias("chunk"), F.array_intersect(chunk["ends_a"], chunk["ends_b"]).alias("cuts")), of)
+
+
+def aligned(blocks: DataFrame) -> DataFrame:
+    """doc_id, row, n_a, n_b, n_groups, groups_sha256, links of each text."""
+
+    def of(v: Column) -> Column:
+        def text(d: Column) -> Column:
+            each = lambda name: F.transform(d["order"], lambda i: F.get(v["chunks"], i)[name])
+            total = lambda name: F.aggregate(d["order"], F.lit(0).cast("long"), lambda n, i: n + F.get(v["chunks"], i)[name]).alias(name)
+            digest = F.when(F.size(d["order"]) > 0, F.sha2(F.array_join(F.filter(each("text"), lambda t: t != ""), ";"), 256)).otherwise(F.lit(""))
+            return F.struct(d["doc_id"].alias("doc_id"), d["row"].alias("row"), total("n_a"), total("n_b"), total("n_groups"), digest.alias("digest"), F.flatten(each("links")).alias("links"))
 
+        return F.transform(v["texts"], text)
 
-def unfolded(texts: DataFrame) -> DataFrame:
-    """row, link: a row for each link, its two ids as one number, the second in the low 32 bits."""
-    each = texts.select("row", "links_b", F.posexplode("links_a").alias("at", "a"))
-    return each.select("row", (F.shiftleft(F.col("a").cast("long"), 32) + F.get("links_b", "at")).alias("link"))
+    made = let(F.struct(F.transform("chunks", aligned_chunk).alias("chunks"), F.col("texts").alias("texts")), of)
+    rows = blocks.select(F.explode(made).alias("t")).select("t.*")
+    return rows.select("doc_id", "row", "n_a", "n_b", "n_groups", F.when(F.col("n_groups") > 0, F.col("digest")).otherwise(F.lit("")).alias("groups_sha256"), "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -280,7 +309,7 @@ def align(docs: DataFrame, *, doc_id: str = "doc_id", a: str | None = None, a_ra
     with scratch(spark) as keep:
         with small_batches(spark):
             texts = keep(aligned(tokenised(docs, doc_id, paths)), "texts")
-        links = unfolded(texts)
+        links = texts.select("row", F.explode("links").alias("link"))
         counted = keep(pair_counts(links), "pairs")
         highest = counted.groupBy("second").agg(F.max("count").alias("highest"))
         pairs = keep(counted.join(highest, "second").select("link", "count", (F.col("count") == F.col("highest")).cast("long").alias("best")), "counts")
@@ -292,6 +321,6 @@ def align(docs: DataFrame, *, doc_id: str = "doc_id", a: str | None = None, a_ra
             seldom = links.join(F.broadcast(often.select("link")), "link", "left_anti").groupBy("row", "link").agg(F.count("*").alias("times"))
             weighed = seldom.join(rare, "link").select("row", (F.col("best") * F.col("times")).alias("n_best"), (F.col("count") * F.col("times")).alias("count_sum"))
             found = found.unionByName(weighed).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-        rows = texts.select("doc_id", "row", "n_a", "n_b", "n_groups", F.size("links_a").cast("long").alias("n_links"), "groups_sha256")
+        rows = texts.select("doc_id", "row", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256")
         joined = rows.join(found, "row", "left").fillna(0, ["n_best", "count_sum"])
         return stored(joined.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "alignment")
