@@ -34,9 +34,9 @@ import base64
 import os
 import re
 from array import array
-from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from functools import cache
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -52,7 +52,10 @@ from tokenizers import Tokenizer
 from tidemill.llm.common import scratch, small_batches, stored
 
 HOT = 200_000  # pairs that are broadcast
-REMEMBERED = 1 << 21  # tokens of chunks
+REMEMBERED = 3 << 19  # tokens of chunks
+BLOCK = 4 << 20  # bytes of the texts of a block, if there are more than one
+TEXTS = 64  # texts that are cut into chunks at once
+SHORT = 16  # ends that are looked through one by one
 _UNLIKE = re.compile(r"[^\n\x20-\x7E¡-ɏ]|[ \n][ \n]")
 _CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
 
@@ -110,7 +113,7 @@ class Tokens:
 
 
 class Remembered:
-    """The tokens of chunks, each an entry with a number; 0 has none."""
+    """The tokens of chunks, each an entry with a number."""
 
     def __init__(self, tokens: Tokens) -> None:
         self.tokens = tokens
@@ -119,35 +122,36 @@ class Remembered:
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids = array("i"), array("i")
-        self.starts = array("q", [0, 0]), array("q", [0, 0])
-
-    def add(self, a: list[int], b: list[int]) -> int:
-        for ids, starts, more in zip(self.ids, self.starts, (a, b), strict=True):
-            ids.extend(more)
-            starts.append(len(ids))
-        return len(self.starts[0]) - 2
-
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The entries that make up each text with a space in front, one after another; where each text's begin, and the end."""
-        flat: list[str] = []
-        bounds, own = [0], {}
-        for text in texts:
-            if text and _UNLIKE.search(" " + text):
-                own[len(flat)] = self.add(*self.tokens.text(" " + text))
-                flat.append("")
-            elif text:
-                flat += _CHUNK.findall(" " + text)
-            bounds.append(len(flat))
-        new = [c for c in dict.fromkeys(flat) if c and c not in self.code]
-        for chunk, made in zip(new, self.tokens.chunks(new) if new else [], strict=True):
-            self.code[chunk] = self.add(*made) if made else -1
-        self.code[""] = 0
-        codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        codes[list(own)] = list(own.values())
-        for at in np.flatnonzero(codes < 0).tolist():  # a text with such a chunk has no tokens
-            text = bisect_right(bounds, at) - 1
-            codes[bounds[text] : bounds[text + 1]] = 0
-        return codes, np.array(bounds)
+        self.starts = array("q", [0]), array("q", [0])
+
+    def add(self, made: list[tuple[list[int], list[int]]]) -> int:
+        """New entries, in order; the number of the first."""
+        first = len(self.starts[0]) - 1
+        for side, (ids, starts) in enumerate(zip(self.ids, self.starts, strict=True)):
+            start = len(ids)
+            ids.extend(chain.from_iterable(m[side] for m in made))
+            starts.extend(accumulate((len(m[side]) for m in made[1:]), initial=start + len(made[0][side])))
+        return first
+
+    def codes(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The entries that make up each text with a space in front."""
+        chunks = [_CHUNK.findall(" " + text) if text and not _UNLIKE.search(" " + text) else [] for text in texts]
+        if new := [c for c in dict.fromkeys(chain.from_iterable(chunks)) if c not in self.code]:
+            made = self.tokens.chunks(new)
+            first = self.add([m or ([], []) for m in made])
+            self.code.update((c, first + i if m else -1) for i, (c, m) in enumerate(zip(new, made, strict=True)))
+        out = [np.fromiter(map(self.code.__getitem__, each), np.int64, len(each)) for each in chunks]
+        for i, (text, own) in enumerate(zip(texts, out, strict=True)):
+            if text and not chunks[i]:
+                made = self.tokens.text(" " + text)
+                out[i] = np.array([self.add([made])] if made[0] else [], np.int64)
+            elif len(own) and own.min() < 0:
+                out[i] = own[:0]
+        return out
+
+    def lengths(self, codes: np.ndarray) -> list[np.ndarray]:
+        """How many tokens of either tokenizer an entry has."""
+        return [np.diff(np.array(starts))[codes] for starts in self.starts]
 
     def columns(self, codes: np.ndarray) -> list[pa.Array]:
         """ids and ends by the first tokenizer, ids and ends by the second, an array an entry."""
@@ -163,6 +167,12 @@ class Remembered:
         return out
 
 
+@cache
+def _remembered(paths: tuple[str, str, str]) -> Remembered:
+    """What this worker knows, over all its tasks."""
+    return Remembered(Tokens(*paths))
+
+
 INTS = pa.list_(pa.field("element", pa.int32(), False))
 CHUNK = ("ids_a", "ends_a", "ids_b", "ends_b")
 
@@ -172,7 +182,7 @@ def _array(of: T.DataType) -> T.ArrayType:
 
 
 def tokenised(docs: DataFrame, doc_id: str, paths: tuple[str, str, str]) -> DataFrame:
-    """chunks (ids_a, ends_a, ids_b, ends_b) and texts (doc_id, row, order) of blocks of texts; order numbers the chunks from 0."""
+    """chunks (ids_a, ends_a, ids_b, ends_b) and texts (doc_id, row, n_a, n_b, order) of blocks of texts; order numbers the chunks from 0."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text"))
 
     def whole(fields: dict[str, pa.Array]) -> pa.Array:
@@ -182,19 +192,24 @@ def tokenised(docs: DataFrame, doc_id: str, paths: tuple[str, str, str]) -> Data
         return pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made, type=pa.list_(pa.field("element", made.type, False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(Tokens(*paths))
+        known = _remembered(paths)
         for batch in batches:
-            codes, bounds = known.codes(batch["text"].to_pylist())
-            distinct, order = np.unique(codes, return_inverse=True)
-            orders = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(order, pa.int32()), type=INTS)
-            chunks = whole(dict(zip(CHUNK, known.columns(distinct), strict=True)))
-            yield pa.RecordBatch.from_arrays([chunks, whole({"doc_id": batch["doc_id"], "row": batch["row"], "order": orders})], names=["chunks", "texts"])
+            texts, codes = batch["text"].to_pylist(), []
+            for at in range(0, len(texts), TEXTS):
+                codes += known.codes(texts[at : at + TEXTS])
+            bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes], dtype=np.int64)])
+            flat = np.concatenate([*codes, np.empty(0, np.int64)])
+            sums = [np.concatenate([[0], np.cumsum(n)]) for n in known.lengths(flat)]
+            distinct, order = np.unique(flat, return_inverse=True)
+            fields = {"doc_id": batch["doc_id"], "row": batch["row"]} | {f"n_{side}": pa.array(np.diff(n[bounds])) for side, n in zip("ab", sums, strict=True)}
+            fields["order"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(order, pa.int32()), type=INTS)
+            yield pa.RecordBatch.from_arrays([whole(dict(zip(CHUNK, known.columns(distinct), strict=True))), whole(fields)], names=["chunks", "texts"])
             if len(known.ids[0]) > REMEMBERED:
                 known.forget()
 
     ints = _array(T.IntegerType())
     chunk = T.StructType([T.StructField(name, ints, False) for name in CHUNK])
-    text = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("row", T.LongType(), False), T.StructField("order", ints, False)])
+    text = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *(T.StructField(name, T.LongType(), False) for name in ("row", "n_a", "n_b")), T.StructField("order", ints, False)])
     return rows.mapInArrow(run, T.StructType([T.StructField("chunks", _array(chunk), False), T.StructField("texts", _array(text), False)]))
 
 
@@ -215,7 +230,8 @@ def below(values: Column, x: Column, bits: Column) -> Column:
 def places(values: Column, among: Column) -> Column:
     """For each value, how many of the sorted ends are less."""
     bits = F.sequence(F.floor(F.log2(F.size(among) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
-    return let(bits, lambda b: F.transform(values, lambda e: below(among, e, b)))
+    short = F.transform(values, lambda e: F.size(F.filter(among, lambda x: x < e)))
+    return F.when(F.size(among) <= SHORT, short).otherwise(let(bits, lambda b: F.transform(values, lambda e: below(among, e, b))))
 
 
 def _slices(values: Column, bounds: Column, overlap: int, each: Callable[[Column], Column]) -> Column:
@@ -245,40 +261,37 @@ def pair(a: Column, b: Column) -> Column:
 
 
 def aligned_chunk(chunk: Column) -> Column:
-    """n_a, n_b, n_groups, text ('a1,a2|b1;a3|b2,b3') and links (pairs of ids) of a chunk's tokens."""
+    """text ('a1,a2|b1;a3|b2,b3') and links (pairs of ids) of a chunk's tokens."""
 
     def of(v: Column) -> Column:
         ids_a, ends_a, ids_b, ends_b = (v["chunk"][name] for name in CHUNK)
         text = lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
+        both = lambda groups, a, b: F.struct(groups.alias("text"), F.zip_with(a, b, pair).alias("links"))
 
-        def parted(only: Column) -> tuple[Column, Column]:
+        def parted(only: Column) -> Column:
             groups = text(grouped_ids(ids_a, places(only["a"], ends_a)), grouped_ids(ids_b, places(only["b"], ends_b)))
-            return groups, F.zip_with(link_ids(ids_a, places(only["b"], ends_a)), link_ids(ids_b, places(only["a"], ends_b)), pair)
+            return both(groups, link_ids(ids_a, places(only["b"], ends_a)), link_ids(ids_b, places(only["a"], ends_b)))
 
         alike = (F.size(v["cuts"]) == F.size(ids_a)) & (F.size(v["cuts"]) == F.size(ids_b))
         others = F.struct(F.array_except(ends_a, v["cuts"]).alias("a"), F.array_except(ends_b, v["cuts"]).alias("b"))
-        both = lambda made: F.struct(made[0].alias("text"), made[1].alias("links"))
-        made = F.when(alike, both((text(ids_a, ids_b), F.zip_with(ids_a, ids_b, pair)))).otherwise(let(others, lambda only: both(parted(only))))
-        return let(made, lambda m: F.struct(F.size(ids_a).alias("n_a"), F.size(ids_b).alias("n_b"), F.size(v["cuts"]).alias("n_groups"), m["text"].alias("text"), m["links"].alias("links")))
+        return F.when(alike, both(text(ids_a, ids_b), ids_a, ids_b)).otherwise(let(others, parted))
 
     return let(F.struct(chunk.alias("chunk"), F.array_intersect(chunk["ends_a"], chunk["ends_b"]).alias("cuts")), of)
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
-    """doc_id, row, n_a, n_b, n_groups, groups_sha256, links of each text."""
+    """doc_id, row, n_a, n_b, groups_sha256, links of each text."""
 
     def of(v: Column) -> Column:
         def text(d: Column) -> Column:
             each = lambda name: F.transform(d["order"], lambda i: F.get(v["chunks"], i)[name])
-            total = lambda name: F.aggregate(d["order"], F.lit(0).cast("long"), lambda n, i: n + F.get(v["chunks"], i)[name]).alias(name)
-            digest = F.when(F.size(d["order"]) > 0, F.sha2(F.array_join(F.filter(each("text"), lambda t: t != ""), ";"), 256)).otherwise(F.lit(""))
-            return F.struct(d["doc_id"].alias("doc_id"), d["row"].alias("row"), total("n_a"), total("n_b"), total("n_groups"), digest.alias("digest"), F.flatten(each("links")).alias("links"))
+            digest = F.when(F.size(d["order"]) > 0, F.sha2(F.array_join(each("text"), ";"), 256)).otherwise(F.lit(""))
+            return F.struct(*(d[name].alias(name) for name in ("doc_id", "row", "n_a", "n_b")), digest.alias("groups_sha256"), F.flatten(each("links")).alias("links"))
 
         return F.transform(v["texts"], text)
 
     made = let(F.struct(F.transform("chunks", aligned_chunk).alias("chunks"), F.col("texts").alias("texts")), of)
-    rows = blocks.select(F.explode(made).alias("t")).select("t.*")
-    return rows.select("doc_id", "row", "n_a", "n_b", "n_groups", F.when(F.col("n_groups") > 0, F.col("digest")).otherwise(F.lit("")).alias("groups_sha256"), "links")
+    return blocks.select(F.explode(made).alias("t")).select("t.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -307,7 +320,7 @@ def align(docs: DataFrame, *, doc_id: str = "doc_id", a: str | None = None, a_ra
     paths = a or public_tokenizers.path("byte_bpe_50k.json"), a_ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), b or public_tokenizers.path("piece_bpe_32k.model")
     spark = docs.sparkSession
     with scratch(spark) as keep:
-        with small_batches(spark):
+        with small_batches(spark, BLOCK):
             texts = keep(aligned(tokenised(docs, doc_id, paths)), "texts")
         links = texts.select("row", F.explode("links").alias("link"))
         counted = keep(pair_counts(links), "pairs")
@@ -321,6 +334,7 @@ def align(docs: DataFrame, *, doc_id: str = "doc_id", a: str | None = None, a_ra
             seldom = links.join(F.broadcast(often.select("link")), "link", "left_anti").groupBy("row", "link").agg(F.count("*").alias("times"))
             weighed = seldom.join(rare, "link").select("row", (F.col("best") * F.col("times")).alias("n_best"), (F.col("count") * F.col("times")).alias("count_sum"))
             found = found.unionByName(weighed).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-        rows = texts.select("doc_id", "row", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256")
+        n_links = F.size("links").cast("long")  # a link is a stretch between two ends, and a group ends where both do
+        rows = texts.select("doc_id", "row", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - n_links).alias("n_groups"), n_links.alias("n_links"), "groups_sha256")
         joined = rows.join(found, "row", "left").fillna(0, ["n_best", "count_sum"])
         return stored(joined.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "alignment")

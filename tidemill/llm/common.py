@@ -53,15 +53,16 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within the block, Arrow batches end at BATCH bytes, if not before.
+def small_batches(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """Within the block, Arrow batches end at so many bytes, if not before.
 
     The default is many times that, and both a task's JVM side and its Python worker
-    keep what a batch once took. Only jobs that the block itself runs see this.
+    keep what a batch once took. Only jobs that the block itself runs see this, and those
+    that another thread runs meanwhile in the same session.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, BATCH)
+    spark.conf.set(name, size)
     try:
         yield
     finally:
