@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.functions.expressions import json_number
+from tidemill.functions.expressions import json_number, url_part
 from tidemill.operators.ranking import sessions
 from tidemill.sources.tables import table
 
@@ -43,8 +43,9 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by host; malformed urls count under no host."""
     url = F.col("url")
-    pages = table(spark, sf_dir, "pages").select(F.parse_url(url, F.lit("HOST")).alias("host"), F.parse_url(url, F.lit("PROTOCOL")).alias("scheme"), F.parse_url(url, F.lit("QUERY")).alias("query"))
+    pages = table(spark, sf_dir, "pages").select(url_part(url, "HOST").alias("host"), url_part(url, "PROTOCOL").alias("scheme"), url_part(url, "QUERY").alias("query"))
     return pages.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("scheme") == "https").alias("secure"), F.count("query").alias("with_query"))
 
 
@@ -57,8 +58,8 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINU
 s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM s GROUP BY user_id, s""",
     "event_props": """
-SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(DISTINCT json_extract_string(props, '$.k')) AS values, count(json_extract_string(props, '$.k')) AS n
-FROM events GROUP BY 1""",
+SELECT event_type, CAST(sum(k) AS BIGINT) AS k, count(DISTINCT k) AS values, count(k) AS n
+FROM (SELECT event_type, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events) GROUP BY 1""",
     "user_funnel": """
 WITH v AS (SELECT user_id, min(ts) AS v FROM events WHERE event_type = 'view' GROUP BY 1),
 c AS (SELECT user_id, min(ts) AS c FROM events JOIN v USING (user_id) WHERE event_type = 'click' AND ts > v GROUP BY 1),
@@ -69,6 +70,7 @@ FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1""",
 SELECT start, event_type, count(*) AS n, count(DISTINCT user_id) AS users
 FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, user_id FROM events) GROUP BY 1, 2""",
     "pages_by_host": r"""
-SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, count(*) AS pages, count(*) FILTER (WHERE url LIKE 'https://%') AS secure,
-       count(*) FILTER (WHERE regexp_matches(url, '^[^#]*\?')) AS with_query FROM pages GROUP BY 1""",
+WITH u AS (SELECT CASE WHEN NOT regexp_matches(url, '[\x00-\x20"<>\\^`{|}\x7F]|%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN url END AS url FROM pages)
+SELECT nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '') AS host, count(*) AS pages, count(*) FILTER (WHERE url LIKE 'https://%') AS secure,
+       count(*) FILTER (WHERE regexp_matches(url, '^[^#]*\?')) AS with_query FROM u GROUP BY 1""",
 }

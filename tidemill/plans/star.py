@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.expressions import cents, net_price
+from tidemill.operators.intervals import overlap_join, skew_join
 from tidemill.operators.joins import as_of_join, range_join
 from tidemill.operators.ranking import top_per_group
+from tidemill.operators.rollups import daily_states, read_off, rolled_up
 from tidemill.sources.folders import new_folder
 from tidemill.sources.tables import table, write_partitioned
 
@@ -160,12 +162,57 @@ def partitioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum(cents(F.col("o_totalprice"))).alias("cents"))
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, top_orders_per_priority, orders_without_items, customers_with_returns, order_rollup, part_cube, status_pivot, order_gaps, last_order_before_shipment, parts_in_price_bands, customer_sets, customers_full_join, orders_by_items, rival_nations, customer_multisets, parties, order_grouping_sets, partitioned_orders)}
+def _open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_custkey, o_orderkey, opened, closed: an order is open from its day to its last item's shipment, in days."""
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    joined = table(spark, sf_dir, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select("o_custkey", "o_orderkey", day("o_orderdate").alias("opened"), day("last").alias("closed")).where("closed > opened")
+
+
+def orders_open_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval join by key: how many other orders of a customer were open while an order was."""
+    orders = _open_orders(spark, sf_dir)
+    pairs = overlap_join(orders, orders, ("opened", "closed"), ("opened", "closed"), on=["o_custkey"])
+    met = pairs.where("left.o_orderkey <> right.o_orderkey")
+    return met.groupBy(F.col("left.o_orderkey").alias("o_orderkey")).agg(F.count("*").alias("others"), F.min("right.opened").alias("first_opened"), F.max("right.closed").alias("last_closed"))
+
+
+def orders_open_in_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval join without a key: open orders by the suppliers' sales, of a few days or of years, that they meet."""
+    start = (F.col("s_suppkey") * 7919) % 2400 + 9131
+    sales = table(spark, sf_dir, "supplier").select("s_suppkey", start.alias("begins"), (start + F.when(F.col("s_suppkey") % 5 == 0, 1500).otherwise(1 + F.col("s_suppkey") % 9)).alias("ends"))
+    pairs = overlap_join(_open_orders(spark, sf_dir), sales, ("opened", "closed"), ("begins", "ends"))
+    return pairs.groupBy(F.col("right.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("orders"), F.min("left.o_orderkey").alias("first_order"))
+
+
+def returns_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equi-join with frequent keys spread over tasks: line items of a supplier's nation by what became of them."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_returnflag", cents(net_price()).alias("cents"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return skew_join(items, suppliers, ["s_suppkey"], "left", per_task=1 << 18).groupBy("s_nationkey", "l_returnflag").agg(F.count("*").alias("items"), F.sum("cents").alias("cents"))
+
+
+def monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of orders from states that are kept by day; the distinct customers and the median are estimates, so only their bounds are told."""
+    path = new_folder(spark, "daily")
+    daily_states(table(spark, sf_dir, "orders"), F.col("o_orderdate"), ["o_orderpriority"], cents(F.col("o_totalprice")), F.col("o_custkey")).write.partitionBy("o_orderpriority").parquet(path)
+    months = rolled_up(spark.read.parquet(path), [F.date_trunc("month", "day").cast("timestamp_ntz").alias("month")])
+    read = read_off(months)
+    told = (F.col("distinct") <= 1.1 * F.col("n")) & F.col("q50").between(F.col("least"), F.col("most"))
+    return read.select("month", "n", F.col("total").alias("cents"), "least", "most", told.alias("within_bounds"))
+
+
+QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, top_orders_per_priority, orders_without_items, customers_with_returns, order_rollup, part_cube, status_pivot, order_gaps, last_order_before_shipment, parts_in_price_bands, customer_sets, customers_full_join, orders_by_items, rival_nations, customer_multisets, parties, order_grouping_sets, partitioned_orders, orders_open_together, orders_open_in_sales, returns_by_nation, monthly_orders)}
 
 _CENTS = "CAST(floor(({}) * 100 + 0.5) AS BIGINT)"
 _NET = _CENTS.format("l_extendedprice * (1 - l_discount)")
 _TOTAL = _CENTS.format("o_totalprice")
 
+_OPEN = """
+SELECT o_custkey, o_orderkey, CAST(date_diff('day', DATE '1970-01-01', o_orderdate) AS INTEGER) AS opened, CAST(date_diff('day', DATE '1970-01-01', last) AS INTEGER) AS closed
+FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS last FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE last > o_orderdate"""
+
 ORACLE_SQL = {
     "pricing_summary": f"""
 SELECT l_returnflag, l_linestatus, sum({_CENTS.format("l_quantity")})::BIGINT AS quantity, sum({_CENTS.format("l_extendedprice")})::BIGINT AS base_cents,
@@ -225,4 +272,15 @@ SELECT nation, segment, count(*) AS parties, sum(cents)::BIGINT AS cents FROM (
 SELECT o_orderstatus, o_orderpriority, count(*) AS orders, sum({_TOTAL})::BIGINT AS cents, grouping(o_orderstatus, o_orderpriority) AS level
 FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())""",
     "partitioned_orders": f"SELECT o_orderpriority, count(*) AS orders, sum({_TOTAL})::BIGINT AS cents FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
+    "orders_open_together": f"""
+WITH o AS ({_OPEN})
+SELECT a.o_orderkey, count(*) AS others, min(b.opened) AS first_opened, max(b.closed) AS last_closed
+FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.opened < b.closed AND b.opened < a.closed AND a.o_orderkey <> b.o_orderkey GROUP BY 1""",
+    "orders_open_in_sales": f"""
+WITH o AS ({_OPEN}), s AS (SELECT s_suppkey, (s_suppkey * 7919) % 2400 + 9131 AS begins, CASE WHEN s_suppkey % 5 = 0 THEN 1500 ELSE 1 + s_suppkey % 9 END AS days FROM supplier)
+SELECT s_suppkey, count(*) AS orders, min(o_orderkey) AS first_order FROM o JOIN s ON opened < begins + days AND begins < closed GROUP BY 1""",
+    "returns_by_nation": f"""
+SELECT s_nationkey, l_returnflag, count(*) AS items, sum({_NET})::BIGINT AS cents FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""",
+    "monthly_orders": f"""
+SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n, sum({_TOTAL})::BIGINT AS cents, min({_TOTAL}) AS least, max({_TOTAL}) AS most, TRUE AS within_bounds FROM orders GROUP BY 1""",
 }

@@ -37,3 +37,10 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of ours, wherever Spark's file systems keep it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, wherever Spark's file systems keep it; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []

@@ -32,9 +32,20 @@ def write_partitioned(rows: DataFrame, path: str, by: Sequence[str], order: Sequ
     return path
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
-    """events as a stream of files; event time as a timestamp, which watermarks need."""
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+def event_stream(spark: SparkSession, folder: str, files: str | None = None, per_trigger: int | None = None) -> DataFrame:
+    """events as a stream of files; event time as a timestamp, which watermarks need.
+
+    Without ``files``, the table is ``events.parquet`` in the folder, one file or a
+    folder of part files, as Spark writes it; a pattern takes the folder's own files that
+    match. Where there is no file, that is an error.
+    """
+    path = folder.rstrip("/") if files else f"{folder.rstrip('/')}/events.parquet"
+    reader = spark.readStream.schema(EVENTS)
     reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
-    events = reader.parquet(folder)
+    reader = reader.option("pathGlobFilter", files) if files else reader
+    there = spark.read.schema(EVENTS).option("pathGlobFilter", files or "*").parquet(path)
+    if not there.inputFiles():
+        raise FileNotFoundError(f"no files of events: {path}/{files or ''}")
+    # As a pattern, a path may be one file as well as a folder.
+    events = reader.parquet(path if files else f"{path[:-1]}[{path[-1]}]")
     return events.withColumn("ts", events["ts"].cast("timestamp"))
