@@ -23,8 +23,8 @@ class Funnel(StatefulProcessor):
 
     Events wait until the watermark has passed them and are then taken in the order
     of their times, so files out of order don't matter. Of a user only the step, the
-    time of it and the waiting events are kept; ``idle_ms`` after the last of them
-    the timer forgets the user. Each step is a row.
+    time of it and the waiting events are kept. A user without an event for over
+    ``idle_ms`` starts anew; a timer then forgets them. Each step is a row.
     """
 
     def __init__(self, idle_ms: int | None) -> None:
@@ -41,6 +41,8 @@ class Funnel(StatefulProcessor):
         step, since, last = self.at.get() if self.at.exists() else (0, -(1 << 62), -(1 << 62))
         out = []
         for us, kind in due:
+            if self.idle_ms is not None and us - last > self.idle_ms * 1000:
+                step, since = 0, -(1 << 62)
             last = us
             if step < len(STEPS) and kind == STEPS[step] and us > since:
                 step, since = step + 1, us
