@@ -13,8 +13,8 @@ whole numbers.
   the values of p, a source at a time), and for the terms of both (a join by term).
 - Part ``term`` is, for a group, the terms that it uses more than its language does,
   the first ``top`` by p - q. Radix selection finds each group's last value: histograms
-  of DIGIT bits at a time, from the top, tell in which digit the k-th value lies, so
-  only counts are shuffled. Where more rows than SORTED share that value, their UTF-8
+  of the leading bit's place and then of DIGIT bits at a time tell in which digit the
+  k-th value lies, so only counts are shuffled. Where more rows than SORTED share that value, their UTF-8
   bytes are refined the same way, past what all of them begin with. What is then
   sorted is at most top + SORTED rows a group.
 
@@ -42,6 +42,7 @@ from tidemill.llm.mixing import running_sums
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 30
+MARK = "\x00"
 SCALE, PRIOR = 1_000_000_000, 5
 DIGIT = 8  # bits of a histogram's digit
 SORTED = 1 << 12  # rows of one value that a group's last sort takes
@@ -52,12 +53,20 @@ GROUP = ["lang", "source"]
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: how often, and in how many documents."""
+    """lang, source, term, n, docs: how often, and in how many documents.
+
+    A document's terms and, marked by a character that no term has, its distinct
+    terms are counted as one list.
+    """
     text = ascii_lower(F.coalesce("text", F.lit("")))
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in GROUP), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
-    mark = lambda terms, n, d: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs")))
-    each = rows.select(*GROUP, F.explode(F.concat(mark(F.col("terms"), 1, 0), mark(F.array_distinct("terms"), 0, 1))).alias("t"))
-    return each.groupBy(*GROUP, F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"), F.sum("t.docs").alias("docs"))
+    marked = F.transform(F.array_distinct("terms"), lambda t: F.concat(F.lit(MARK), t))
+    each = rows.select(*GROUP, F.explode(F.concat("terms", marked)).alias("item"))
+    counted = each.groupBy(*GROUP, "item").agg(F.count("*").alias("many"))
+    is_docs = F.col("item").startswith(MARK)
+    term = F.when(is_docs, F.substring("item", F.lit(2), F.length("item"))).otherwise(F.col("item"))
+    zero = F.lit(0).cast("long")
+    return counted.select(*GROUP, term.alias("term"), F.when(is_docs, zero).otherwise(F.col("many")).alias("n"), F.when(is_docs, F.col("many")).otherwise(zero).alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -78,21 +87,23 @@ def _reached(hist: DataFrame, order: Column) -> DataFrame:
 
 
 def value_thresholds(rows: DataFrame, k: int, keep: Keep) -> DataFrame:
-    """lang, source, prefix, need, tied: each group's k-th largest value; of its ``tied`` rows, ``need`` are among the k.
+    """lang, source, least, need, tied: each group's k-th largest value; of its ``tied`` rows, ``need`` are among the k.
 
-    Groups of fewer than k rows are left out. Values are whole numbers from 0.
+    Groups of fewer than k rows are left out. Values are whole numbers from 0. The
+    first histogram is over the places of their leading bits, so what is refined after
+    it, DIGIT bits at a time, is a group's largest values, not all.
     """
-    found: DataFrame | None = None
-    top = -(-max(1, _bits(rows, "value")) // DIGIT)
-    for at in range(top - 1, -1, -1):
-        digit = F.shiftright("value", at * DIGIT)
-        if found is None:
-            hist = rows.groupBy(*GROUP, digit.alias("digit")).agg(F.count("*").alias("n")).withColumn("need", F.lit(k).cast("long"))
-        else:
-            inside = rows.join(found.select(*GROUP, "prefix", "need"), GROUP).where(F.shiftright("value", (at + 1) * DIGIT) == F.col("prefix"))
-            hist = inside.groupBy(*GROUP, "need", digit.alias("digit")).agg(F.count("*").alias("n"))
-        found = keep(_reached(hist, F.desc("digit")).select(*GROUP, F.col("digit").alias("prefix"), "need", "tied"), "digits")
-    return found
+    longest = _bits(rows, "value")
+    leading = F.length(F.bin("value"))
+    hist = rows.groupBy(*GROUP, leading.alias("digit")).agg(F.count("*").alias("n")).withColumn("need", F.lit(k).cast("long"))
+    one = F.col("digit") == 1  # 0 and 1
+    found = keep(_reached(hist, F.desc("digit")).select(*GROUP, F.when(one, 0).otherwise(1).cast("long").alias("prefix"), F.when(one, 1).otherwise(F.col("digit") - 1).alias("shift"), "need", "tied"), "digits")
+    moved = lambda by: F.call_function("shiftright", F.col("value"), F.col(by))
+    for _ in range(-(-longest // DIGIT)):
+        inside = rows.join(found.drop("tied"), GROUP).where(moved("shift") == F.col("prefix"))
+        hist = inside.withColumn("next", F.greatest(F.col("shift") - DIGIT, F.lit(0))).groupBy(*GROUP, "need", "next", moved("next").alias("digit")).agg(F.count("*").alias("n"))
+        found = keep(_reached(hist, F.desc("digit")).select(*GROUP, F.col("digit").alias("prefix"), F.col("next").alias("shift"), "need", "tied"), "digits")
+    return found.select(*GROUP, F.col("prefix").alias("least"), "need", "tied")
 
 
 def text_thresholds(rows: DataFrame, values: DataFrame, keep: Keep, most: int) -> DataFrame | None:
@@ -101,14 +112,14 @@ def text_thresholds(rows: DataFrame, values: DataFrame, keep: Keep, most: int) -
     Each round skips what a group's remaining terms begin with alike, and looks at
     the two characters after it, so it leaves fewer rows, whatever the terms' length.
     """
-    state, found = values.where(F.col("tied") > most).select(*GROUP, "prefix", "need", F.lit(0).alias("width"), F.lit("").alias("key")), None
+    state, found = values.where(F.col("tied") > most).select(*GROUP, "least", "need", F.lit(0).alias("width"), F.lit("").alias("key")), None
     while not (state := keep(state, "ties")).isEmpty():
-        tied = rows.withColumnRenamed("value", "v").join(state, GROUP).where((F.col("v") == F.col("prefix")) & (F.substring("item", F.lit(1), F.col("width")) == F.col("key")))
+        tied = rows.withColumnRenamed("value", "v").join(state, GROUP).where((F.col("v") == F.col("least")) & (F.substring("item", F.lit(1), F.col("width")) == F.col("key")))
         ends = tied.groupBy(*GROUP).agg(F.min("item").alias("a"), F.max("item").alias("b"))
         same = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
         ends = keep(ends.select(*GROUP, (F.array_position(same, F.lit(False)) + 1).cast("int").alias("next")), "ends")
-        digits = tied.join(ends, GROUP).groupBy(*GROUP, "prefix", "need", "next", F.substring("item", F.lit(1), F.col("next")).alias("digit")).agg(F.count("*").alias("n"))
-        reached = keep(_reached(digits, F.asc("digit")).select(*GROUP, "prefix", "need", F.col("next").alias("width"), F.col("digit").alias("key"), "tied"), "letters")
+        digits = tied.join(ends, GROUP).groupBy(*GROUP, "least", "need", "next", F.substring("item", F.lit(1), F.col("next")).alias("digit")).agg(F.count("*").alias("n"))
+        reached = keep(_reached(digits, F.asc("digit")).select(*GROUP, "least", "need", F.col("next").alias("width"), F.col("digit").alias("key"), "tied"), "letters")
         done = reached.where(F.col("tied") <= most).select(*GROUP, "width", "key")
         found = done if found is None else found.unionByName(done)
         state = reached.where(F.col("tied") > most).drop("tied")
@@ -121,8 +132,7 @@ def top_items(rows: DataFrame, k: int, keep: Keep, most: int = SORTED) -> DataFr
     rows (lang, source, item, value) should be stored; an item occurs once a group.
     """
     values = value_thresholds(rows, k, keep)
-    least = values.select(*GROUP, F.col("prefix").alias("least"))
-    near = rows.join(least, GROUP, "left").where(F.col("least").isNull() | (F.col("value") >= F.col("least")))
+    near = rows.join(values.select(*GROUP, "least"), GROUP, "left").where(F.col("least").isNull() | (F.col("value") >= F.col("least")))
     if (texts := text_thresholds(rows, values, keep, most)) is not None:
         near = near.join(texts, GROUP, "left").where(F.col("key").isNull() | (F.col("value") > F.col("least")) | (F.substring("item", F.lit(1), F.col("width")) <= F.col("key")))
     order = W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
@@ -177,7 +187,7 @@ def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top: int = 50, most:
     with scratch(docs.sparkSession) as keep:
         counts = keep(term_counts(docs), "counts")
         named = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-        kept = keep(counts.drop("docs").join(named, ["lang", "term"]), "kept")
+        kept = keep(counts.where("n > 0").drop("docs").join(named, ["lang", "term"]), "kept")
         sums = kept.groupBy(*GROUP).agg(F.sum("n").alias("total"))
         langs = keep(kept.groupBy("lang").agg(F.count_distinct("term").alias("kept"), F.sum("n").alias("lang_total")), "langs")
         every = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in GROUP)).distinct()
