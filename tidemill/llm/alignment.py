@@ -8,9 +8,9 @@ other end (``array_except``) is looked up among the ends of both sides by halvin
 slices between them are joined, for the groups' text, or laid end to end with the cut
 token repeated, for the links. No step is quadratic, however long the groups.
 
-Chunks of plain text recur. A chunk runs up to the next single space or line break;
-neither tokenizer ever joins bytes across those, so both have an end there, and a text's
-groups and links are its chunks' in order. So a row holds a block of texts (an Arrow
+Chunks of plain text recur. A chunk runs up to the next single space or line break, or
+to a mark after a word; neither tokenizer ever joins bytes across those, so both have an
+end there, and a text's groups and links are its chunks' in order. So a row holds a block of texts (an Arrow
 batch): its distinct chunks with their tokens, which are aligned once, and for each
 text the chunks that make it up. Tasks remember chunks' tokens across blocks (REMEMBERED
 at most, then anew). A text with other white space or letters beyond Latin goes through
@@ -57,7 +57,8 @@ BLOCK = 4 << 20  # bytes of the texts of a block, if there are more than one
 TEXTS = 64  # texts that are cut into chunks at once
 SHORT = 16  # ends that are looked through one by one
 _UNLIKE = re.compile(r"[^\n\x20-\x7E¡-ɏ]|[ \n][ \n]")
-_CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+_MARKS = ".,;:!?"
 
 
 def byte_letters() -> dict[str, int]:
@@ -84,6 +85,10 @@ class Tokens:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         pieces = self.b.id_to_piece(list(range(self.b.get_piece_size())))
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        # A word may end a chunk before these: the first tokenizer parts letters from marks, the second has no piece of both.
+        apart = "".join(m for m in _MARKS if not any(re.search(_LETTER + re.escape(m), p) for p in pieces))
+        self.cut = re.compile((rf" ?{_LETTER}++(?=[{re.escape(apart)}])|" if apart else "") + r" ?[^ \n]+|[ \n]").findall
+        self.line = self.plain_a.encode_ordinary("\n")
         self.length = [self._lengths(t) for t in (self.bytes_a, self.bytes_b)]
 
     @staticmethod
@@ -98,9 +103,15 @@ class Tokens:
         return b"".join([self.bytes_a.get(i, b"") for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
 
     def chunks(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """The tokens of each chunk; None where they don't give it back."""
-        made = list(zip(map(self.plain_a.encode_ordinary, texts), self.b.encode(texts), strict=True))
-        if self.exact("".join(texts), chain.from_iterable(a for a, _ in made), chain.from_iterable(b for _, b in made)):
+        """The tokens of chunks that hold no white space but a space in front; None where they don't give it back."""
+        lines: list[list[int]] = [[]]
+        for i in self.plain_a.encode_ordinary("\n".join(texts)):  # a line break parts tokens, as a chunk's end does
+            if i == self.line[0]:
+                lines.append([])
+            else:
+                lines[-1].append(i)
+        made = list(zip(lines, self.b.encode(texts), strict=True))
+        if self.exact("".join(texts), chain.from_iterable(lines), chain.from_iterable(b for _, b in made)):
             return made
         return [m if self.exact(t, *m) else None for t, m in zip(texts, made, strict=True)]
 
@@ -123,6 +134,8 @@ class Remembered:
         self.code: dict[str, int] = {}
         self.ids = array("i"), array("i")
         self.starts = array("q", [0]), array("q", [0])
+        for space in " \n":
+            self.code[space] = self.add([(self.tokens.plain_a.encode_ordinary(space), self.tokens.b.encode(space))])
 
     def add(self, made: list[tuple[list[int], list[int]]]) -> int:
         """New entries, in order; the number of the first."""
@@ -135,7 +148,7 @@ class Remembered:
 
     def codes(self, texts: list[str | None]) -> list[np.ndarray]:
         """The entries that make up each text with a space in front."""
-        chunks = [_CHUNK.findall(" " + text) if text and not _UNLIKE.search(" " + text) else [] for text in texts]
+        chunks = [self.tokens.cut(" " + text) if text and not _UNLIKE.search(" " + text) else [] for text in texts]
         if new := [c for c in dict.fromkeys(chain.from_iterable(chunks)) if c not in self.code]:
             made = self.tokens.chunks(new)
             first = self.add([m or ([], []) for m in made])

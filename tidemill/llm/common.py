@@ -18,6 +18,8 @@ from tidemill.sources.folders import new_folder, remove_folder
 ASCII_SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast up to this many rows of a few numbers each.
 BROADCAST_ROWS = 20_000
+#: Tasks of a shuffle at most: the driver plans each, so blocks beyond this number share tasks.
+MOST_TASKS = 1 << 15
 #: Of texts or hashes that go to a Python worker at once.
 BATCH = 8 << 20
 

@@ -72,7 +72,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def share(n: Column, total: Column, terms: Column) -> Column:
     """p of a count; exact for counts up to 2**63."""
     whole = lambda c: c.cast("decimal(20,0)")
-    return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * whole(n + PRIOR), F.nullif(whole(total + PRIOR * terms), F.lit(0).cast("decimal(20,0)"))).cast("long") + 1
+    return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * whole(n.cast("long") + PRIOR), F.nullif(whole(total.cast("long") + terms.cast("long") * PRIOR), F.lit(0).cast("decimal(20,0)"))).cast("long") + 1
 
 
 def _bits(rows: DataFrame, value: str) -> int:

@@ -34,6 +34,7 @@ from tidemill.llm.common import ASCII_SPACE_WORD, broadcast_if_small, stored
 
 BINS = 4096  # of the seeded hash; of each source one bin is sorted
 _HASH_BITS = 60
+FEW = 10_000  # rows that are always one range
 PER_TASK = 1 << 20  # rows that a task sorts, about
 
 
@@ -51,9 +52,14 @@ def running_sums(rows: DataFrame, order: Sequence[str], values: Sequence[str], p
     """rows with before_<value>: the sum over all rows before it in the (total) order.
 
     The rows are cut into ranges of about per_task of them; sums within a range are
-    added to those of the ranges before it, of which there are few.
+    added to those of the ranges before it, of which there are few. Up to FEW rows, as
+    of a table of sources, are one range, which needs no table of its own.
     """
-    ranges = max(1, -(-rows.count() // per_task))
+    count = rows.count()
+    if count <= min(FEW, per_task):
+        every = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return rows.select(*rows.columns, *(F.coalesce(F.sum(v).over(every), F.lit(0)).alias(f"before_{v}") for v in values))
+    ranges = max(1, -(-count // per_task))
     placed = keep(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
     ahead, within = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     sums = placed.groupBy("range").agg(*(F.sum(v).alias(v) for v in values))

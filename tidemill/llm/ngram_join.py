@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import broadcast_if_small, hash_words, rolling_hashes, scan, scratch, small_batches, stored, text_key
+from tidemill.llm.common import MOST_TASKS, broadcast_if_small, hash_words, rolling_hashes, scan, scratch, small_batches, stored, text_key
 
 EXTRA = 20  # c is one part in so many of a row
 ENTRIES = 1 << 19  # entries of a column block and of a row block, and what a task gathers before it sends
@@ -140,15 +140,25 @@ def _gathered(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataF
         yield pd.concat(waiting)
 
 
-def _tasks(table: DataFrame, entries: int) -> int:
-    """How many tasks, and column blocks, so many entries are dealt to: the session's number, or more for many."""
-    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES))
+def block_count(partitions: int, entries: int) -> int:
+    """How many blocks so many entries are dealt to: the session's number of tasks, or more for many."""
+    return max(partitions, -(-entries // ENTRIES))
+
+
+def _blocks(table: DataFrame, entries: int) -> int:
+    return block_count(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries)
+
+
+def _by_task(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows with the task that each block goes to; a task takes its blocks one by one."""
+    tasks = min(blocks, MOST_TASKS)
+    return rows.withColumn("task", F.pmod("block", F.lit(tasks))).repartitionById(tasks, F.col("task"))
 
 
 def _shared_counts(sets: DataFrame) -> DataFrame:
     """ref -> how many entries of its prefix have a column with several rows."""
     entries = int(sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0)
-    blocks = _tasks(sets, entries)
+    blocks = _blocks(sets, entries)
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Entries by column block; block < 0: counts of what this task has seen to be shared."""
@@ -187,7 +197,7 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
         return pd.DataFrame({"ref": found, "n": n})
 
     made = sets.where("prefix IS NOT NULL").select("ref", "prefix").mapInPandas(tiles, "block int, numbers binary, refs binary, many binary")
-    counts = made.withColumn("task", F.pmod("block", F.lit(blocks))).repartitionById(blocks, F.col("task")).groupBy("task", "block").applyInPandas(column_block, "ref long, n long")
+    counts = _by_task(made, blocks).groupBy("task", "block").applyInPandas(column_block, "ref long, n long")
     return counts.groupBy("ref").agg(F.sum("n").alias("shared"))
 
 
@@ -222,7 +232,7 @@ def _whole_rows(docs: DataFrame, nodes: DataFrame, k: int, store: Store) -> Data
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Rows that can have links, with their prefix columns that others have too."""
     entries = int(rows.agg(F.sum("n")).first()[0] or 0)
-    blocks = _tasks(rows, entries)
+    blocks = _blocks(rows, entries)
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -264,9 +274,9 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["set_key", "n", "size", "lead", "prefix", "shingles"])
 
     made = rows.select("row_block", "shingles").mapInPandas(tiles, "block int, row_block long, columns binary, counts binary")
-    counted = made.repartitionById(blocks, F.col("block")).groupBy("block").applyInPandas(column_block, "row_block long, columns binary, counts binary")
+    counted = _by_task(made, blocks).groupBy("task", "block").applyInPandas(column_block, "row_block long, columns binary, counts binary")
     schema = "set_key binary, n long, size long, lead long, prefix array<long>, shingles binary"
-    dealt, counted = (x.repartition(blocks, "row_block").groupBy("row_block") for x in (rows, counted))
+    dealt, counted = (x.repartition(min(blocks, MOST_TASKS), "row_block").groupBy("row_block") for x in (rows, counted))
     return dealt.cogroup(counted).applyInPandas(row_block, schema)
 
 
@@ -285,12 +295,12 @@ def _cells(rows: DataFrame, percent: int, store: Store) -> DataFrame:
     met = low.join(high, "gram").where(fits & ((F.col("block") < F.col("high_block")) | ((F.col("block") == F.col("high_block")) & (F.col("rows") > 1))))
     cells = store(met.select(F.col("block").alias("low"), F.col("high_block").alias("high")).distinct(), "cells")
     members = cells.withColumn("member", F.explode(F.array_distinct(F.array("low", "high"))))
-    # As many tasks as what the cells hold takes column blocks.
+    # As many tasks as what the cells hold takes column blocks, up to the limit.
     sizes = placed.groupBy(F.col("block").alias("sized")).agg(F.sum("n").alias("entries"))
     entries = members.join(sizes, F.col("member") == F.col("sized")).agg(F.sum("entries")).first()[0] or 0
     whole = placed.select("set_key", "n", "size", "shingles", "block")
     met = members.join(whole, F.col("member") == F.col("block")).drop("member")
-    return met.repartition(_tasks(placed, int(entries)), "low", "high")
+    return met.repartition(min(_blocks(placed, int(entries)), MOST_TASKS), "low", "high")
 
 
 def _columns(side: pd.DataFrame, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

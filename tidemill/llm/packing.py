@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm.common import mix64, scan, small_batches, stored
+from tidemill.llm.common import MOST_TASKS, mix64, scan, small_batches, stored
 
 SEQUENCE = 2048
 CLOSING = 1  # the id after each document
@@ -156,8 +156,12 @@ def _tokenised(docs: DataFrame, path: str, ranks: str | None) -> DataFrame:
 
 
 def range_count(tokens: float, partitions: int) -> int:
-    """How many ranges a number of tokens takes: large ones, but one for each task if there is enough for all."""
-    return max(1, math.ceil(tokens / RANGE), min(partitions, math.ceil(tokens / LEAST_RANGE)))
+    """How many ranges a number of tokens takes: large ones, but one for each task if there is enough for all.
+
+    A range is a task, so beyond MOST_TASKS ranges they grow; they are sorted by Spark
+    and read as a stream, so their size isn't a matter of memory.
+    """
+    return min(MOST_TASKS, max(1, math.ceil(tokens / RANGE), min(partitions, math.ceil(tokens / LEAST_RANGE))))
 
 
 def _ranged(parts: DataFrame, count: int | None) -> tuple[DataFrame, int]:

@@ -4,7 +4,9 @@
 and gives a row per page, with its samples decoded: strips or tiles, without
 compression or in PackBits, LZW or deflate, with predictors 1 (none),
 2 (horizontal differences, 8 to 64 bits) and 3 (floating point), in either byte
-order, chunky or planar. Samples of fewer than 8 bits stay packed.
+order, chunky or planar, in either bit order of bytes. Samples of fewer than 8 bits
+stay packed. Another predictor or bit order, samples of unlike bits and predictors on
+samples that aren't whole bytes are errors.
 :func:`encode_pages` writes what the reader reads; :func:`store_text` uses it to keep
 texts as 8-bit samples, in a codec and layout that a checksum of the text chooses.
 
@@ -38,6 +40,7 @@ NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_SIZES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+FILL_ORDER = 266
 TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 CLEAR, END, FIRST = 256, 257, 258
 
@@ -312,12 +315,23 @@ def _restore(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
     return block
 
 
+_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
 def page_samples(data: bytes, fields: dict[int, tuple]) -> bytes:
     """A page's samples in little-endian order, row by row; planes one after another."""
     order = fields[0][0]
     one = lambda tag, default: fields.get(tag, (default,))[0]
     width, height, method = one(WIDTH, 0), one(LENGTH, 0), one(COMPRESSION, NONE)
     samples, bits, predictor = one(SAMPLES, 1), one(BITS, 1), one(PREDICTOR, 1)
+    if predictor not in (1, 2, 3):
+        raise ValueError(f"unknown predictor {predictor}")
+    if (fill := one(FILL_ORDER, 1)) not in (1, 2):
+        raise ValueError(f"unknown fill order {fill}")
+    if len(set(fields.get(BITS, (1,)))) > 1:
+        raise ValueError("samples of unlike bits")
+    if predictor != 1 and (bits % 8 or bits > 64):
+        raise ValueError(f"predictor {predictor} with {bits} bits")
     planes = samples if one(PLANAR, 1) == 2 else 1
     samples //= planes
     tiled = TILE_OFFSETS in fields
@@ -344,7 +358,8 @@ def page_samples(data: bytes, fields: dict[int, tuple]) -> bytes:
         need = tall * across * samples * unit.itemsize
         if at >= len(data):
             raise ValueError(f"strip or tile {i} lies beyond the file")
-        raw = _decompress(data[at : at + size], method, need)[:need]
+        kept = data[at : at + size]
+        raw = _decompress(kept.translate(_REVERSED) if fill == 2 else kept, method, need)[:need]
         if len(raw) < need:
             raise ValueError(f"strip or tile {i} ends after {len(raw)} of {need} bytes")
         block = np.frombuffer(raw, unit).reshape(tall, across, samples)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stored
+from tidemill.llm.common import MOST_TASKS, stored
 
 QUERY_BLOCK = 2048  # queries in a cell at most, on average
 ROW_BLOCK = 16_384  # rows in a cell, likewise
@@ -133,12 +133,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     query_blocks = max(1, -(-about["queries"] // QUERY_BLOCK))
     row_blocks = max(-(-LEAST_CELLS // query_blocks), -(-about["rows"] // ROW_BLOCK))
     cells = query_blocks * row_blocks
+    tasks = min(cells, MOST_TASKS)  # a task takes its cells one by one
     reach = int(min(about["norm"] * (1 + 1e-9) + 1, float(LIMIT)))  # no score is above the largest squared norm
 
     salt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(row_blocks))
     rows = kept.select("vec_id", "vector", salt.alias("row_block"))
     rows = rows.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    rows = rows.select((F.col("query_block") * row_blocks + F.col("row_block")).alias("cell"), "vec_id", "vector").repartition(cells, "cell")
+    rows = rows.select((F.col("query_block") * row_blocks + F.col("row_block")).alias("cell"), "vec_id", "vector").repartition(tasks, "cell")
     queries = kept.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.max("vector").alias("vector"))
     queries = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
     # The widest range of whole bins around all possible scores.
@@ -147,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     def over_cells(ranged: DataFrame, one: Callable, schema: str) -> DataFrame:
         dealt = ranged.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-        dealt = dealt.select((F.col("query_block") * row_blocks + F.col("row_block")).alias("cell"), "query_id", "vector", "low", "high", "step").repartition(cells, "cell")
+        dealt = dealt.select((F.col("query_block") * row_blocks + F.col("row_block")).alias("cell"), "query_id", "vector", "low", "high", "step").repartition(tasks, "cell")
         names = [c.split()[0] for c in schema.split(", ")]
         return dealt.groupBy("cell").cogroup(rows.groupBy("cell")).applyInPandas(_cell_pass(one, names), schema)
 

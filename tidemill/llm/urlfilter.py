@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ascii_lower, scratch, stored
+from tidemill.llm.common import MOST_TASKS, ascii_lower, scratch, stored
 
 PER_STRETCH = 1 << 18  # keys of a stretch, about
 LEAST_STRETCH = 1 << 12  # a stretch of fewer would cost more than it helps
@@ -83,7 +83,7 @@ def rule_keys(rules: DataFrame) -> DataFrame:
 
 
 def stretch_count(keys: int, partitions: int) -> int:
-    return max(1, math.ceil(keys / PER_STRETCH), min(partitions, math.ceil(keys / LEAST_STRETCH)))
+    return min(MOST_TASKS, max(1, math.ceil(keys / PER_STRETCH), min(partitions, math.ceil(keys / LEAST_STRETCH))))
 
 
 def cuts_of(keys: DataFrame, count: int, total: int) -> list[Cut]:
