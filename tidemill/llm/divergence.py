@@ -42,7 +42,6 @@ from tidemill.llm.mixing import running_sums
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 30
-MARK = "\x00"
 SCALE, PRIOR = 1_000_000_000, 5
 DIGIT = 8  # bits of a histogram's digit
 SORTED = 1 << 12  # rows of one value that a group's last sort takes
@@ -53,20 +52,12 @@ GROUP = ["lang", "source"]
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: how often, and in how many documents.
-
-    A document's terms and, marked by a character that no term has, its distinct
-    terms are counted as one list.
-    """
+    """lang, source, term, n, docs: how often, and in how many documents."""
     text = ascii_lower(F.coalesce("text", F.lit("")))
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in GROUP), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
-    marked = F.transform(F.array_distinct("terms"), lambda t: F.concat(F.lit(MARK), t))
-    each = rows.select(*GROUP, F.explode(F.concat("terms", marked)).alias("item"))
-    counted = each.groupBy(*GROUP, "item").agg(F.count("*").alias("many"))
-    is_docs = F.col("item").startswith(MARK)
-    term = F.when(is_docs, F.substring("item", F.lit(2), F.length("item"))).otherwise(F.col("item"))
-    zero = F.lit(0).cast("long")
-    return counted.select(*GROUP, term.alias("term"), F.when(is_docs, zero).otherwise(F.col("many")).alias("n"), F.when(is_docs, F.col("many")).otherwise(zero).alias("docs"))
+    mark = lambda terms, is_doc: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(is_doc).alias("is_doc")))
+    each = rows.select(*GROUP, F.explode(F.concat(mark(F.col("terms"), False), mark(F.array_distinct("terms"), True))).alias("t"))
+    return each.groupBy(*GROUP, F.col("t.term").alias("term")).agg(F.count_if(~F.col("t.is_doc")).alias("n"), F.count_if("t.is_doc").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -187,7 +178,7 @@ def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top: int = 50, most:
     with scratch(docs.sparkSession) as keep:
         counts = keep(term_counts(docs), "counts")
         named = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-        kept = keep(counts.where("n > 0").drop("docs").join(named, ["lang", "term"]), "kept")
+        kept = keep(counts.drop("docs").join(named, ["lang", "term"]), "kept")
         sums = kept.groupBy(*GROUP).agg(F.sum("n").alias("total"))
         langs = keep(kept.groupBy("lang").agg(F.count_distinct("term").alias("kept"), F.sum("n").alias("lang_total")), "langs")
         every = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in GROUP)).distinct()
