@@ -101,8 +101,10 @@ def text_thresholds(rows: DataFrame, values: DataFrame, keep: Keep, most: int) -
     """lang, source, width, key: where over ``most`` rows share the last value, their first ``width`` characters are at most key.
 
     Each round skips what a group's remaining terms begin with alike, and looks at
-    the two characters after it, so it leaves fewer rows, whatever the terms' length.
+    the two characters after it, so it leaves fewer rows, whatever the terms' length, and
+    one at last.
     """
+    most = max(most, 1)
     state, found = values.where(F.col("tied") > most).select(*GROUP, "least", "need", F.lit(0).alias("width"), F.lit("").alias("key")), None
     while not (state := keep(state, "ties")).isEmpty():
         tied = rows.withColumnRenamed("value", "v").join(state, GROUP).where((F.col("v") == F.col("least")) & (F.substring("item", F.lit(1), F.col("width")) == F.col("key")))
