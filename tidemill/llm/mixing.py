@@ -48,7 +48,7 @@ def seeded_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def running_sums(rows: DataFrame, order: Sequence[str], values: Sequence[str], per_task: int = PER_TASK, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+def running_sums(rows: DataFrame, order: Sequence[str], values: Sequence[str], per_task: int = PER_TASK, *, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """rows with before_<value>: the sum over all rows before it in the (total) order.
 
     The rows are cut into ranges of about per_task of them; sums within a range are
