@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.expressions import json_number, url_part
+from tidemill.operators.patterns import in_order, matches
 from tidemill.operators.ranking import sessions
 from tidemill.sources.tables import table
 
@@ -49,7 +50,13 @@ def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("scheme") == "https").alias("secure"), F.count("query").alias("with_query"))
 
 
-QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel, sliding_counts, pages_by_host)}
+def completed_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence pattern: each time that a user came from a view by a click to a purchase, without an error on the way."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "event_id")
+    return matches(events, ["user_id"], "ts", "event_type", in_order(["view", "click", "purchase"], ["error"]), F.to_date, ["event_id"])
+
+
+QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel, sliding_counts, pages_by_host, completed_funnels)}
 
 ORACLE_SQL = {
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
@@ -73,4 +80,14 @@ FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 3
 WITH u AS (SELECT CASE WHEN NOT regexp_matches(url, '[\x00-\x20"<>\\^`{|}\x7F]|%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN url END AS url FROM pages)
 SELECT nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '') AS host, count(*) AS pages, count(*) FILTER (WHERE url LIKE 'https://%') AS secure,
        count(*) FILTER (WHERE regexp_matches(url, '^[^#]*\?')) AS with_query FROM u GROUP BY 1""",
+    "completed_funnels": """
+WITH RECURSIVE e AS (SELECT user_id, ts, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type) AS place FROM events),
+m AS (
+  SELECT user_id, 0::BIGINT AS place, 0 AS state, NULL::TIMESTAMP AS began, NULL::TIMESTAMP AS ended FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT e.user_id, e.place,
+         CASE WHEN kind = 'error' THEN 0 WHEN state % 3 = 0 THEN CASE WHEN kind = 'view' THEN 1 ELSE 0 END WHEN state = 1 AND kind = 'click' THEN 2 WHEN state = 2 AND kind = 'purchase' THEN 3 ELSE state END,
+         CASE WHEN state % 3 = 0 AND kind = 'view' THEN e.ts ELSE began END, e.ts
+  FROM m JOIN e ON e.user_id = m.user_id AND e.place = m.place + 1)
+SELECT user_id, began, ended FROM m WHERE state = 3""",
 }
