@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.expressions import json_number, url_part
+from tidemill.functions.props import typed_props
 from tidemill.operators.patterns import in_order, matches
 from tidemill.operators.ranking import sessions
 from tidemill.sources.tables import table
@@ -56,7 +57,13 @@ def completed_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(events, ["user_id"], "ts", "event_type", in_order(["view", "click", "purchase"], ["error"]), F.to_date, ["event_id"])
 
 
-QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel, sliding_counts, pages_by_host, completed_funnels)}
+def props_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table function: the props of each event as typed rows, with what the user's key had before on that day."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "ts", "props")
+    return typed_props(events, "props", ["event_id", "user_id"], ["user_id", "day"], ["ts", "event_id"])
+
+
+QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel, sliding_counts, pages_by_host, completed_funnels, props_by_day)}
 
 ORACLE_SQL = {
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
@@ -90,4 +97,12 @@ m AS (
          CASE WHEN state % 3 = 0 AND kind = 'view' THEN e.ts ELSE began END, e.ts
   FROM m JOIN e ON e.user_id = m.user_id AND e.place = m.place + 1)
 SELECT user_id, began, ended FROM m WHERE state = 3""",
+    "props_by_day": """
+WITH k AS (SELECT event_id, user_id, ts, props, unnest(json_keys(props)) AS key FROM events),
+v AS (SELECT *, json_extract(props, '$."' || key || '"') AS v FROM k),
+t AS (SELECT *, CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN v::VARCHAR::DOUBLE END AS number FROM v)
+SELECT event_id, user_id, key, CASE WHEN number IS NOT NULL THEN 'number' WHEN json_type(v) = 'VARCHAR' THEN 'string' ELSE 'other' END AS kind, number,
+       CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' END AS text,
+       last_value(number IGNORE NULLS) OVER (PARTITION BY user_id, ts::DATE, key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+FROM t""",
 }
