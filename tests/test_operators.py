@@ -94,3 +94,23 @@ def test_shared_folder_is_never_local_on_a_cluster(spark):
     folders.remove_folder(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path)
+
+
+def test_bucketed_tables_are_joined_without_a_shuffle(spark, tmp_path):
+    from tidemill.sources.folders import new_folder
+    from tidemill.sources.tables import write_bucketed
+
+    rng = random.Random(8)
+    left = [(rng.choice([None, *range(60)]), i) for i in range(300)]
+    right = [(rng.choice([None, *range(60)]), f"v{i}") for i in range(200)]
+    a = write_bucketed(spark.createDataFrame(left, "`a k` long, n long"), "bucketed_left", new_folder(spark, "left"), ["a k"], 8)
+    b = write_bucketed(spark.createDataFrame(right, "k long, v string"), "bucketed_right", new_folder(spark, "right"), ["k"], 8)
+    none = write_bucketed(spark.createDataFrame([], "k long, w string"), "bucketed_none", new_folder(spark, "none"), ["k"], 8)
+    joined = a.join(b.hint("merge"), F.col("a k") == F.col("k"))
+    grouped = joined.groupBy("k").agg(F.count("*").alias("pairs"))
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert sorted((r["n"], r["v"]) for r in joined.collect()) == sorted((n, v) for k, n in left for q, v in right if k is not None and k == q)
+    assert a.count() == 300 and a.join(none.hint("merge"), F.col("a k") == none["k"], "left").count() == 300
+    for name in ("bucketed_left", "bucketed_right", "bucketed_none"):
+        spark.sql(f"DROP TABLE {name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from tidemill.operators.joins import as_of_join, range_join
 from tidemill.operators.ranking import top_per_group
 from tidemill.operators.rollups import daily_states, read_off, rolled_up
 from tidemill.sources.folders import new_folder
-from tidemill.sources.tables import table, write_partitioned
+from tidemill.sources.tables import table, write_bucketed, write_partitioned
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +164,20 @@ def partitioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum(cents(F.col("o_totalprice"))).alias("cents"))
 
 
+def items_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their items, both kept in buckets of the order's key: joined and grouped without a shuffle."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(rows: DataFrame, name: str, key: str) -> DataFrame:
+        path = new_folder(spark, name)
+        return write_bucketed(rows, os.path.basename(path).replace("-", "_"), path, [key], buckets)
+
+    orders = kept(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "orders", "o_orderkey")
+    items = kept(table(spark, sf_dir, "lineitem").select("l_orderkey", cents(net_price()).alias("cents"), "l_shipdate"), "items", "l_orderkey")
+    joined = orders.join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("items"), F.sum("cents").alias("cents"), F.max("l_shipdate").alias("last"))
+
+
 def _open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_custkey, o_orderkey, opened, closed: an order is open from its day to its last item's shipment, in days."""
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
@@ -203,7 +219,7 @@ def monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("month", "n", F.col("total").alias("cents"), "least", "most", told.alias("within_bounds"))
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, top_orders_per_priority, orders_without_items, customers_with_returns, order_rollup, part_cube, status_pivot, order_gaps, last_order_before_shipment, parts_in_price_bands, customer_sets, customers_full_join, orders_by_items, rival_nations, customer_multisets, parties, order_grouping_sets, partitioned_orders, orders_open_together, orders_open_in_sales, returns_by_nation, monthly_orders)}
+QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, top_orders_per_priority, orders_without_items, customers_with_returns, order_rollup, part_cube, status_pivot, order_gaps, last_order_before_shipment, parts_in_price_bands, customer_sets, customers_full_join, orders_by_items, rival_nations, customer_multisets, parties, order_grouping_sets, partitioned_orders, items_by_order, orders_open_together, orders_open_in_sales, returns_by_nation, monthly_orders)}
 
 _CENTS = "CAST(floor(({}) * 100 + 0.5) AS BIGINT)"
 _NET = _CENTS.format("l_extendedprice * (1 - l_discount)")
@@ -272,6 +288,8 @@ SELECT nation, segment, count(*) AS parties, sum(cents)::BIGINT AS cents FROM (
 SELECT o_orderstatus, o_orderpriority, count(*) AS orders, sum({_TOTAL})::BIGINT AS cents, grouping(o_orderstatus, o_orderpriority) AS level
 FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())""",
     "partitioned_orders": f"SELECT o_orderpriority, count(*) AS orders, sum({_TOTAL})::BIGINT AS cents FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
+    "items_by_order": f"""
+SELECT o_orderkey, o_orderpriority, count(*) AS items, sum({_NET})::BIGINT AS cents, max(l_shipdate) AS last FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "orders_open_together": f"""
 WITH o AS ({_OPEN})
 SELECT a.o_orderkey, count(*) AS others, min(b.opened) AS first_opened, max(b.closed) AS last_closed

@@ -32,6 +32,21 @@ def write_partitioned(rows: DataFrame, path: str, by: Sequence[str], order: Sequ
     return path
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, on: Sequence[str], buckets: int) -> DataFrame:
+    """Keep a table in buckets of some columns' hash, one sorted file each, under a name of the session's catalog; the table.
+
+    Tables with equal numbers of buckets, by columns of equal types, are joined and
+    grouped by those columns without a shuffle, as often as they are read. A bucket
+    is one task, so this is for columns without very frequent values, such as ids; where
+    one has them, ``skew_join`` on plain tables spreads them.
+    """
+    if buckets < 1:
+        raise ValueError(f"no number of buckets: {buckets}")
+    dealt = rows.repartition(buckets, *(rows[f"`{c}`"] for c in on))
+    dealt.write.bucketBy(buckets, *on).sortBy(*on).option("path", path).format("parquet").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def event_stream(spark: SparkSession, folder: str, files: str | None = None, per_trigger: int | None = None) -> DataFrame:
     """events as a stream of files; event time as a timestamp, which watermarks need.
 
