@@ -10,7 +10,9 @@ from tidemill.functions.expressions import json_number, url_part
 from tidemill.functions.props import typed_props
 from tidemill.operators.patterns import in_order, matches
 from tidemill.operators.ranking import sessions
-from tidemill.sources.tables import table
+from tidemill.sources.folders import new_folder
+from tidemill.sources.jsonlines import json_lines
+from tidemill.sources.tables import table, write_json_lines
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,14 @@ def props_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_props(events, "props", ["event_id", "user_id"], ["user_id", "day"], ["ts", "event_id"])
 
 
-QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel, sliding_counts, pages_by_host, completed_funnels, props_by_day)}
+def json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data source: events as line-delimited JSON, by type and day."""
+    path = write_json_lines(table(spark, sf_dir, "events"), new_folder(spark, "events-json"))
+    events = json_lines(spark, path, "event_id long, ts timestamp_ntz, event_type string, value double")
+    return events.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.count("malformed").alias("malformed"), F.sum("event_id").alias("ids"), F.max("value").alias("most"))
+
+
+QUERIES = {f.__name__: f for f in (hourly_events, user_sessions, event_props, user_funnel, sliding_counts, pages_by_host, completed_funnels, props_by_day, json_events)}
 
 ORACLE_SQL = {
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
@@ -80,6 +89,7 @@ c AS (SELECT user_id, min(ts) AS c FROM events JOIN v USING (user_id) WHERE even
 p AS (SELECT DISTINCT user_id FROM events JOIN c USING (user_id) WHERE event_type = 'purchase' AND ts > c)
 SELECT CASE WHEN user_id IN (SELECT user_id FROM p) THEN 3 WHEN user_id IN (SELECT user_id FROM c) THEN 2 WHEN user_id IN (SELECT user_id FROM v) THEN 1 ELSE 0 END AS step, count(*) AS users
 FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1""",
+    "json_events": "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, 0::BIGINT AS malformed, sum(event_id)::BIGINT AS ids, max(value) AS most FROM events GROUP BY 1, 2",
     "sliding_counts": """
 SELECT start, event_type, count(*) AS n, count(DISTINCT user_id) AS users
 FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, user_id FROM events) GROUP BY 1, 2""",

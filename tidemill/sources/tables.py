@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: events, as a stream source needs its schema beforehand.
@@ -64,3 +65,11 @@ def event_stream(spark: SparkSession, folder: str, files: str | None = None, per
     # As a pattern, a path may be one file as well as a folder.
     events = reader.parquet(path if files else f"{path[:-1]}[{path[-1]}]")
     return events.withColumn("ts", events["ts"].cast("timestamp"))
+
+
+def write_json_lines(rows: DataFrame, path: str) -> str:
+    """Write a table as line-delimited JSON, nulls left out, times as ISO text to the microsecond; the path."""
+    times = {f.name for f in rows.schema if f.dataType == T.TimestampNTZType()}
+    column = lambda c: F.date_format(f"`{c}`", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c in times else F.col(f"`{c}`")
+    rows.select(F.to_json(F.struct(*map(column, rows.columns)))).write.text(path)
+    return path

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.sources.folders import new_folder
-from tidemill.sources.tables import event_stream
+from tidemill.sources.jsonlines import json_lines
+from tidemill.sources.tables import event_stream, table, write_json_lines
 
 DELAY = "10 minutes"
 
@@ -32,12 +33,23 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = DELAY
     return grouped.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
 
 
-def run_once(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there now, into Parquet files, and read them."""
+def run_once(stream: DataFrame, name: str, at_once: bool = True) -> DataFrame:
+    """Run a stream over what is there now, into Parquet files, and read them.
+
+    ``at_once`` is for sources that know that trigger; Spark gives others a single
+    batch, behind which no window could end by the watermark.
+    """
     spark = stream.sparkSession
     out = new_folder(spark, name)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, f"{name}-state")).outputMode("append")
+    query = (writer.trigger(availableNow=True) if at_once else writer).start()
+    try:
+        if at_once:
+            query.awaitTermination()
+        else:
+            query.processAllAvailable()
+    finally:
+        query.stop()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -54,12 +66,22 @@ def stream_user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(user_sessions(event_stream(spark, sf_dir)), "sessions")
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly_events, stream_distinct_events, stream_user_sessions)}
+def stream_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of events that arrive as line-delimited JSON."""
+    path = write_json_lines(table(spark, sf_dir, "events"), new_folder(spark, "events-json"))
+    events = json_lines(spark, path, "ts timestamp_ntz, event_type string", stream=True)
+    return run_once(hourly_counts(events.withColumn("ts", F.col("ts").cast("timestamp"))), "hourly-json", at_once=False)
 
-ORACLE_SQL = {
-    "stream_hourly_events": """
+
+QUERIES = {f.__name__: f for f in (stream_hourly_events, stream_distinct_events, stream_user_sessions, stream_json_events)}
+
+HOURLY_SQL = """
 SELECT hour, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS hour, event_type FROM events)
-WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""",
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2"""
+
+ORACLE_SQL = {
+    "stream_hourly_events": HOURLY_SQL,
+    "stream_json_events": HOURLY_SQL,
     "stream_distinct_events": "SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1",
     "stream_user_sessions": """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
