@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators.intervals import overlap_join, skew_join
+from tidemill.operators.intervals import overlap_join, overlap_totals, skew_join
 from tidemill.operators.rollups import daily_states, read_off, rolled_up
 
 
@@ -40,6 +40,26 @@ def test_overlap_join_of_one_over_all_makes_few_copies(spark):
     assert overlap_join(long, long.limit(0), ("low", "high"), ("low", "high")).count() == 0 and len(own) >= 1
 
 
+@pytest.mark.parametrize("per_task", [1 << 20, 5])
+def test_overlap_totals_are_those_of_all_pairs(spark, per_task):
+    rng = random.Random(8)
+    left, right = intervals(rng, 150, ["x"]), [*intervals(rng, 90, ["x"]), (200, "x", 10**9, 10**9 + 5), (201, "x", 5, 6), (201, "x", 5, 6)]
+    frames = [spark.createDataFrame(r, "id long, `k y` string, low long, high long") for r in (left, right)]
+    found = overlap_totals(frames[0], frames[1].withColumnsRenamed({"low": "bin", "high": "part"}), ("low", "high"), ("bin", "part"), "id", per_task)
+    assert found.columns == ["id", "k y", "bin", "part", "n", "least"]
+    wanted = [(b[0], len(own), min(own)) for b in right if (own := [a[0] for a in left if met(a, b, False)])]
+    assert sorted((r["id"], r["n"], r["least"]) for r in found.collect()) == sorted(wanted) and len(wanted) > 20
+    assert overlap_totals(frames[0].limit(0), frames[0], ("low", "high"), ("low", "high"), "id").count() == 0
+
+
+def test_overlap_totals_make_no_pairs(spark):
+    """4,000,000,000 meetings, which no join by pairs gets through in a test."""
+    left = spark.range(200_000).select("id", (F.col("id") % 5000).alias("low"), (F.col("id") % 5000 + 4000).alias("high"))
+    right = spark.range(20_000).select((F.col("id") % 100 + 4000).alias("low"), (F.col("id") % 100 + 5000).alias("high"))
+    found = overlap_totals(left, right, ("low", "high"), ("low", "high"), "id").groupBy("low").agg(F.count("*").alias("rows"), F.min("n").alias("n"), F.max("n").alias("most"), F.min("least").alias("least")).collect()
+    assert {r["low"]: (r["rows"], r["n"], r["most"], r["least"]) for r in found} == {b: (200, 40 * (5000 - max(0, b - 3999)), 40 * (5000 - max(0, b - 3999)), max(0, b - 3999)) for b in range(4000, 4100)}
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_skew_join_is_the_plain_join(spark, how):
     rng = random.Random(5)

@@ -74,6 +74,52 @@ def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
     return met("left", "right", True).unionByName(met("right", "left", False))
 
 
+def _cut(rows: DataFrame, low: Column, high: Column) -> DataFrame:
+    """rows for each of the bins that make up [low, high), two a level at most: a bin of ``at level`` is 2**level wide."""
+    level = F.col("at level")
+    least, end = -_bin(-low, level), _bin(high, level)
+    odd = lambda x: F.pmod(x, F.lit(2)) == 1
+    ends = F.array(F.when(odd(least), least), F.when(odd(end), end - 1))
+    rows = rows.where(low < high).withColumn("at level", F.explode(F.sequence(F.lit(0), F.length(F.bin(high - low)) - 1)))
+    return rows.where(least < end).withColumn("bin", F.explode(F.filter(ends, lambda x: x.isNotNull())))
+
+
+def _lying_in(points: DataFrame, x: Column, widest: DataFrame) -> DataFrame:
+    """points for each bin that they lie in, up to the width of the widest interval."""
+    rows = points.crossJoin(F.broadcast(widest)).withColumn("at level", F.explode(F.sequence(F.lit(0), F.col("widest")))).drop("widest")
+    return rows.withColumn("bin", _bin(x, F.col("at level")))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], least: str, per_task: int = 1 << 20) -> DataFrame:
+    """right's rows with ``n``, how many of left's intervals [low, high) they meet, and ``least``, the least of a column of those.
+
+    No pair is made, so the work grows with the rows and the logarithm of the lengths,
+    however many meet. A left interval that meets [b, e) holds b or begins in
+    [b + 1, e), and never both. Intervals are cut into bins of widths 2**level, two a
+    level at most, and a point lies in one bin of each level, so it meets an interval in
+    exactly one bin: left's rows are summed by bin, right's ask their bins for the sums.
+    Rows of equal ends count as one until the end; a bin that very many ask is spread.
+    Rows that meet nothing, empty intervals and null ends are left out.
+    """
+    low, high = F.col("low"), F.col("high")
+    ends = lambda names: [F.col(f"`{c}`").cast("long").alias(a) for c, a in zip(names, ("low", "high"), strict=True)]
+    width = F.length(F.bin(high - low)) - 1
+    totals = (F.sum("n").alias("n"), F.min("least").alias("least"))
+    spans = left.select(*ends(left_ends), F.col(f"`{least}`").alias("least")).where(low < high).groupBy("low", "high").agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    asked = right.select(*ends(right_ends)).where(low < high).distinct()
+    place = ["at level", "bin"]
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*place).agg(*totals)
+
+    holding = skew_join(_lying_in(asked, low, spans.agg(F.coalesce(F.max(width), F.lit(0)).alias("widest"))), summed(_cut(spans, low, high)), place, per_task=per_task)
+    begun = skew_join(_cut(asked, low + 1, high), summed(_lying_in(spans, low, asked.agg(F.coalesce(F.max(width), F.lit(0)).alias("widest")))), place, per_task=per_task)
+    found = holding.select("low", "high", "n", "least").unionByName(begun.select("low", "high", "n", "least")).groupBy("low", "high").agg(*totals)
+    names = ["asked low", "asked high"]
+    rows = right.withColumns({a: F.col(f"`{c}`").cast("long") for a, c in zip(names, right_ends, strict=True)})
+    return skew_join(rows, found.withColumnsRenamed({"low": names[0], "high": names[1]}), names, per_task=per_task).drop(*names)
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", per_task: int = 1 << 20, buckets: int = 1 << 16) -> DataFrame:
     """left joined to right on equal columns (inner or left), with left's frequent keys spread over tasks.
 

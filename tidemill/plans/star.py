@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.expressions import cents, net_price
-from tidemill.operators.intervals import overlap_join, skew_join
+from tidemill.operators.intervals import overlap_join, overlap_totals, skew_join
 from tidemill.operators.joins import as_of_join, range_join
 from tidemill.operators.ranking import top_per_group
 from tidemill.operators.rollups import daily_states, read_off, rolled_up
@@ -195,11 +195,11 @@ def orders_open_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_open_in_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval join without a key: open orders by the suppliers' sales, of a few days or of years, that they meet."""
+    """Interval join without a key, as totals: open orders by the suppliers' sales, of a few days or of years, that they meet."""
     start = (F.col("s_suppkey") * 7919) % 2400 + 9131
     sales = table(spark, sf_dir, "supplier").select("s_suppkey", start.alias("begins"), (start + F.when(F.col("s_suppkey") % 5 == 0, 1500).otherwise(1 + F.col("s_suppkey") % 9)).alias("ends"))
-    pairs = overlap_join(_open_orders(spark, sf_dir), sales, ("opened", "closed"), ("begins", "ends"))
-    return pairs.groupBy(F.col("right.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("orders"), F.min("left.o_orderkey").alias("first_order"))
+    met = overlap_totals(_open_orders(spark, sf_dir), sales, ("opened", "closed"), ("begins", "ends"), "o_orderkey")
+    return met.groupBy("s_suppkey").agg(F.sum("n").alias("orders"), F.min("least").alias("first_order"))
 
 
 def returns_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
