@@ -40,6 +40,35 @@ def test_overlap_join_of_one_over_all_makes_few_copies(spark):
     assert overlap_join(long, long.limit(0), ("low", "high"), ("low", "high")).count() == 0 and len(own) >= 1
 
 
+def rows_shuffled(plan):
+    """Of an executed plan, the rows that its exchanges wrote."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return rows_shuffled(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return rows_shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(rows_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_overlap_join_copies_rows_by_full_bins_only(spark):
+    """20,000 keys of two rows: many times per_place in all, but no bin is full, so no row is copied to parts."""
+    rows = spark.range(40_000).select((F.col("id") % 20_000).alias("k"), (F.col("id") % 700).alias("low"), (F.col("id") % 700 + 100).alias("high")).localCheckpoint()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        pairs = overlap_join(rows, rows, ("low", "high"), ("low", "high"), ["k"], per_place=400)
+        found = len(pairs.select("left.k").collect())
+        joined = pairs.select(F.hash("left", "right"))
+        joined.collect()
+        shuffled = rows_shuffled(joined._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    low = {k: [i % 700 for i in (k, k + 20_000)] for k in range(20_000)}
+    assert found == sum(abs(a - b) < 100 for two in low.values() for a in two for b in two)
+    assert 0 < shuffled < 20 * 40_000
+
+
 @pytest.mark.parametrize("per_task", [1 << 20, 5])
 def test_overlap_totals_are_those_of_all_pairs(spark, per_task):
     rng = random.Random(8)

@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = 2  # a level's bins are 2**STEP times as wide as those of the level below
-PER_PLACE = 1 << 18  # rows of one level and key that meet in one task, about
-
-_OWN = ("own level", "at level", "bin", "part")
+PER_PLACE = 1 << 18  # rows of one bin and key that meet in one task, about
 
 
 def _level(low: Column, high: Column) -> Column:
@@ -32,8 +30,9 @@ def _named(rows: DataFrame, low: str, high: str, on: Sequence[str], side: str) -
 
 
 def _bins(rows: DataFrame, side: str) -> DataFrame:
+    """rows for each bin of ``at level`` that they meet; their ends are those in the side's struct."""
     level = F.col("at level")
-    return rows.withColumn("bin", F.explode(F.sequence(_bin(F.col(f"{side} low"), level), _bin(F.col(f"{side} high") - 1, level))))
+    return rows.withColumn("bin", F.explode(F.sequence(_bin(F.col(f"{side} low"), level), _bin(F.col(f"{side} high") - 1, level)))).drop("own level", f"{side} low", f"{side} high")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], on: Sequence[str] = (), per_place: int = PER_PLACE) -> DataFrame:
@@ -41,35 +40,31 @@ def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
 
     Returns two columns, ``left`` and ``right``, structs of the sides' rows. With ``on``,
     columns of both sides, only rows of equal keys meet. Empty intervals, null ends and
-    null keys match nothing.
+    null keys match nothing. The sides are read several times, so they should be stored.
 
     Intervals live at a level by their length, in two bins of it at most. A pair meets at
     the level of its longer interval, so the shorter one is copied to the levels above
     its own that the other side has: a long interval costs two rows, not one a bin,
-    and there are few levels (the driver gets their counts). Of two bins that both
-    share, the one where the later interval begins owns the pair.
+    and there are few levels. Of two bins that both share, the one where the later
+    interval begins owns the pair.
 
-    Where one long interval meets very many short ones, they share a bin. The short
-    ones of a level are therefore dealt to parts of about per_place rows, and the long
-    ones are copied to each.
+    Where one long interval meets very many short ones, they share a bin. A bin's short
+    ones, if over per_place, are dealt to parts of about that many, and its long ones are
+    copied to each; all other rows are sent once a bin.
     """
     sides = {"left": _named(left, *left_ends, on, "left"), "right": _named(right, *right_ends, on, "right")}
-    counts = {side: {r["own level"]: r["count"] for r in rows.groupBy("own level").count().collect()} for side, rows in sides.items()}
-    keys = [f"on {i}" for i in range(len(on))]
+    end = {(side, i): F.col(side).getField(name).cast("long") for side, names in (("left", left_ends), ("right", right_ends)) for i, name in enumerate(names)}
+    place = ["at level", "bin", *(f"on {i}" for i in range(len(on)))]
 
     def met(long: str, short: str, equal: bool) -> DataFrame:
         """Pairs in which the first side's interval is of a higher level, or of an equal one too."""
-        parts = {at: max(1, -(-sum(n for own, n in counts[short].items() if own < at or equal and own == at) // per_place)) for at in counts[long]}
-        table = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)) if parts else F.create_map().cast("map<int,int>")
-        here = F.array(*(F.lit(x) for x in sorted(parts))).cast("array<int>")
         natives = _bins(sides[long].withColumn("at level", F.col("own level")), long)
-        natives = natives.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(table, F.col("at level")) - 1))).drop("own level")
-        above = F.filter(here, lambda x: x >= F.col("own level") if equal else x > F.col("own level"))
-        copies = _bins(sides[short].withColumn("at level", F.explode(above)), short)
-        copies = copies.withColumn("part", F.pmod(F.xxhash64(f"{short} low", f"{short} high", F.monotonically_increasing_id()), F.element_at(table, F.col("at level"))).cast("int")).drop("own level")
-        later = F.greatest("left low", "right low")
-        owned = (F.col("bin") == _bin(later, F.col("at level"))) & (F.col("left low") < F.col("right high")) & (F.col("right low") < F.col("left high"))
-        return natives.join(copies, ["at level", "bin", "part", *keys]).where(owned).select("left", "right")
+        levels = sides[long].agg(F.collect_set("own level").alias("levels"))
+        above = F.filter("levels", lambda x: x >= F.col("own level") if equal else x > F.col("own level"))
+        copies = _bins(sides[short].crossJoin(F.broadcast(levels)).withColumn("at level", F.explode(above)).drop("levels"), short)
+        later = F.greatest(end["left", 0], end["right", 0])
+        owned = (F.col("bin") == _bin(later, F.col("at level"))) & (end["left", 0] < end["right", 1]) & (end["right", 0] < end["left", 1])
+        return skew_join(copies, natives, place, per_task=per_place).where(owned).select("left", "right")
 
     return met("left", "right", True).unionByName(met("right", "left", False))
 

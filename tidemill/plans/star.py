@@ -188,7 +188,9 @@ def _open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_open_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval join by key: how many other orders of a customer were open while an order was."""
-    orders = _open_orders(spark, sf_dir)
+    path = new_folder(spark, "open")
+    _open_orders(spark, sf_dir).write.parquet(path)
+    orders = spark.read.parquet(path)
     pairs = overlap_join(orders, orders, ("opened", "closed"), ("opened", "closed"), on=["o_custkey"])
     met = pairs.where("left.o_orderkey <> right.o_orderkey")
     return met.groupBy(F.col("left.o_orderkey").alias("o_orderkey")).agg(F.count("*").alias("others"), F.min("right.opened").alias("first_opened"), F.max("right.closed").alias("last_closed"))
