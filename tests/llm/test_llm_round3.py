@@ -154,6 +154,15 @@ def test_divergence_against_brute_force(spark, monkeypatch, most, block):
     assert divergence.audit(made.where("false")).count() == 0
 
 
+def test_terms_are_counted_before_they_leave_their_task(spark):
+    """A task gives a row a group and term of a batch, not one a token; ends of terms are those of the contract's pattern."""
+    rows = [("Sea sea SEA-tide", "en", "a"), ("tide\x7f\x80x ÀÉ日", "en", "a"), (None, "en", "a"), ("sea", None, "a")] * 50
+    counted = divergence.term_counts(spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1))
+    assert sorted((r["lang"], r["term"], r["n"], r["docs"]) for r in counted.collect()) == sorted([("", "sea", 50, 50), ("en", "sea", 150, 50), ("en", "tide", 100, 100), ("en", "\x80x", 50, 50), ("en", "ÀÉ日", 50, 50)])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_radix_selection_is_the_sort(spark):
     rng = random.Random(3)
     rows = [(g, "s", "".join(rng.choices("abé", k=rng.randrange(1, 6))) + str(i), rng.choice([0, 1, 2, 5, 255, 256, 10**9, 2**62, rng.randrange(10**6)])) for g in "xyz" for i in range({"x": 400, "y": 7, "z": 3}[g])]

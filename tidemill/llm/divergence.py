@@ -31,16 +31,19 @@ table gives no row. Only the three columns named are read; others may have any n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ascii_lower, scratch, stored
+from tidemill.llm.common import scratch, small_batches, stored
 from tidemill.llm.mixing import running_sums
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM_BYTES = re.compile(rb"[a-z\x80-\xFF]+")  # in lower-cased UTF-8
 LEAST_DOCS = 30
 SCALE, PRIOR = 1_000_000_000, 5
 DIGIT = 8  # bits of a histogram's digit
@@ -51,13 +54,30 @@ Keep = Callable[[DataFrame, str], DataFrame]
 GROUP = ["lang", "source"]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n, docs, summed over each batch of lang, source, text as UTF-8."""
+    for batch in batches:
+        found: dict[tuple[bytes, bytes], tuple[Counter[bytes], Counter[bytes]]] = {}
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, docs = found.setdefault((lang, source), (Counter(), Counter()))
+            terms = TERM_BYTES.findall(text.lower())  # of bytes, lower() changes A to Z alone
+            n.update(terms)
+            docs.update(set(terms))
+        for (lang, source), (n, docs) in found.items():
+            keys = [pa.array(values, pa.binary()) for values in ([lang] * len(n), [source] * len(n), list(n))]
+            sums = [pa.array(values, pa.int64()) for values in (list(n.values()), [docs[t] for t in n])]
+            yield pa.RecordBatch.from_arrays([*keys, *sums], names=[*GROUP, "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: how often, and in how many documents."""
-    text = ascii_lower(F.coalesce("text", F.lit("")))
-    rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in GROUP), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
-    mark = lambda terms, is_doc: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(is_doc).alias("is_doc")))
-    each = rows.select(*GROUP, F.explode(F.concat(mark(F.col("terms"), False), mark(F.array_distinct("terms"), True))).alias("t"))
-    return each.groupBy(*GROUP, F.col("t.term").alias("term")).agg(F.count_if(~F.col("t.is_doc")).alias("n"), F.count_if("t.is_doc").alias("docs"))
+    """lang, source, term, n, docs: how often, and in how many documents.
+
+    Tasks count a batch of documents at a time, in bytes, before Spark sums by term.
+    """
+    rows = docs.select(*(F.coalesce(c, F.lit("")).cast("binary").alias(c) for c in (*GROUP, "text")))
+    counted = rows.mapInArrow(_counted, "lang binary, source binary, term binary, n long, docs long")
+    summed = counted.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return summed.select(*(F.col(c).cast("string").alias(c) for c in (*GROUP, "term")), "n", "docs")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -178,7 +198,8 @@ def pair_values(groups: DataFrame, terms: DataFrame, keep: Keep) -> DataFrame:
 def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top: int = 50, most: int = SORTED) -> DataFrame:
     """lang, source, part, item, value, rank of documents (text, lang, source)."""
     with scratch(docs.sparkSession) as keep:
-        counts = keep(term_counts(docs), "counts")
+        with small_batches(docs.sparkSession):
+            counts = keep(term_counts(docs), "counts")
         named = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
         kept = keep(counts.drop("docs").join(named, ["lang", "term"]), "kept")
         sums = kept.groupBy(*GROUP).agg(F.sum("n").alias("total"))
