@@ -122,6 +122,19 @@ def test_funnel_state_survives_a_restart(spark, tmp_path):
     assert spark.read.parquet(out).groupBy("user_id", "step").count().where("count > 1").count() == 0
 
 
+def test_users_share_calls_of_the_funnel(spark, tmp_path):
+    """600 users in 3 blocks: a call and a row of state for a block, and each user's own steps."""
+    rows = random_rows(9, 3000, users=600)
+    in_files(spark, rows, tmp_path, 2, late=9)
+    out, state = new_folder(spark, "blocks-out"), new_folder(spark, "blocks-state")
+    stream = funnel.funnel_steps(event_stream(spark, str(tmp_path), "*.parquet", per_trigger=1), blocks=3)
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 3
+    found = {r["user_id"]: r["step"] for r in spark.read.parquet(out).groupBy("user_id").agg(F.max("step").alias("step")).collect()}
+    assert found == steps_by_hand(rows, max(m for _, m, _, k in rows if k in funnel.STEPS) - 10) and len(found) > 300
+
+
 def test_idle_users_are_forgotten(spark, tmp_path):
     rows = [[(0, 0.0, 1, "view"), (1, 1.0, 1, "click")], [(2, 300.0, 2, "view")], [(3, 600.0, 2, "click")], [(4, 700.0, 1, "purchase"), (5, 710.0, 1, "view")], [(6, 900.0, 2, "purchase")]]
     for i, own in enumerate(rows):
